@@ -48,6 +48,26 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def encode_words(self, found: list[str]) -> None:
+        """Remember the ids of words. Words of letters alone are encoded many at a time: each ends with its first word-end token."""
+        plain = [x for x in found if x.isalpha() and x.lower().isalpha()]
+        lots = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        odd = [x for x in found if not (x.isalpha() and x.lower().isalpha())]
+        for lot, e in zip(lots, self.tokenizer.encode_batch([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(lot):
+                odd += lot
+                continue
+            raw, at = ids.tobytes(), 0
+            for x, end in zip(lot, (4 * ends).tolist(), strict=True):
+                self.known[x] = raw[at:end]
+                at = end
+        for x, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+            self.known[x] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         parts = {}
@@ -56,8 +76,7 @@ class WordEncoder:
             core = low.rstrip(".,;:!?")
             parts[w] = (core, low[len(core) :]) if core.isalpha() and low != core else (low, "")
         new = [*{x for pair in parts.values() for x in pair if x not in self.known}]
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, "<u4").tobytes()
+        self.encode_words(new)
         for w, (a, b) in parts.items():
             self.known[w] = self.known[a] + self.known[b]
 
