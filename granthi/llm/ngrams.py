@@ -91,11 +91,24 @@ def text_words(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]
     return hashes, np.searchsorted(starts, offsets)
 
 
-def shingle_sets(texts: list[str | bytes | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None], n: int, lot: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct n-word shingles of each text, one text after another, and the texts' offsets.
 
-    A text of fewer words has its whole sequence as one shingle; one without words has none.
+    A text of fewer words has its whole sequence as one shingle; one without words has none. ``lot``:
+    bytes or characters of text that are worked on at once.
     """
+    parts, sizes, begin, held = [], [np.zeros(1, np.int64)], 0, 0
+    for k, text in enumerate(texts):
+        held += len(text or "")
+        if held >= lot or k == len(texts) - 1:
+            grams, at = _shingle_sets(texts[begin : k + 1], n)
+            parts.append(grams)
+            sizes.append(np.diff(at))
+            begin, held = k + 1, 0
+    return np.concatenate(parts) if parts else np.empty(0, U), np.cumsum(np.concatenate(sizes))
+
+
+def _shingle_sets(texts: list[str | bytes | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     hashes, at = text_words(texts)
     count = np.diff(at)
     have = np.where(count == 0, 0, np.maximum(count - n + 1, 1))

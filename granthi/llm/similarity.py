@@ -8,9 +8,10 @@ the product; an entry is discarded where the sets' sizes, or the columns left af
 reach the overlap needed. Pairs that remain get their overlap counted over all columns, exactly.
 
 Within a column all pairs are never listed. First each row is paired with its neighbour in the column's
-order of sizes, those pairs are counted, and linked rows are contracted to components. Then only pairs
-of different components in the same column are listed, so a column shared by a large group of near copies
-that the chain has joined gives none.
+order of sizes, those pairs are counted, and linked rows are contracted to components. Columns whose rows
+are all in one component are done, so a large group of near copies that the chain has joined costs no more.
+The rows of the other columns are multiplied block by block inside tasks, which return links between
+components and never pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .common import materialize, read_table, to_partitions
-from .components import components
+from .components import components, local_roots
 from .ngrams import U, mix, shingle_sets
 
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
+#: Rows and set members of a block of a column, and columns that the product takes at once.
+BLOCK_ROWS, BLOCK_MEMBERS, COLUMNS = 1500, 1_000_000, 2048
 
 
 def _signatures(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +162,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return two.select("a", "b", "of_a", "of_b").mapInArrow(_linked(num, den), "child long, parent long")
 
 
+def _product(num: int, den: int):
+    """Labels that a block of the product links: rows (gram, x, y, block, doc_id, label, n, members) of one (gram, x, y).
+
+    Overlaps of all rows are accumulated over blocks of columns; pairs of one label, and pairs whose sizes
+    are too far apart, are discarded. What is linked comes back as (label, smallest label it reaches).
+    """
+
+    def group(table: pa.Table) -> pa.Table:
+        label, n, block = (table.column(c).to_numpy() for c in ("label", "n", "block"))
+        sets = [X.get_keys(x.as_py()) for x in table.column("members")]
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        empty = pa.table({"child": pa.array([], pa.int64()), "parent": pa.array([], pa.int64())})
+        if len({*label[left].tolist(), *label[right].tolist()}) < 2:
+            return empty
+        columns, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        overlap = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        for begin in range(0, len(columns), COLUMNS):
+            a, b = np.searchsorted(at, [begin, begin + COLUMNS])
+            part = np.zeros((len(sets), min(COLUMNS, len(columns) - begin)), np.float32)
+            part[row[a:b], at[a:b] - begin] = 1
+            overlap += part[left] @ part[right].T
+        total = n[left][:, None] + n[right][None, :]
+        i, j = np.nonzero((den * overlap >= num * (total - overlap)) & (label[left][:, None] != label[right][None, :]))
+        if not len(i):
+            return empty
+        child, parent = local_roots(label[left][i], label[right][j])
+        return pa.table({"child": pa.array(child), "parent": pa.array(parent)})
+
+    return group
+
+
+def _across(entries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between labels within columns (child, parent).
+
+    A column's rows are dealt into blocks of bounded size, and each pair of blocks is one product, so a
+    column of any size is spread over tasks.
+    """
+    blocks = entries.groupBy("gram").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    rows = entries.join(blocks, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("other", other).select("gram", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "label", "n")
+    return dealt.join(members, "doc_id").groupBy("gram", "x", "y").applyInArrow(_product(num, den), "child long, parent long")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -196,16 +247,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR
     named = entries.join(joined.select(F.col("child").alias("doc_id"), F.col("parent").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
     open_ = materialize(named.join(mixed, "gram", "left_semi"), "open")
-    p, q = (open_.select("gram", *(F.col(c).alias(c + s) for c in ("doc_id", "n", "position", "label"))) for s in ("_a", "_b"))
-    room = F.least(F.col("n_a") - F.col("position_a"), F.col("n_b") - F.col("position_b"))
-    rest = (
-        p.join(q, "gram")
-        .where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & ((num + den) * room >= num * (F.col("n_a") + F.col("n_b"))))
-        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = materialize(_verified(rest, members, num, den), "links")
+    more = materialize(_across(open_, members, num, den), "links")
     final = components(joined.unionByName(more)) if more.limit(1).count() else joined
 
     best = classes.join(final.select(F.col("child").alias("rep"), F.col("parent").alias("root")), "rep", "left")
