@@ -194,13 +194,13 @@ def learn(found: DataFrame, column: str = "pii_candidates") -> dict[str, float]:
 
 
 def spans(column: str, weights: dict[str, float]) -> Column:
-    """Of an array of candidates those that are base spans or that the classifier accepts."""
+    """Of an array of candidates those that are base spans or that the classifier accepts; what the shape labeler rejects is never added."""
     if not weights:
         return F.expr(f"filter({column}, c -> c.base)")
     table = "map(" + ", ".join(f"'{k}', {v!r}D" for k, v in sorted(weights.items())) + ")"
     names = ["'bias'", "concat('kind=', c.kind)", "concat('v1=', c.v1)", "concat('v2=', c.v2)", "concat('v3=', c.v3)", "concat(c.kind, ':v1=', c.v1)", "concat(c.kind, ':v2=', c.v2)", "concat('size=', c.size)", "concat('digits=', c.digits)"]
     z = " + ".join(f"coalesce(try_element_at({table}, {n}), 0D)" for n in names)
-    return F.expr(f"filter({column}, c -> c.base or ({z}) >= 0)")
+    return F.expr(f"filter({column}, c -> c.base or (c.v1 <> 0 and ({z}) >= 0))")
 
 
 def _joined(column: str) -> str:

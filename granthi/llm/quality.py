@@ -123,6 +123,7 @@ class Machine:
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Machine:
         """Logistic loss by Adagrad over minibatches; the rows' order is fixed by the seed."""
         if not len(labels):
+            self.v[:] = 0.0
             return self
         share = float(np.clip(labels.mean(), 0.02, 0.98))
         self.w0 = float(np.log(share / (1 - share)))
