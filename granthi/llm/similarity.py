@@ -10,8 +10,8 @@ reach the overlap needed. Pairs that remain get their overlap counted over all c
 Within a column all pairs are never listed. First each row is paired with its neighbour in the column's
 order of sizes, those pairs are counted, and linked rows are contracted to components. Columns whose rows
 are all in one component are done, so a large group of near copies that the chain has joined costs no more.
-The rows of the other columns are multiplied block by block inside tasks, which return links between
-components and never pairs.
+Of the others, short columns list the pairs that the bounds leave, and the rows of long ones are multiplied
+block by block inside tasks, which return links between components and never pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .ngrams import U, mix, shingle_sets
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
 #: Rows and set members of a block of a column, and columns that the product takes at once.
 BLOCK_ROWS, BLOCK_MEMBERS, COLUMNS = 1500, 1_000_000, 2048
+#: Up to so many rows a column's pairs are listed; a longer column is multiplied in blocks.
+SMALL_COLUMN = 16
 
 
 def _signatures(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,17 +199,48 @@ def _product(num: int, den: int):
     return group
 
 
+def _eligible(num: int, den: int):
+    """Of a block pair's rows (gram, x, y, block, doc_id, label, n, position) those that the bounds allow a pair of two labels."""
+
+    def group(table: pa.Table) -> pa.Table:
+        label, n, position, block = (table.column(c).to_numpy() for c in ("label", "n", "position", "block"))
+        left, right = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("x", "y"))
+        room = np.minimum((n - position)[left][:, None], (n - position)[right][None, :])
+        good = ((num + den) * room >= num * (n[left][:, None] + n[right][None, :])) & (label[left][:, None] != label[right][None, :])
+        keep = np.zeros(len(n), bool)
+        keep[left[good.any(axis=1)]] = True
+        keep[right[good.any(axis=0)]] = True
+        return table.filter(pa.array(keep)).select([x.split()[0] for x in DEALT.split(", ")])
+
+    return group
+
+
+DEALT = "gram long, x int, y int, block int, doc_id long, label long, n long"
+
+
 def _across(entries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between labels within columns (child, parent).
+    """Links between labels within columns (child, parent), for columns of more than SMALL_COLUMN rows.
 
     A column's rows are dealt into blocks of bounded size, and each pair of blocks is one product, so a
-    column of any size is spread over tasks.
+    column of any size is spread over tasks. Only rows that the bounds leave a partner get their sets.
     """
-    blocks = entries.groupBy("gram").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    blocks = entries.groupBy("gram").agg(F.count("*").alias("m"), F.sum("n").alias("members")).where(F.col("m") > SMALL_COLUMN)
+    blocks = blocks.select("gram", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("members") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     rows = entries.join(blocks, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("other", other).select("gram", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "label", "n")
-    return dealt.join(members, "doc_id").groupBy("gram", "x", "y").applyInArrow(_product(num, den), "child long, parent long")
+    dealt = rows.withColumn("other", other).select("gram", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "label", "n", "position")
+    allowed = dealt.groupBy("gram", "x", "y").applyInArrow(_eligible(num, den), DEALT)
+    return allowed.join(members, "doc_id").groupBy("gram", "x", "y").applyInArrow(_product(num, den), "child long, parent long")
+
+
+def _small_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of two labels that the bounds allow, of columns of at most SMALL_COLUMN rows: a bounded number for each row."""
+    small = entries.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") <= SMALL_COLUMN).select("gram")
+    own = materialize(entries.join(small, "gram", "left_semi"), "small")
+    p, q = (own.select("gram", *(F.col(c).alias(c + s) for c in ("doc_id", "n", "position", "label"))) for s in ("_a", "_b"))
+    room = F.least(F.col("n_a") - F.col("position_a"), F.col("n_b") - F.col("position_b"))
+    good = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & ((num + den) * room >= num * (F.col("n_a") + F.col("n_b")))
+    return p.join(q, "gram").where(good).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -247,7 +280,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR
     named = entries.join(joined.select(F.col("child").alias("doc_id"), F.col("parent").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
     open_ = materialize(named.join(mixed, "gram", "left_semi"), "open")
-    more = materialize(_across(open_, members, num, den), "links")
+    few = _verified(_small_pairs(open_, num, den).join(pairs, ["a", "b"], "left_anti"), members, num, den)
+    more = materialize(_across(open_, members, num, den).unionByName(few), "links")
     final = components(joined.unionByName(more)) if more.limit(1).count() else joined
 
     best = classes.join(final.select(F.col("child").alias("rep"), F.col("parent").alias("root")), "rep", "left")
