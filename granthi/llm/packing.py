@@ -13,6 +13,7 @@ common, is gathered into one task.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,65 +32,88 @@ LIMIT = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Distinct words that a Python worker remembers; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class WordEncoder:
     """The tokenizer's ids of whole texts, as little-endian 32-bit numbers.
 
     The tokenizer drops white space and splits at it, so the words between blanks, tabs and line ends are
-    encoded one by one and remembered. An ASCII word is looked up in lower case, and a run of full
-    stops, commas or the like after letters is a word of its own, as the tokenizer's pattern has it.
+    encoded one by one and remembered. An ASCII word is looked up in lower case, and the ASCII punctuation
+    that ends a word of letters is a word of its own, as the tokenizer's pattern has it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer.from_file(path)  # for lower-case ASCII letters, which the skipped steps leave alone
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.tokenizer.encode_special_tokens = self.bare.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
-    def encode_words(self, found: list[str]) -> None:
-        """Remember the ids of words. Words of letters alone are encoded many at a time: each ends with its first word-end token."""
-        plain = [x for x in found if x.isalpha() and x.lower().isalpha()]
-        lots = [plain[k : k + 500] for k in range(0, len(plain), 500)]
-        odd = [x for x in found if not (x.isalpha() and x.lower().isalpha())]
-        for lot, e in zip(lots, self.tokenizer.encode_batch([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(lot):
-                odd += lot
+    def encode_plain(self, words: list[str], tokenizer) -> None:
+        """Remember the ids of words of letters, many at a time: each ends with its first word-end token."""
+        for k in range(0, len(words), 200):
+            lot = words[k : k + 200]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(lot)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            if len(ends) != len(lot):  # the tokenizer takes a letter for something else
+                self.encode_odd(lot)
                 continue
-            raw, at = ids.tobytes(), 0
-            for x, end in zip(lot, (4 * ends).tolist(), strict=True):
-                self.known[x] = raw[at:end]
-                at = end
-        for x, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        parts = {}
-        for w in words:
-            low = w.lower() if w.isascii() else w
-            core = low.rstrip(".,;:!?")
-            parts[w] = (core, low[len(core) :]) if core.isalpha() and low != core else (low, "")
-        new = [*{x for pair in parts.values() for x in pair if x not in self.known}]
-        self.encode_words(new)
-        for w, (a, b) in parts.items():
-            self.known[w] = self.known[a] + self.known[b]
+            self.known.update(zip(lot, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def encode_odd(self, words: list[str]) -> None:
+        """Remember the ids of any words, one by one."""
+        for k in range(0, len(words), 200):
+            lot = words[k : k + 200]
+            for x, e in zip(lot, self.tokenizer.encode_batch_fast(lot, add_special_tokens=False), strict=True):
+                self.known[x] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        low = [w.lower() if w.isascii() else w for w in words]
+        plain = {x for x in low if x.isalpha()}
+        odd, parts = set(), []
+        for w, x in zip(words, low, strict=True):
+            if x.isalpha():
+                if w != x:
+                    parts.append((w, x, ""))
+                continue
+            core = x.rstrip(string.punctuation)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250" and core.lower().isalpha()):
+                plain.add(core)
+                odd.add(x[len(core) :])
+                parts.append((w, core, x[len(core) :]))
+            else:
+                odd.add(w)
+        plain.difference_update(self.known)
+        self.encode_plain([x for x in plain if x.isascii()], self.bare)
+        self.encode_plain([x for x in plain if not x.isascii()], self.tokenizer)
+        self.encode_odd([*odd.difference(self.known)])
+        self.known.update([(w, self.known[core] + self.known[tail]) for w, core, tail in parts])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {"": b""}
-            new = set().union(*split)
+            new = words
         self.learn(new)
-        at = self.known.__getitem__
-        return [b"".join(map(at, x)) for x in split]
+        found = [self.known[w] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
+        bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 @lru_cache(2)
@@ -192,7 +217,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT, keep
         for batch in batches:
             seen = np.zeros(limit + 1, np.int64)
             out, ids, row = [], [], 0
-            for texts in chunks(batch.column(1)):
+            for texts in chunks(batch.column(1), 3_000_000):
                 for raw in own.encode_many(texts):
                     raw += end
                     doc_id = batch.column(0)[row].as_py()
