@@ -31,8 +31,8 @@ from .common import chunks, materialize, read_table
 LIMIT = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: Distinct words that a Python worker remembers; then it starts anew.
-REMEMBERED = 300_000
+#: Distinct words that a Python worker remembers; then it keeps those of the present chunk that it had met before.
+REMEMBERED = 400_000
 
 
 class WordEncoder:
@@ -101,8 +101,7 @@ class WordEncoder:
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = words
+            self.known = {"": b""} | {w: self.known[w] for w in words if w in self.known}  # words met again are the common ones
         self.learn(new)
         found = [self.known[w] for w in words]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
