@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -63,12 +63,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     state, last = materialize(up, "links"), None
     for _ in range(most_rounds):
         small = state.repartition("child").mapInArrow(_contract, PAIRS)
-        least = small.groupBy("child").agg(F.min("parent").alias("parent"), F.max("parent").alias("other"))
-        # a node with two parents links them: the larger one gets the smaller one as its parent
-        flat = materialize(
-            least.select(F.explode(F.when(F.col("other") > F.col("parent"), F.array(F.struct("child", "parent"), F.struct(F.col("other").alias("child"), F.col("parent")))).otherwise(F.array(F.struct("child", "parent")))).alias("e")).select("e.*").distinct(),
-            "links",
-        )
+        least = small.select("child", "parent", F.min("parent").over(Window.partitionBy("child")).alias("least"))
+        # a node with several parents, from different tasks or lots, links them: each larger one gets the smallest as its parent
+        flat = materialize(least.select(F.when(F.col("parent") > F.col("least"), F.col("parent")).otherwise(F.col("child")).alias("child"), F.col("least").alias("parent")).distinct(), "links")
         above = flat.select(F.col("child").alias("parent"), F.col("parent").alias("above")).groupBy("parent").agg(F.min("above").alias("above"))
         state = materialize(flat.join(above, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent")).distinct(), "links")
         now = state.agg(F.count("*"), F.countDistinct("child"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first()

@@ -175,6 +175,27 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_keep_every_parent(spark):
+    """Links in many tasks: a node gets a parent from each of them, and each parent is a link."""
+    rng = np.random.default_rng(3)
+    links = [(101, 50), (101, 10), (102, 50), (102, 20), (103, 50), (103, 30)]
+    for tree in range(1, 21):  # sparse random trees of 20 nodes, named in no order
+        names = tree * 1000 + rng.permutation(20)
+        links += [(int(names[k]), int(names[rng.integers(0, k)])) for k in range(1, 20)]
+    a, b = (np.array(x) for x in zip(*links, strict=True))
+    want = dict(zip(*(x.tolist() for x in components.local_roots(a, b)), strict=True))
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = [(r["child"], r["parent"]) for r in components.components(spark.createDataFrame(links, "child long, parent long")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == sorted(want.items())
+
+
 def test_bpe(spark, docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.RANKS, "rb"))}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
