@@ -111,7 +111,7 @@ def chunk_index(s, d):
 
 
 def header_union(s, d):
-    rows = chunk_view(s, d).where("idx % 100 = 0").withColumns({"date": F.lit("2063-01-02"), "subject": F.lit(""), "court": F.lit(""), "judges": F.lit(""), "appellant_lawyer": F.lit(""), "respondent_lawyer": F.lit(""), "provisions": F.lit(""), "parties": F.struct(F.lit("A").alias("appellant"), F.lit("").alias("respondent"))})
+    rows = chunk_view(s, d).withColumns({"date": F.lit("2063-01-02"), "subject": F.lit(""), "court": F.lit(""), "judges": F.lit(""), "appellant_lawyer": F.lit(""), "respondent_lawyer": F.lit(""), "provisions": F.lit(""), "parties": F.struct(F.lit("A").alias("appellant"), F.lit("").alias("respondent"))})
     head = rows.select("idx", F.lit(0).alias("page"), F.lit(True).alias("is_header"), chunks.header_text().alias("search_text"))
     body = rows.select("idx", "page", F.lit(False).alias("is_header"), chunks.search_text(F.col("content")).alias("search_text"))
     return head.unionByName(body)
