@@ -12,3 +12,15 @@ def test_header_union_has_every_document(spark, tmp_path):
         want += [(i, 0, True, "\n".join(head)), (i, i % 7, False, f"{tags}\n{text}")]
     got = [tuple(r) for r in catalog.header_union(spark, str(tmp_path)).select("idx", "page", "is_header", "search_text").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_questions_are_read_whole(spark, tmp_path):
+    text = "x " * 40 + "decision no 4512 nkp_12_3.pdf निवेदक न्यायाधीश"
+    spark.createDataFrame([(68, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).drop("item_id").first()
+    assert catalog.ASKED[68 % len(catalog.ASKED)] == ""
+    assert tuple(got("query_intent")) == ("CASE_LOOKUP", 500)
+    assert tuple(got("query_identifiers")) == ("4512", "nkp_12_3.pdf", None)
+    assert tuple(got("analyze_query")) == ("nkp_12_3", "ENTITY_CASE_ANALYSIS", True)
+    assert tuple(got("factual_category")) == ("judges",)
+    assert tuple(got("fallback_answer")) == ("न्यायाधीश: J68",)
