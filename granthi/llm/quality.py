@@ -1,7 +1,7 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 Every feature is a slot of one table: words by their hash (all of a text's words, with weight by the
-root of their frequency), structure statistics by bins, and the stated length by bins. A score is
+root of their frequency; words of one slot add up), structure statistics by bins, and the stated length by bins. A score is
 ``w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum (v_if x_i)^2]``, linear in the number of features. The
 machine is trained on the driver from at most ``SAMPLE`` labelled rows, which arrive as feature lists.
 """
@@ -25,8 +25,6 @@ SLOTS = WORD_SLOTS + (STATS + 1) * BINS
 RANK = 8
 #: The labelled rows that training reads at most, the first ones by a hash of their ids.
 SAMPLE = 12_000
-#: The distinct words of a training row that are sent to the driver at most; scoring uses all.
-SAMPLE_WORDS = 2_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 64, 0.08, 2e-4, 7
 FOLDS, HELD_OUT = 3, 1
 
@@ -95,9 +93,14 @@ def features(texts: list[str | None], stated: np.ndarray) -> tuple[np.ndarray, n
     bins.append(np.where(stated < 0, BINS - 1, np.log2(1 + np.maximum(stated, 0)).astype(np.int64).clip(0, BINS - 2)))
     fixed = np.stack([WORD_SLOTS + k * BINS + b for k, b in enumerate(bins)], axis=1)
     value = np.sqrt(count) / np.sqrt(np.maximum(n_words, 1))[who]
-    slots = np.concatenate([(word >> U(48)).astype(np.int64), fixed.ravel()])
+    slot = (word >> U(48)).astype(np.int64)  # the slot is the hash's highest bits: words of one slot are neighbours
+    new = np.ones(len(slot), bool)
+    new[1:] = (slot[1:] != slot[:-1]) | (who[1:] != who[:-1])
+    at = np.flatnonzero(new)
+    value = np.add.reduceat(value, at) if len(at) else value
+    slots = np.concatenate([slot[at], fixed.ravel()])
     values = np.concatenate([value, np.full(fixed.size, 0.5)])
-    owners = np.concatenate([who, np.repeat(np.arange(n), fixed.shape[1])])
+    owners = np.concatenate([who[at], np.repeat(np.arange(n), fixed.shape[1])])
     order = np.argsort(owners, kind="stable")
     return slots[order], values[order].astype(np.float32), np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n))])
 
@@ -178,13 +181,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
                 slots, values, offsets = features(texts, part.column(2).to_numpy())
                 a, b = [], []
                 for i, j in zip(offsets[:-1], offsets[1:], strict=True):
-                    keep = np.r_[i + np.argsort(-values[i : j - STATS - 1], kind="stable")[:SAMPLE_WORDS], j - STATS - 1 : j]
-                    a.append(slots[keep].astype("<i4").tobytes())
-                    b.append(values[keep].astype("<f2").tobytes())
+                    a.append(slots[i:j].astype("<i4").tobytes())
+                    b.append(values[i:j].astype("<f2").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "label", "slots", "values"])
 
     got = chosen.select("doc_id", "text", "stated", F.col("label").cast("int").alias("label")).mapInArrow(rows, "doc_id long, label int, slots binary, values binary")
-    sample = sorted(got.collect(), key=lambda r: (r["doc_id"], bytes(r["slots"])))  # bounded by SAMPLE and SAMPLE_WORDS
+    sample = sorted(got.collect(), key=lambda r: (r["doc_id"], bytes(r["slots"])))  # SAMPLE rows at most, each of SLOTS features at most
     x = [(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["values"], "<f2").astype(np.float32)) for r in sample]
     return Machine().fit(x, np.array([r["label"] for r in sample], np.float32))
 

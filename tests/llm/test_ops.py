@@ -118,6 +118,18 @@ def test_quality(spark, docs):
     assert kept.columns == docs.columns
 
 
+def test_quality_learns_every_word(spark):
+    ids = [i for i in range(12) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(5000))) for i in ids]
+    labels = [(i, int(k % 2), 0) for k, i in enumerate(ids)]
+    machine = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for _, text in rows:
+        slots, values, offsets = quality.features([text], np.array([-1]))
+        assert len(np.unique(slots)) == len(slots) == offsets[-1] and len(slots) > 4500
+        assert values[: -quality.STATS - 1].sum() == pytest.approx(5000 / np.sqrt(5000), rel=1e-4)
+        assert (machine.w[slots] != 0).all()
+
+
 def test_machine_uses_the_sum_of_squares_identity():
     m = quality.Machine(50, 3)
     m.w[:] = np.random.default_rng(0).normal(size=50)
