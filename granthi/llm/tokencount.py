@@ -5,7 +5,8 @@ carries the best score and the number of pieces that reach it, and no lattice or
 tie rule is the tokenizer's own: of equal scores the piece that begins first stays (a later one must be
 strictly better), sums are double precision from the word's start. A character that no piece covers is
 unknown, scores ten below the vocabulary's least, and counts as its UTF-8 bytes (byte fallback).
-Words begin at the white-space mark, before which no piece can continue, so each is solved alone.
+As by the pre-tokenizer Metaspace(split=True), a word begins at every white-space mark and is solved
+alone; pieces of two or more marks are never used.
 """
 
 from __future__ import annotations
