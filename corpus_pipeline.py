@@ -1,8 +1,8 @@
 """A corpus pipeline: quality, exact dedup, near dedup, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents. A doc_id names a document:
-rows that repeat one are judged together. Rows whose doc_id is null are never dropped as copies.
+as the next one's docs. All but the last return the columns of documents. The two dedup stages judge
+every row by itself, whether its doc_id is null or repeated: one row of each group of copies stays.
 Stages read doc_id and text (and n_chars); other columns pass through whatever their names. Null texts
 are empty; empty tables pass through empty.
 """
@@ -25,15 +25,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space aside) the one with the smallest doc_id stays."""
-    gone = dedup.exact_dedup(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return _without(docs, materialize(gone, "gone"))
+    """Of equal texts (white space aside) one row stays: that with the smallest doc_id."""
+    rows, key = _keyed(docs)
+    found = dedup.exact_dedup(rows.select(F.col(key).alias("doc_id"), "text"))
+    return _one_of_each(rows, key, found.select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    found = similarity.jaccard_components(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN)
-    return _without(docs, materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone"))
+    """Of each group of near duplicates one row stays: that with the smallest doc_id."""
+    rows, key = _keyed(docs)
+    found = similarity.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), NEAR_WORDS, NEAR_NUM, NEAR_DEN)
+    return _one_of_each(rows, key, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +48,21 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    ids = gone.select(F.col("doc_id").alias("pipeline_gone_id"))
-    return docs.join(ids, docs["doc_id"] == ids["pipeline_gone_id"], "left_anti")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written with a key of their own, and that column's name."""
+    key = "pipeline_row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def _one_of_each(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """Of each group of ``found`` (row, group) the row with the smallest doc_id, null ones last; the smallest key of equal ones."""
+    ids = found.join(rows.select(F.col(key).alias("row"), "doc_id"), "row")
+    first = ids.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    kept = first.select(F.col("first.row").alias("row"))
+    gone = materialize(found.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", key), "gone")  # narrow, and no key is hot
+    return rows.join(gone, key, "left_anti").select(*(rows[c] for c in rows.columns if c != key))
 
 
 STAGES = [

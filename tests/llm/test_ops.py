@@ -357,3 +357,15 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "jaccard_join", "pii", "best_fit_packing"]
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not kept & {*range(150, 300)} and 300 not in kept and 301 not in kept and {*range(150)} <= kept
+
+
+def test_pipeline_judges_rows_one_by_one(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "null copy"), (None, "null  copy"), (1, "twice"), (1, "twice"), (2, "kept too"), (3, "shared"), (3, "alone"), (0, "shared"), (None, "shared"), (None, None), (9, "")]
+    got = corpus_pipeline.dedup_stage(spark, spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, pipeline_row int"), "")
+    assert got.columns == ["doc_id", "text", "pipeline_row"] and {r["pipeline_row"] for r in got.collect()} == {7}
+    left = sorted((str(r["doc_id"]), (r["text"] or "").replace("  ", " ")) for r in got.collect())
+    assert left == [("0", "shared"), ("1", "twice"), ("2", "kept too"), ("3", "alone"), ("9", ""), ("None", "null copy")]
+    near = [(None, long + " a"), (None, long + " b"), (5, "one of its own kind and long enough"), (5, long + " c"), (4, long + " d"), (None, "no other text is like this one at all")]
+    got = corpus_pipeline.near_stage(spark, spark.createDataFrame(near, "doc_id long, text string"), "").collect()
+    assert {tuple(r) for r in got} == {near[2], near[4], near[5]} and len(got) == 3
