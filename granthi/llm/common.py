@@ -10,25 +10,62 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is hot where it holds more than one row in so many: there are at most that many hot keys, so they can be broadcast.
+HOT_SHARE = 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where the session names none (tests, one machine), a new one."""
+    """The folder named by ``spark.checkpoint.dir``; where a local session names none, a new one of this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="granthi-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage is cut, values that a retried task could make anew differently are fixed, and a
-    lost executor costs at most its running tasks.
+    lost executor costs at most its running tasks. ``release`` deletes what is no longer read; the rest goes
+    when the application ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def release(*kept: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for df in kept:
+        fs, at = _hadoop(df.sparkSession, df._kept_at)
+        fs.delete(at, True)
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` with the other columns of ``table`` (null where it has no such keys), which has a row for each key.
+
+    ``weight``: the column of ``table`` that says how many rows hold the key; it is left out of the result. Keys that
+    hold more than a HOT_SHARE-th of ``total`` rows are at most HOT_SHARE, whatever the input: they are broadcast, and
+    only the others, none of which is hot, are dealt out by key. Both are read twice, so they should be tables.
+    """
+    hot = F.col(weight) * HOT_SHARE > total
+    few, many = table.where(hot).drop(weight), table.where(~hot).drop(weight)
+    found = rows.join(F.broadcast(few.withColumn("_hot", F.lit(True))), keys, "left")
+    return found.where("_hot").drop("_hot").unionByName(rows.join(F.broadcast(few.select(keys)), keys, "left_anti").join(many, keys, "left"))
 
 
 def crc32_mod(doc_id: Column, m: int) -> Column:

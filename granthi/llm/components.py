@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import look_up, materialize, release
 
 PAIRS = "child long, parent long"
 
@@ -51,25 +51,31 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(child, parent) for each node of ``links`` (columns child, parent) that is not its component's smallest.
 
-    A round deals links by their larger node, contracts them within each task, and lets every parent be
-    replaced by its own parent. A node that many others hang on is only ever a parent, so no task
-    receives it; rounds end when nothing changes, after about the logarithm of the longest path.
+    Links are contracted where they are made, so that a node keeps one parent for each task. A round then deals links
+    by their larger node, contracts them within each task, and lets every parent be replaced by its own
+    parent; parents of many nodes are looked up without being dealt out. Rounds end when nothing changes, after
+    about the logarithm of the longest path.
     """
-    spark = links.sparkSession
     up = links.where("child <> parent").select(F.greatest("child", "parent").alias("child"), F.least("child", "parent").alias("parent"))
-    state, last = materialize(up, "links"), None
-    for _ in range(most_rounds):
+    state, last = materialize(up.mapInArrow(_contract, PAIRS), "links"), None
+    total = state.count()
+    if not total:
+        return state
+    while True:
         small = state.repartition("child").mapInArrow(_contract, PAIRS)
         least = small.select("child", "parent", F.min("parent").over(Window.partitionBy("child")).alias("least"))
         # a node with several parents, from different tasks or lots, links them: each larger one gets the smallest as its parent
         flat = materialize(least.select(F.when(F.col("parent") > F.col("least"), F.col("parent")).otherwise(F.col("child")).alias("child"), F.col("least").alias("parent")).distinct(), "links")
         above = flat.select(F.col("child").alias("parent"), F.col("parent").alias("above")).groupBy("parent").agg(F.min("above").alias("above"))
-        state = materialize(flat.join(above, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent")).distinct(), "links")
-        now = state.agg(F.count("*"), F.countDistinct("child"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first()
-        if tuple(now) == last and now[0] == now[1]:
+        above = flat.groupBy("parent").agg(F.count("*").alias("n")).join(above, "parent")
+        found = look_up(flat, above, ["parent"], "n", total)
+        new = materialize(found.select("child", F.coalesce("above", "parent").alias("parent")).distinct(), "links")
+        release(state, flat)
+        state = new
+        now = tuple(state.agg(F.count("*"), F.countDistinct("child"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first())
+        if now == last and now[0] == now[1]:
             return state
-        last = tuple(now)
-    raise RuntimeError("components did not settle")
+        last, total = now, now[0]

@@ -2,9 +2,9 @@
 
 Documents become pieces of at most ``LIMIT`` tokens. Only the histogram of piece lengths (at most
 ``LIMIT`` numbers, however many rows) goes to the driver, where the plan is made on counts: for each
-length, from the longest, the gap that it leaves is looked up among single lengths, then among sums of
-two and of three lengths, and combinations that fill it exactly are consumed as often as the counts
-allow; what is left over is placed best fit, longest first, into the fullest sequence that has room.
+length, from the longest, the gap that it leaves is looked up among single lengths, then in an index of the
+sums of two and one of three lengths, and combinations that fill it exactly are consumed as often as the
+counts allow; what is left over is placed best fit, longest first, into the fullest sequence that has room.
 The plan is a list of patterns with multiplicities. Every piece then finds its own place from its rank
 among the pieces of its length: ranks come from counts for each chunk, so no length, however
 common, is gathered into one task.
@@ -13,8 +13,10 @@ common, is gathered into one task.
 from __future__ import annotations
 
 import os
+import re
 import string
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +33,8 @@ from .common import chunks, materialize, read_table
 LIMIT = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
+#: Chunks whose numbers agree but for so many low bits form a band: those of 256 input partitions.
+BAND = 40
 #: Distinct words that a Python worker remembers; then it keeps those of the present chunk that it had met before.
 REMEMBERED = 400_000
 
@@ -39,8 +43,10 @@ class WordEncoder:
     """The tokenizer's ids of whole texts, as little-endian 32-bit numbers.
 
     The tokenizer drops white space and splits at it, so the words between blanks, tabs and line ends are
-    encoded one by one and remembered. An ASCII word is looked up in lower case, and the ASCII punctuation
-    that ends a word of letters is a word of its own, as the tokenizer's pattern has it.
+    encoded one by one and remembered. ASCII capitals become small letters, and ASCII punctuation that ends a
+    word of letters becomes a word of its own, as the tokenizer's pattern has it; both happen to whole lots of
+    texts, but not to texts with combining marks, which the tokenizer composes before it lowers them. A text
+    that holds one of the tokenizer's added tokens is encoded by the tokenizer in one piece.
     """
 
     def __init__(self, path: str):
@@ -50,7 +56,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.bare = Tokenizer.from_file(path)  # for lower-case ASCII letters, which the skipped steps leave alone
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        self.tokenizer.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.added = "|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {"": b""}
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
@@ -74,36 +80,41 @@ class WordEncoder:
                 self.known[x] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        low = [w.lower() if w.isascii() else w for w in words]
-        plain = {x for x in low if x.isalpha()}
-        odd, parts = set(), []
-        for w, x in zip(words, low, strict=True):
-            if x.isalpha():
-                if w != x:
-                    parts.append((w, x, ""))
+        plain, letters, odd, parts = [], set(), set(), []
+        for w in words:
+            if w.isalpha():
+                if w.isascii() and w.islower():
+                    plain.append(w)
+                elif not w.isascii():
+                    letters.add(w)
+                else:
+                    odd.add(w)
                 continue
-            core = x.rstrip(string.punctuation)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0250" and core.lower().isalpha()):
-                plain.add(core)
-                odd.add(x[len(core) :])
-                parts.append((w, core, x[len(core) :]))
+            core = w.rstrip(string.punctuation)
+            if not w.isascii() and core.isalpha() and max(core) < "\u0250" and core.lower().isalpha():
+                letters.add(core)
+                odd.add(w[len(core) :])
+                parts.append((w, core, w[len(core) :]))
             else:
                 odd.add(w)
-        plain.difference_update(self.known)
-        self.encode_plain([x for x in plain if x.isascii()], self.bare)
-        self.encode_plain([x for x in plain if not x.isascii()], self.tokenizer)
+        self.encode_plain(plain, self.bare)
+        self.encode_plain([*letters.difference(self.known)], self.tokenizer)
         self.encode_odd([*odd.difference(self.known)])
         self.known.update([(w, self.known[core] + self.known[tail]) for w, core, tail in parts])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        raw = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(raw, self.added) if self.added else pa.array(np.zeros(len(texts), bool))
+        marked = pc.match_substring_regex(raw, "[\u0300-\u036f]")
+        low = pc.replace_substring_regex(pc.ascii_lower(raw), r"([a-z])([!-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(pc.if_else(whole, "", pc.if_else(marked, raw, low)))
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {"": b""} | {w: self.known[w] for w in words if w in self.known}  # words met again are the common ones
         self.learn(new)
-        found = [self.known[w] for w in words]
+        found = [*map(self.known.__getitem__, words)]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(size) - size
         which = coded.indices.to_numpy()
@@ -112,7 +123,10 @@ class WordEncoder:
         at = np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1])
         ids = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
         bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
-        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @lru_cache(2)
@@ -120,59 +134,78 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+class Complements:
+    """Counts of lengths on hand, and indexes of the pairs and triples of lengths by their sum.
+
+    A sum's pairs (of two lengths, the longer one first) and triples (a length and a pair of the remaining sum) are
+    listed when the sum is first asked for, the longest lengths first. Counts only fall, so a
+    combination that is used up never comes back, and each list is read once, whatever the number of questions.
+    """
+
+    def __init__(self, counts: dict[int, int], limit: int):
+        self.have = [0] * (limit + 1)
+        for length, n in counts.items():
+            self.have[length] += n
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def pair(self, total: int, spoken: int = 0) -> tuple[int, int] | None:
+        """The first pair of this sum on hand; ``spoken``: a length whose count lacks one that is spoken for at present."""
+        have, firsts = self.have, self.pairs.get(total)
+        if firsts is None:  # in rising order: the last one is the pair's longest
+            firsts = self.pairs[total] = [a for a in range((total + 1) // 2, total) if have[a] and have[total - a]]
+        at = len(firsts) - 1
+        while at >= 0:
+            a = firsts[at]
+            if have[a] and have[total - a] and (2 * a != total or have[a] > 1):
+                return a, total - a
+            if spoken not in (a, total - a):
+                del firsts[at]
+            at -= 1
+        return None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """The first triple of this sum on hand."""
+        have, firsts = self.have, self.triples.get(total)
+        if firsts is None:
+            firsts = self.triples[total] = [a for a in range(-(-total // 3), total - 1) if have[a]]
+        while firsts:
+            a = firsts[-1]
+            if have[a]:
+                have[a] -= 1
+                two = self.pair(total - a, a)
+                have[a] += 1
+                if two:
+                    return a, *two
+            firsts.pop()
+        return None
+
+
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence's pieces, number of such sequences) that use up ``counts``."""
-    have = np.zeros(limit + 1, np.int64)
-    for length, n in counts.items():
-        have[length] += n
+    hand = Complements(counts, limit)
+    have = hand.have
     out: list[tuple[tuple[int, ...], int]] = []
 
     def take(pattern: tuple[int, ...]) -> None:
-        need = np.bincount(pattern, minlength=limit + 1)
-        used = need > 0
-        n = int((have[used] // need[used]).min())
-        have[used] -= n * need[used]
+        need = Counter(pattern)
+        n = min(have[x] // k for x, k in need.items())
+        for x, k in need.items():
+            have[x] -= n * k
         out.append((pattern, n))
 
-    def pair(total: int, kept: int) -> tuple[int, int] | None:
-        """Two lengths on hand with this sum, the longest first one; ``kept``: a length of which one is spoken for."""
-        if total < 2:
-            return None
-        own = have[: total + 1].copy()
-        if kept <= total:
-            own[kept] -= 1
-        a = np.arange(total - 1, (total - 1) // 2, -1)
-        a = a[a >= total - a]
-        fits = (own[a] > 0) & (own[total - a] > 0) & ((a * 2 != total) | (own[a] > 1))
-        return (int(a[k]), int(total - a[k])) if len(fits) and fits[k := int(fits.argmax())] else None
-
-    leftover = np.zeros(limit + 1, np.int64)
     if have[limit]:
         take((limit,))
+    leftover = np.zeros(limit + 1, np.int64)
     for length in range(limit - 1, 0, -1):
         gap = limit - length
         while have[length]:
-            if have[gap] - (gap == length) > 0:
-                take((length, gap))
-                continue
-            if two := pair(gap, length):
-                take((length, *two))
-                continue
-            three = None
-            for a in (np.flatnonzero(have[1:gap]) + 1)[::-1]:
-                if a * 3 < gap:
-                    break
-                if have[a] - (a == length) <= 0:
-                    continue
-                have[a] -= 1
-                two = pair(gap - int(a), length)
-                have[a] += 1
-                if two:
-                    three = (length, int(a), *two)
-                    break
-            if not three:
+            have[length] -= 1  # the piece whose gap is to be filled
+            rest = (gap,) if have[gap] else hand.pair(gap) or hand.triple(gap)
+            have[length] += 1
+            if not rest:
                 break
-            take(three)
+            take((length, *rest))
         leftover[length], have[length] = have[length], 0
     groups: dict[int, dict[tuple[int, ...], int]] = {}  # room left: pattern, number of sequences
     for length in range(limit - 1, 0, -1):
@@ -257,10 +290,14 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT, keep_i
             used[length] += n
             offset += length
         sequence += n
-    first = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = counted.withColumn("before", F.coalesce(F.sum("n").over(first), F.lit(0))).drop("n")
+    # Ranks before each chunk: sums over groups of chunks first, so that no window holds a common length's every chunk.
+    counted = counted.withColumn("band", F.shiftright("chunk", BAND))
+    back = lambda *by: Window.partitionBy("length", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    bands = counted.groupBy("length", "band").agg(F.sum("n").alias("n")).select("length", "band", F.coalesce(F.sum("n").over(back("band")), F.lit(0)).alias("below"))
+    inside = counted.select("length", "band", "chunk", F.coalesce(F.sum("n").over(back("band", "chunk")), F.lit(0)).alias("inside"))
+    before = inside.join(bands, ["length", "band"]).select("length", "chunk", (F.col("below") + F.col("inside")).alias("before"))
     ranked = made.join(before, ["chunk", "length"])
-    table = spark.sparkContext.broadcast({k: np.array(v, np.int64).T for k, v in slots.items()})  # bounded: it follows from ``limit`` counts
+    table = spark.sparkContext.broadcast({k: np.array(v, np.int64).T for k, v in slots.items()})  # some 53,000 slots from 3 million to 3 billion pieces: the plan follows from ``limit`` counts
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -78,33 +78,6 @@ def test_plan_is_close_to_the_bound():
     assert sum(n for _, n in made) <= np.ceil(sum(k * n for k, n in counts.items()) / 4096) * 1.01 + 1
 
 
-def test_lm(spark, docs):
-    got = {(r["doc_id"], r["n_tokens"]): r for r in lm.lm_scores(docs).collect()}
-    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
-    train = Counter(w for i, t in TEXTS if fold(i) for w in [*tokens(t), None])
-    n, v = sum(train.values()), len(train)
-    for i, t in TEXTS:
-        own = [*tokens(t), None]
-        r = got[i, len(own)]
-        assert (r["held_out"], r["train_tokens"], r["n_known"]) == (fold(i) == 0, n, sum(train[w] > 0 for w in own))
-        assert r["base_score"] == pytest.approx(sum(np.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), rel=1e-9)
-        assert np.isfinite(r["score"]) and r["score"] < 0
-    assert lm.lm_scores(docs.limit(0)).count() == 0
-
-
-def test_lm_weights():
-    histogram = np.zeros((lm.BUCKETS, lm.BINS))
-    histogram[3, 0], histogram[3, -1] = 50, 50
-    weights = lm.learn_weights(histogram)
-    assert weights[0] == 0 and weights[3] == pytest.approx(0.5, abs=0.01) and weights[9] == weights[3]
-
-
-def test_lm_model_is_a_distribution_gain(spark):
-    rows = [(i, "the cat sat on the mat and the dog sat on the rug") for i in range(60)]
-    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
-
-
 def test_quality(spark, docs):
     rows = [(i, f"A fine text number {i}. It has sentences, and they end.") for i in range(0, 200)] + [(i, f"BUY!!! $$$ {i} WIN *** NOW!!!") for i in range(200, 400)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
@@ -160,8 +133,12 @@ def brute_components(rows, words, num, den):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("words", "num", "den"), [(3, 90, 100), (5, 80, 100)])
-def test_jaccard(spark, docs, words, num, den):
+@pytest.mark.parametrize(("words", "num", "den", "block"), [(3, 90, 100, 1500), (5, 80, 100, 1500), (3, 90, 100, 7), (5, 80, 100, 7), (5, 80, 100, 1)])
+def test_jaccard(spark, docs, monkeypatch, words, num, den, block):
+    """At each size of blocks; with large ones all links must come from the product, without the reduction."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
+    ran = []
+    monkeypatch.setattr(similarity, "_reduced", lambda *a, f=similarity._reduced: ran.append(1) or f(*a))
     rng = np.random.default_rng(5)
     rows = [x for x in dict(TEXTS).items() if x[0] is not None]
     base = [f"w{k}" for k in range(150)]
@@ -174,10 +151,25 @@ def test_jaccard(spark, docs, words, num, den):
     got = by_id(similarity.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words, num, den))
     want = brute_components(rows, words, num, den)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+    assert bool(ran) == (block < 1500)
     assert similarity.jaccard_components(docs).count() == len(TEXTS)
     assert similarity.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_rows_that_share_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text + " a"), (None, text + " b"), (7, text + " c"), (7, "one of its own kind and long enough"), (9, "one of its own kind and long enough"), (None, "alone in all the world"), (8, None)]
+    got = similarity.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0, r["component_id"]) for r in got), key=str) == sorted([(0, 7), (0, 7), (7, 7), (7, 7), (9, 7), (0, None), (8, 8)], key=str)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 900 if k % 3 else 60, rng.integers(1, 80))).astype(np.uint64) for k in range(120)]
+    got = similarity.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(120) for j in range(120) if i != j)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 2000 + k) for k in range(100)]

@@ -16,7 +16,6 @@ ODD = ["", "İ. x", "it's o'clock' 's 't", "<|endoftext|>a <|startoftext|>", "do
 def test_words_as_whole_texts(monkeypatch, remembered):
     monkeypatch.setattr(packing, "REMEMBERED", remembered)
     whole = Tokenizer.from_file(packing.TOKENIZER)
-    whole.encode_special_tokens = True
     own = packing.WordEncoder(packing.TOKENIZER)
     dice = random.Random(1)
     texts = ODD + ["".join(dice.choices(LETTERS, k=dice.randint(0, 30))) for _ in range(3000)]
