@@ -3,7 +3,8 @@
 A conversation becomes one formatted string; every assistant turn becomes an example that ends with
 that turn, takes all turns before it as context and trains on that reply alone. Examples are stored
 as offsets into the conversation's string (an example's text is a prefix of it), so a conversation of
-n turns costs n offsets and not n copies. ``example_texts`` writes the examples out.
+n turns costs n offsets and not n copies. ``examples`` explodes them into rows of their own, each with the text
+under its loss mask, and ``example_texts`` writes their whole texts out.
 
 A turn is ``<s><|role|>`` body ``</s>``; a user's body is ``[INST]`` text ``[/INST]``. Control strings
 inside a text get one backslash after their first character, whatever backslashes stand there already,
@@ -12,10 +13,10 @@ so that taking one away restores the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialize, read_table
 
 TAIL = r"(/?s>|/?INST\]|\|)"
 ESCAPE, UNESCAPE = rf"([<\[])(\\*){TAIL}", rf"([<\[])\\(\\*){TAIL}"
@@ -35,8 +36,9 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    marked = F.replace(role, F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(F.replace(marked, F.lit("\\p"), F.lit("|")), F.lit("\\l"), F.lit("<")), F.lit("\x00"), F.lit("\\"))
+    """Every escape read once, from the left."""
+    parts = F.regexp_extract_all(role, F.lit(r"\\[\\pl]|[^\\]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p == "\\\\", "\\").when(p == "\\p", "|").when(p == "\\l", "<").otherwise(p)), "")
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -53,49 +55,29 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
     head = F.concat(F.lit(OPEN), _role_out(F.col("role")), F.lit("|>"), F.when(F.col("role") == "user", "[INST]").otherwise(""))
     tail = F.concat(F.when(F.col("role") == "user", "[/INST]").otherwise(""), F.lit(CLOSE))
-    parts = rows.select(
-        "conv_id",
-        F.struct(
-            "turn",
-            "role",
-            "text",
-            head.alias("head"),
-            escaped(F.col("text")).alias("body"),
-            tail.alias("tail"),
-        ).alias("t"),
-    )
-    grouped = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    lengths = F.transform("ts", lambda t: F.length(t["head"]) + F.length(t["body"]) + F.length(t["tail"]))
-    ends = F.aggregate(
-        "lengths",
-        F.array(F.lit(0)),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
-    )
-    one = F.transform(
-        "ts",
-        lambda t, i: F.struct(
-            i.alias("turn_no"),
-            t["role"].alias("role"),
-            F.element_at("ends", i + 1).alias("context_end"),
-            (F.element_at("ends", i + 1) + F.length(t["head"])).alias("loss_start"),
-            (F.element_at("ends", i + 1) + F.length(t["head"]) + F.length(t["body"])).alias("loss_end"),
-            F.element_at("ends", i + 2).alias("end"),
-        ),
+    parts = rows.select("conv_id", "turn", "role", "text", head.alias("head"), escaped(F.col("text")).alias("body"), tail.alias("tail"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = parts.withColumn("turn_no", F.row_number().over(order) - 1).withColumn(
+        "end", F.sum(F.length("head") + F.length("body") + F.length("tail")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     )
+    context_end = F.col("end") - F.length("head") - F.length("body") - F.length("tail")
+    turn = F.struct("turn_no", F.concat("head", "body", "tail").alias("part"))
+    loss_start = (context_end + F.length("head")).alias("loss_start")
+    example = F.when(F.col("role") == "assistant", F.struct("turn_no", context_end.alias("context_end"), loss_start, (F.col("end") - F.length("tail")).alias("loss_end"), "end"))
     return (
-        grouped.withColumn("lengths", lengths)
-        .withColumn("ends", ends)
-        .select(
-            "conv_id",
-            F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], t["tail"])), "").alias("formatted"),
-            F.transform(
-                F.filter(one, lambda e: e["role"] == "assistant"),
-                lambda e: F.struct(e["turn_no"].alias("turn_no"), *(e[c].alias(c) for c in ("context_end", "loss_start", "loss_end", "end"))),
-            ).alias("examples"),
-        )
+        placed.groupBy("conv_id")
+        .agg(F.sort_array(F.collect_list(turn)).alias("ts"), F.sort_array(F.collect_list(example)).alias("examples"))
+        .select("conv_id", F.array_join(F.transform("ts", lambda t: t["part"]), "").alias("formatted"), "examples")
     )
 
 
+def examples(formatted: DataFrame) -> DataFrame:
+    """One row per example: conv_id, turn_no, context_end, loss_start, loss_end, end, and the text under the loss mask, unescaped."""
+    rows = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
+    loss = unescaped(F.expr("substring(formatted, e.loss_start + 1, e.loss_end - e.loss_start)"))
+    return rows.select("conv_id", "e.*", loss.alias("loss"))
+
+
 def example_texts(formatted: DataFrame) -> DataFrame:
     """One row per example: conv_id, turn_no, text (context and target), loss_start, loss_end."""
     return formatted.select("conv_id", "formatted", F.explode("examples").alias("e")).select(
@@ -126,18 +108,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(probe).alias("text"),
     )
-    out = format_conversations(turns.unionByName(extra))
-    back = out.withColumn("turns", parsed_turns(F.col("formatted"))).withColumn(
-        "loss",
-        F.array_join(
-            F.transform(
-                "examples", lambda e: unescaped(F.col("formatted").substr(e["loss_start"] + 1, e["loss_end"] - e["loss_start"]))
-            ),
-            "",
-        ),
-    )
+    made = materialize(format_conversations(turns.unionByName(extra)), "formatted")
+    replies = examples(made).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_no", "loss"))), lambda x: x["loss"]), "").alias("loss"))
+    back = made.select("conv_id", "formatted", parsed_turns(F.col("formatted")).alias("turns")).alias("a")
+    both = back.join(replies.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")), "left").select("a.*", F.coalesce("b.loss", F.lit("")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
+    return both.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),

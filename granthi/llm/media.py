@@ -1,7 +1,8 @@
 """Telephony audio: mu-law and A-law expansion by table, IMA ADPCM decoding across blocks, resampled PCM.
 
 ``store`` wraps 8-bit samples in a RIFF/WAVE container (format 7, mu-law, 8 kHz), ``read_back`` takes
-them out of it, ``decode`` turns a coded payload into 16-bit PCM and ``resample`` doubles its rate.
+them out of it, ``decode`` turns a coded payload into 16-bit PCM and ``resample`` doubles its rate. ``media_table``
+has both as columns, the coded call and the resampled PCM, each a file; ``media_digests`` reads them back.
 """
 
 from __future__ import annotations
@@ -121,8 +122,8 @@ def pcm_file(media: bytes) -> bytes:
     return wave(resample(decode(read_back(media), "mulaw")).tobytes(), 1, 2 * RATE, 2)
 
 
-def features(payloads: list[bytes]) -> list[str]:
-    """For each payload: loudness as mu-law and as A-law, mean and peak as ADPCM, and the resampled PCM's checksum."""
+def features(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
+    """For each payload: loudness as mu-law and as A-law, mean and peak as ADPCM; and its stored PCM's loudness and checksum."""
     joined = np.frombuffer(b"".join(payloads), np.uint8)
     ends = np.cumsum([len(p) for p in payloads])
     starts = ends - [len(p) for p in payloads]
@@ -132,45 +133,75 @@ def features(payloads: list[bytes]) -> list[str]:
     block = starts // BLOCK
     total = np.add.reduceat(adpcm.sum(axis=1, dtype=np.int64), block)
     peak = np.maximum.reduceat(np.abs(adpcm.astype(np.int32)).max(axis=1), block)
-    return [
-        f"mulaw={loud[0][i]};alaw={loud[1][i]};adpcm={total[i]},{peak[i]};pcm16k={zlib.crc32(resample(mu[a:b]).tobytes()):08x}"
-        for i, (a, b) in enumerate(zip(starts, ends, strict=True))
-    ]
+    samples = np.frombuffer(b"".join(pcm), "<i2").astype(np.int32)
+    wide = np.add.reduceat(np.abs(samples), 2 * starts, dtype=np.int64)
+    return [f"mulaw={loud[0][i]};alaw={loud[1][i]};adpcm={total[i]},{peak[i]};pcm16k={wide[i]},{zlib.crc32(pcm[i]):08x}" for i in range(len(payloads))]
 
 
+MEDIA = "doc_id long, n_bytes long, media binary, pcm binary"
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def emit(rows: list[tuple], payloads: list[bytes]) -> pa.RecordBatch:
-        columns = [*zip(*rows, strict=True), features(payloads)]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f[0] for f in fields])
 
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, payloads, size = [], [], 0
+        rows, size = [], 0
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             text = text.as_py() or ""
             media = store(text)
+            rows.append((doc_id.as_py(), len(text.encode()), media, pcm_file(media)))
+            size += len(media)
+            if size >= CHUNK:
+                yield _batch(rows, MEDIA)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, MEDIA)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(rows: list[tuple], payloads: list[bytes], pcm: list[bytes]) -> pa.RecordBatch:
+        return _batch([(*r, f) for r, f in zip(rows, features(payloads, pcm), strict=True)], SCHEMA)
+
+    for batch in batches:
+        rows, payloads, pcm, size = [], [], [], 0
+        for doc_id, n_bytes, media, wide in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "media", "pcm")), strict=True):
+            media = media.as_py()
             payload = read_back(media)
-            rows.append((doc_id.as_py(), len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest()))
+            rows.append((doc_id.as_py(), n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest()))
             payloads.append(payload)
+            pcm.append(read_back(wide.as_py()))
             size += len(payload)
             if size >= CHUNK:
-                yield emit(rows, payloads)
-                rows, payloads, size = [], [], 0
+                yield emit(rows, payloads, pcm)
+                rows, payloads, pcm, size = [], [], [], 0
         if rows:
-            yield emit(rows, payloads)
+            yield emit(rows, payloads, pcm)
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: digests of the stored file and features of what was read back.
+def media_table(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, media (the text's bytes as a mu-law call) and pcm (the same call, expanded and resampled to 16 kHz).
 
-    Null texts are empty: one unit of padding. Equal texts give equal values, repeated rows repeat.
-    An empty table gives an empty result; columns other than doc_id and text are ignored.
+    Null texts are empty: one unit of padding. Equal texts give equal files, repeated rows repeat. An empty table
+    gives an empty result; columns other than doc_id and text are ignored.
     """
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_rows, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_stored, MEDIA)
+
+
+def write_media(docs: DataFrame, path: str) -> DataFrame:
+    """The media table, written as Parquet (zstd) below ``path`` and read back."""
+    media_table(docs).write.option("compression", "zstd").mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema(MEDIA).parquet(path)
+
+
+def media_digests(media: DataFrame) -> DataFrame:
+    """One row per row of a media table: digests of the stored call, and features of what is read back from both files."""
+    return media.mapInArrow(_digests, SCHEMA)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(read_table(spark, sf_dir, "documents"))
+    return media_digests(media_table(read_table(spark, sf_dir, "documents")))

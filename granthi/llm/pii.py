@@ -1,11 +1,13 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
-Patterns give candidates: spans of the base kinds and loose ones (strings that fail a check, long mixed
-strings). Three labelers vote on each: a shape (regex and checksum) labeler, a gazetteer labeler and a
+Patterns give candidates: spans of the base kinds, strings that fail a base kind's check, mail addresses and
+telephone numbers in looser writing (``a (at) b.org``, ``(743) 555-0100``), and long mixed strings. Three labelers vote on each: a shape (regex and checksum) labeler, a gazetteer labeler and a
 context labeler, which look at the value, at known lists, and at the words before it. The votes are
 counted in Spark; expectation-maximisation on these counts (a few hundred rows at most, however large the input)
 estimates each labeler's reliability, and its posteriors train a logistic span classifier, which adds spans.
-Base spans always stay. Texts are read once and never enter a shuffle.
+Base spans always stay. What the shape labeler rejects is never added, whatever stands around it: an address with
+a part over 255 or a number whose check digit fails is none. So spans can be added of the kinds email, phone and
+secret, and of ip and card none beyond the base ones. Texts are read once and never enter a shuffle.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 
-KINDS = ("email", "ip", "card", "phone", "secret")
-BASE = KINDS[:4]
+BASE = ("email", "ip", "card", "phone")
+#: Kinds of candidates, and the kind of span that each gives.
+KINDS = {"email": "email", "email_loose": "email", "ip": "ip", "card": "card", "phone": "phone", "phone_loose": "phone", "secret": "secret"}
+ORDER = (*BASE, "secret")
 # The base patterns. Possessive quantifiers and the look-behinds change no match: they keep the matcher from
 # trying a failed run again at each of its characters, and from a stack as deep as the run is long.
 PATTERNS = {
@@ -26,10 +30,12 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "email_loose": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?+[(\[]at[)\]]\x20?+[A-Za-z0-9-]++(?:\x20?+(?:\.|[(\[]dot[)\]])\x20?+[A-Za-z0-9-]++)++",
+    "phone_loose": r"(?<![A-Za-z0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9]|[.-][0-9])",
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
-#: What a text must hold for the pattern to be worth trying.
-NEEDS = {"email": "@", "phone": "+"}
+#: What a text must hold (one of these) for the pattern to be worth trying.
+NEEDS = {"email": ("@",), "phone": ("+",), "email_loose": ("(at)", "[at]", "(at]", "[at)")}
 #: Characters before a span that the context labeler reads.
 CONTEXT = 24
 # The gazetteers.
@@ -42,6 +48,7 @@ CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp"),
     "secret": ("=", ":", "key", "token", "secret", "password"),
 }
+CUES |= {"email_loose": CUES["email"], "phone_loose": CUES["phone"]}
 
 
 def _digits(x: str) -> str:
@@ -80,12 +87,18 @@ def _shape_vote(kind: str) -> str:
     """1 yes, 0 no, 2 no vote."""
     if kind == "secret":
         return "case when x.m rlike '^(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)$' then 1 when length(regexp_replace(x.m, '[^0-9]', '')) * 5 < length(x.m) then 0 else 2 end"
-    if kind == "email":
-        return "case when x.m rlike '[.][A-Za-z]{2,}+$' then 1 else 0 end"
+    if kind in ("email", "email_loose"):
+        return "case when x.m rlike '[A-Za-z]{2,}+$' then 1 else 0 end"
+    if kind == "phone_loose":
+        return "2"
     return f"case when {_base_test(kind)} then 1 else 0 end"
 
 
 def _list_vote(kind: str) -> str:
+    if kind == "email_loose":
+        return f"case when lower(regexp_extract(x.m, '[A-Za-z0-9-]+$', 0)) in ({', '.join(map(repr, TOP_LEVEL))}) then 1 else 2 end"
+    if kind == "phone_loose":  # area and exchange codes begin with 2 to 9
+        return "case when x.m rlike '^[(]?[2-9][0-9]{2}[^0-9]{1,2}[2-9]' then 1 else 0 end"
     if kind == "email":
         return f"case when lower(substring_index(x.m, '.', -1)) in ({', '.join(map(repr, TOP_LEVEL))}) then 1 else 2 end"
     if kind == "ip":
@@ -113,19 +126,23 @@ def _candidates(kind: str, text: str) -> Column:
     walk = f"""aggregate({found}, named_struct('at', 0, 'out', cast(array() as array<{out}>)), (acc, x) -> if(x.m is null, acc,
         named_struct('at', acc.at + x.l + length(x.m), 'out', if({test}, concat(acc.out, array({item})), acc.out))), acc -> acc.out)"""
     none = f"cast(array() as array<{out}>)"
-    return F.expr(f"if(contains({text}, '{NEEDS[kind]}'), {walk}, {none})" if kind in NEEDS else walk)
+    return F.expr(f"if({' or '.join(f'contains({text}, {x!r})' for x in NEEDS[kind])}, {walk}, {none})" if kind in NEEDS else walk)
+
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """(kept, found) for each row of ``docs``: the whole row as a struct, and its candidates; null texts are empty and have none.
 
-def candidates(docs: DataFrame, text: str = "text", into: str = "pii_candidates") -> DataFrame:
-    """``docs`` with an array of candidates; null texts are empty and have none."""
-    clean = docs.withColumn("pii_text", F.coalesce(F.col(text), F.lit("")))
-    parts = [_candidates(k, "pii_text").alias(f"pii_{k}") for k in KINDS]
-    rest = [F.col(f"`{c}`") for c in docs.columns]
-    found = clean.select(*rest, *parts)
-    return found.select(*rest, F.concat(*(F.col(f"pii_{k}") for k in KINDS)).alias(into))
+    The row stays in one struct, so that no name of its columns can clash with one used here. A loose candidate
+    that overlaps a base span of its kind is left out.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"))
+    whole = rows.select("kept", F.coalesce(F.col("kept.text"), F.lit("")).alias("whole"))
+    parts = whole.select("kept", *(_candidates(k, "whole").alias(k) for k in KINDS))
+    free = "filter({0}_loose, c -> not exists({0}, b -> b.base and b.s < c.e and c.s < b.e))"
+    return parts.select("kept", F.concat(*(F.expr(free.format(KINDS[k])) if k.endswith("_loose") else F.col(k) for k in KINDS)).alias("found"))
 
 
-Pattern = tuple[str, int, int, int, int, int]
+Pattern = tuple[str, int, int, int, int, int]  # kind of candidate, three votes, size, share of digits
 
 
 def reliabilities(counts: dict[Pattern, int], rounds: int = 50) -> tuple[dict[str, float], list[list[list[float]]], dict[Pattern, float]]:
@@ -185,16 +202,16 @@ def train_classifier(counts: dict[Pattern, int], posterior: dict[Pattern, float]
     return weights
 
 
-def learn(found: DataFrame, column: str = "pii_candidates") -> dict[str, float]:
+def learn(found: DataFrame, column: str = "found") -> dict[str, float]:
     """The classifier's weights, from the votes on all candidates of ``found``."""
     c = found.select(F.explode(column).alias("c")).select("c.kind", "c.v1", "c.v2", "c.v3", "c.size", "c.digits")
-    rows = c.groupBy(*c.columns).agg(F.count("*").alias("n")).collect()  # at most 5 kinds, 27 votes, 8 sizes and 5 shares of digits
+    rows = c.groupBy(*c.columns).agg(F.count("*").alias("n")).collect()  # at most 7 kinds, 27 votes, 8 sizes and 5 shares of digits
     counts = {tuple(r[:6]): r["n"] for r in rows}
     return train_classifier(counts, reliabilities(counts)[2]) if counts else {}
 
 
 def spans(column: str, weights: dict[str, float]) -> Column:
-    """Of an array of candidates those that are base spans or that the classifier accepts; what the shape labeler rejects is never added."""
+    """Of an array of candidates those that are base spans, or that the classifier accepts and the shape labeler does not reject."""
     if not weights:
         return F.expr(f"filter({column}, c -> c.base)")
     table = "map(" + ", ".join(f"'{k}', {v!r}D" for k, v in sorted(weights.items())) + ")"
@@ -203,44 +220,60 @@ def spans(column: str, weights: dict[str, float]) -> Column:
     return F.expr(f"filter({column}, c -> c.base or (c.v1 <> 0 and ({z}) >= 0))")
 
 
-def _joined(column: str) -> str:
-    return f"array_join(transform({column}, c -> concat(c.kind, ':', c.s, ':', c.e)), ',')"
+def _named(column: str) -> str:
+    """Spans (kind, s, e, base) by the kind that they give."""
+    names = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in KINDS.items()) + ")"
+    return f"transform({column}, c -> named_struct('kind', element_at({names}, c.kind), 's', c.s, 'e', c.e, 'base', c.base))"
 
 
-SCHEMA_KINDS = ("n_email", "n_ip", "n_card", "n_phone")
+def _joined(column: str) -> str:
+    place = f"array_position(array({', '.join(map(repr, ORDER))}), {{}}.kind)"
+    ordered = f"array_sort({column}, (a, b) -> case when a.kind <> b.kind then cast({place.format('a')} - {place.format('b')} as int) when a.s <> b.s then a.s - b.s else a.e - b.e end)"
+    return f"array_join(transform({ordered}, c -> concat(c.kind, ':', c.s, ':', c.e)), ',')"
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    Offsets are code points, ends exclusive; spans stand by kind, then start. Null and empty texts have
-    none. Repeated rows repeat; an empty table gives an empty result; columns other than doc_id and text
-    are ignored.
+    The numbers and the digest are of base spans. Offsets are code points, ends exclusive; spans stand by kind,
+    then start. Null and empty texts have none. Repeated rows repeat; an empty table gives an empty result; columns
+    other than doc_id and text are ignored.
     """
-    found = materialize(candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "candidates")
-    kept = found.select("doc_id", spans("pii_candidates", learn(found)).alias("kept")).withColumn("base", F.expr("filter(kept, c -> c.base)"))
+    found = materialize(candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("kept.doc_id", "found"), "candidates")
+    chosen = found.select("doc_id", spans("found", learn(found)).alias("chosen")).select("doc_id", F.expr(_named("chosen")).alias("chosen"))
+    with_base = chosen.withColumn("base", F.expr("filter(chosen, c -> c.base)"))
     counted = [F.expr(f"cast(size(filter(base, c -> c.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE]
-    return kept.select("doc_id", *counted, F.sha2(F.expr(_joined("base")).cast("binary"), 256).alias("base_sha256"), F.expr(_joined("kept")).alias("spans"))
+    return with_base.select("doc_id", *counted, F.sha2(F.expr(_joined("base")).cast("binary"), 256).alias("base_sha256"), F.expr(_joined("chosen")).alias("spans"))
+
+
+#: From so many spans on a text is cut as an array of its characters: one pass, however many cuts.
+MANY_SPANS = 64
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind in angle brackets.
 
-    All other columns, rows and null texts stay; ``n_chars``, where there is one, follows a changed text. Where spans overlap, the one that begins first (of those
-    the longest) is replaced, and of a later one what stands beyond it.
+    All other columns, whatever their names, rows and null texts stay; ``n_chars``, where there is one, follows a
+    changed text. Where spans overlap, the one that begins first (of those the longest) is replaced, and of a
+    later one what stands beyond it. Texts are searched once: rows are written with their candidates, from which
+    the classifier learns and texts are then made. An empty table gives an empty result.
     """
-    weights = learn(materialize(candidates(docs.select("text")).select("pii_candidates"), "candidates"))
-    found = candidates(docs, into="pii_candidates")
-    marked = found.withColumn("pii_spans", spans("pii_candidates", weights))
-    ordered = marked.withColumn("pii_spans", F.expr("array_sort(pii_spans, (a, b) -> if(a.s <> b.s, a.s - b.s, b.e - a.e))"))
-    new = """aggregate(pii_spans, named_struct('at', 0, 'out', ''), (acc, c) -> if(c.e <= acc.at, acc, named_struct('at', c.e,
-        'out', concat(acc.out, substring(text, acc.at + 1, greatest(c.s - acc.at, 0)), '<', c.kind, '>'))),
-        acc -> concat(acc.out, substring(text, acc.at + 1, length(text))))"""
-    done = ordered.withColumn("pii_new", F.expr(f"if(size(pii_spans) = 0 or text is null, text, {new})"))
-    changed = {"text": F.col("pii_new")}
+    found = materialize(candidates(docs), "candidates")
+    chosen = found.select("kept", spans("found", learn(found)).alias("chosen"))
+    marked = chosen.select("kept", F.expr(_named("chosen")).alias("spans"))
+    ordered = marked.select("kept", F.expr("array_sort(spans, (a, b) -> if(a.s <> b.s, a.s - b.s, b.e - a.e))").alias("spans"))
+    # what is kept before each span, and the span's kind; the end of the last span
+    cuts = """aggregate(spans, named_struct('at', 0, 'parts', cast(array() as array<struct<a:int,b:int,kind:string>>)), (acc, c) -> if(c.e <= acc.at, acc,
+        named_struct('at', c.e, 'parts', concat(acc.parts, array(named_struct('a', acc.at, 'b', greatest(c.s, acc.at), 'kind', c.kind))))))"""
+    cut = ordered.select("kept", F.size("spans").alias("n"), F.expr(cuts).alias("cut"))
+    few = "concat(array_join(transform(cut.parts, p -> concat(substring(kept.text, p.a + 1, p.b - p.a), '<', p.kind, '>')), ''), substring(kept.text, cut.at + 1, length(kept.text)))"
+    many = """element_at(transform(array(split(kept.text, '')), chars -> concat(array_join(transform(cut.parts, p -> concat(array_join(slice(chars, p.a + 1, p.b - p.a), ''), '<', p.kind, '>')), ''),
+        array_join(slice(chars, cut.at + 1, size(chars)), ''))), 1)"""
+    done = cut.select("kept", "n", F.expr(f"case when n = 0 or kept.text is null then kept.text when n < {MANY_SPANS} then {few} else {many} end").alias("new"))
+    changed = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.expr("if(size(pii_spans) = 0, n_chars, length(pii_new))").cast(docs.schema["n_chars"].dataType)
-    return done.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+        changed["n_chars"] = F.expr("if(n = 0, kept.n_chars, length(new))").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(changed.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,7 +166,8 @@ def _inputs(docs: DataFrame) -> list:
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine trained on at most SAMPLE labelled rows whose ids are not in the held-out fold.
 
-    Rows with a null label are left out; a doc_id labelled more than once counts with its greatest label.
+    Rows with a null label are left out; a doc_id labelled more than once counts with its greatest label. Of rows
+    that share a labelled doc_id one is learned from: the one whose features come first in byte order.
     """
     marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("label"))
     marks = marks.where(crc32_mod(F.col("id"), FOLDS) != HELD_OUT).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
@@ -186,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "label", "slots", "values"])
 
     got = chosen.select("doc_id", "text", "stated", F.col("label").cast("int").alias("label")).mapInArrow(rows, "doc_id long, label int, slots binary, values binary")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("slots", "values", "label")).alias("x")).select("doc_id", "x.*")
     sample = sorted(got.collect(), key=lambda r: (r["doc_id"], bytes(r["slots"])))  # SAMPLE rows at most, each of SLOTS features at most
     x = [(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["values"], "<f2").astype(np.float32)) for r in sample]
     return Machine().fit(x, np.array([r["label"] for r in sample], np.float32))

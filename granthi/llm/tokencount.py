@@ -1,12 +1,14 @@
 """Token counts by a count-only Viterbi search.
 
-An Aho-Corasick automaton over a unigram vocabulary gives every match in a word; dynamic programming
+An Aho-Corasick automaton over a unigram vocabulary gives every match in a text; dynamic programming
 carries the best score and the number of pieces that reach it, and no lattice or back pointers. The
 tie rule is the tokenizer's own: of equal scores the piece that begins first stays (a later one must be
-strictly better), sums are double precision from the word's start. A character that no piece covers is
+strictly better). A character that no piece covers is
 unknown, scores ten below the vocabulary's least, and counts as its UTF-8 bytes (byte fallback).
-As by the pre-tokenizer Metaspace(split=True), a word begins at every white-space mark and is solved
-alone; pieces of two or more marks are never used.
+A text is solved in parts where that changes nothing: no piece of the vocabulary continues from another
+character to a white-space mark (this is looked up), so the best path always has a cut before a run of marks,
+and what begins with such a run is solved alone and remembered. Its sums then begin at 0, which is the same as
+long as scores are whole numbers, as ranks are; other vocabularies are solved text by text.
 """
 
 from __future__ import annotations
@@ -52,10 +54,11 @@ class Counter:
         self.unknown = min(score for _, score in pieces) - 10.0
         self.single = {piece for piece, _ in pieces if len(piece) == 1}
         self.known: dict[str, int] = {}
-        self.find = re.compile(f"{MARK}[^{MARK}]*").findall
+        cut = all(MARK not in piece.lstrip(MARK) and score == int(score) for piece, score in pieces)
+        self.find = re.compile(f"{MARK}+[^{MARK}]*" if cut else "(?s).+").findall
 
     def word(self, word: str) -> int:
-        """The pieces on the best path through ``word``."""
+        """The number of pieces on the best path through ``word``."""
         size = len(word)
         best, count = [None] * (size + 1), [0] * (size + 1)
         best[0] = 0.0
