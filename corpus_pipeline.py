@@ -27,8 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space aside) one row stays: that with the smallest doc_id."""
     rows, key = _keyed(docs)
-    found = dedup.exact_dedup(rows.select(F.col(key).alias("doc_id"), "text"))
-    return _one_of_each(rows, key, found.select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")))
+    return _one_of_each(rows, key, dedup.copies(rows, key))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _one_of_each(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
-    """Of each group of ``found`` (row, group) the row with the smallest doc_id, null ones last; the smallest key of equal ones."""
+    """All rows but those of each group of ``found`` (row, group) that are not its smallest doc_id's, null ones last; of equal ones the smallest key stays."""
     ids = found.join(rows.select(F.col(key).alias("row"), "doc_id"), "row")
     first = ids.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     kept = first.select(F.col("first.row").alias("row"))
