@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 from .query import any_of
-from .text import clean_text, normalize_digits, strip
+from .text import clean_text, let, normalize_digits, strip
 
-DATE = r"\s*मिति\s*[:：\-]?\s*([0-9]{3,4}[./\-।][0-9]{1,2}[./\-।][0-9]{1,2})"
 # The patterns of each field, the first that matches counts.
 PATTERNS = {
     "decision_no": (r"निर्णय\s*नं\.?\s*([0-9]+)", r"Decision\s*(?:No\.?|Number)\s*[:.-]?\s*([0-9]+)"),
-    "date": ("फैसला" + DATE, "आदेश" + DATE),
+    "date": (
+        r"फैसला\s*मिति\s*[:：\-]?\s*([0-9]{3,4}[./\-।][0-9]{1,2}[./\-।][0-9]{1,2})",
+        r"आदेश\s*मिति\s*[:：\-]?\s*([0-9]{3,4}[./\-।][0-9]{1,2}[./\-।][0-9]{1,2})",
+    ),
     "subject": (r"विषय\s*[ः:：-]?\s*([^\n|]+)",),
     "appellant": (r"पुनरावेदक/विपक्षी\s*[:：-]\s*([^\n]+)", r"निवेदक\s*[:：-]\s*([^\n]+)", r"पुनरावेदक\s*[:：-]\s*([^\n]+)"),
     "respondent": (r"प्रत्यर्थी/निवेदक\s*[:：-]\s*([^\n]+)", r"विपक्षी\s*[:：-]\s*([^\n]+)", r"प्रत्यर्थी\s*[:：-]\s*([^\n]+)"),
@@ -26,32 +28,31 @@ COURT = "सर्वोच्च अदालत"
 
 def first_match(c: Column, patterns: tuple[str, ...]) -> Column:
     """Group 1, stripped, of the first pattern that matches; empty without one."""
-    out = F.lit("")
-    for p in reversed(patterns):
-        out = F.when(c.rlike(f"(?im){p}"), strip(F.regexp_extract(c, f"(?im){p}", 1))).otherwise(out)
-    return out
+    return F.coalesce(*(strip(F.nullif(F.regexp_extract(c, f"(?imU){p}", 1), F.lit(""))) for p in patterns), F.lit(""))  # no pattern matches with an empty group
 
 
 def judges(text: Column, split_names: bool = True) -> Column:
     """The chief justice and the other judges, joined by commas. ``split_names``: cut at every letter र, as inside names too."""
     chief = first_match(text, PATTERNS["chief"])
-    honoured = F.regexp_extract_all(text, F.lit(r"माननीय\s*न्यायाधीश\s*श्री\s*([^\n]+)"), F.lit(1))
-    plain = F.regexp_extract_all(text, F.lit(r"न्यायाधीश\s*श्री\s*([^\n]+)"), F.lit(1))
+    honoured = F.regexp_extract_all(text, F.lit(r"(?U)माननीय\s*न्यायाधीश\s*श्री\s*([^\n]+)"), F.lit(1))
+    plain = F.regexp_extract_all(text, F.lit(r"(?U)न्यायाधीश\s*श्री\s*([^\n]+)"), F.lit(1))
     lines = F.filter(F.when(F.size(honoured) > 0, honoured).otherwise(plain), lambda x: ~F.contains(x, F.lit("का.मु.प्")))
-    cut = r"\s*र\s*|\s*,\s*" if split_names else r"\s+र\s+|\s*,\s*"
+    cut = r"(?U)\s*र\s*|\s*,\s*" if split_names else r"(?U)\s+र\s+|\s*,\s*"
     names = F.filter(F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, cut), strip))), lambda x: F.length(x) > 2)
     head = F.when(chief != "", F.array(F.concat(F.lit("प्रधानन्यायाधीश "), chief))).otherwise(F.expr("cast(array() as array<string>)"))
     return F.array_join(F.concat(head, names), ", ")
 
 
 def provisions(text: Column) -> Column:
-    return F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:दफा|धारा)\s*[०-९0-9]+(?:\s*\([^)]+\))?"), F.lit(0))), ", ")
+    return F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(?:दफा|धारा)\s*[०-९0-9]+(?:\s*\([^)]+\))?"), F.lit(0))), ", ")
 
 
 def case_metadata(text: Column, file_name: Column, split_names: bool = True) -> Column:
     """Struct of a case's metadata; what is not found is empty. The text is cleaned here, also when it was before."""
-    t = clean_text(text)
-    norm = normalize_digits(t)
+    return let(clean_text(text), lambda t: let(normalize_digits(t), lambda norm: _fields(t, norm, file_name, split_names)))
+
+
+def _fields(t: Column, norm: Column, file_name: Column, split_names: bool) -> Column:
     number = first_match(norm, PATTERNS["decision_no"])
     subject = first_match(t, PATTERNS["subject"])
     fallback = F.coalesce(*(F.when(any_of(t, (k,)), k) for k in K.SUBJECT_KEYWORDS), subject)

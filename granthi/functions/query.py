@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .text import normalize_digits, strip
 
-NUMBER = "[०-९0-9]"
-
 
 def any_of(c: Column, terms: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(c, F.lit(t)) for t in terms))
@@ -20,8 +18,8 @@ def any_of(c: Column, terms: tuple[str, ...]) -> Column:
 def intent(c: Column) -> Column:
     """LIST_CASES, CASE_SUMMARY, CASE_LOOKUP, LEGAL_PROVISION, COMPARISON or LEGAL_QA: the first whose signs are there."""
     q = strip(F.lower(F.coalesce(c, F.lit(""))))
-    numbered = q.rlike(rf"(?:निर्णय\s*नं\.?|decision\s*(?:no|number)|नं\.)\s*{NUMBER}+")
-    filed = q.rlike(rf"nkp[_\s-]*{NUMBER}+") | F.contains(q, F.lit(".pdf"))
+    numbered = q.rlike(f"(?U){K.NAMED_DECISION}")
+    filed = q.rlike(f"(?U){K.NAMED_FILE}") | F.contains(q, F.lit(".pdf"))
     return (
         F.when(any_of(q, K.LIST_PHRASES), "LIST_CASES")
         .when(any_of(q, K.SUMMARY_TERMS), "CASE_SUMMARY")
@@ -46,14 +44,8 @@ def decision_number(c: Column, active_case: Column | None = None) -> Column:
     """The decision that a question names, or seems to name, or, by a pronoun, the active case's."""
     q = normalize_digits(F.coalesce(c, F.lit("")))
     low = F.lower(F.coalesce(c, F.lit("")))
-    patterns = (
-        r"(?i)(?:निर्णय\s*नं\.?|decision\s*(?:no|number)|नं\.)\s*([0-9]{3,})",
-        r"निर्णय\s*([0-9]{3,})",
-        r"(?i)(?:case\s*(?:no|number)|cases\s*no)\s*[:. ]?\s*([0-9]{3,})",
-        r"(?i)decision\s*(?:no|number)\s*[:. ]?\s*([0-9]{3,})",
-    )
     alone = numbers(c)
-    options = [_found(q, p) for p in patterns]
+    options = [_found(q, f"(?U){p}") for p in K.DECISION_PATTERNS]
     options.append(F.when(any_of(low, K.CASE_KEYWORDS) & (F.size(alone) == 1), F.element_at(alone, 1)))
     if active_case is not None:
         options.append(F.when(any_of(low, K.RELATIVE_PRONOUNS), F.nullif(F.replace(active_case, F.lit("decision_"), F.lit("")), F.lit(""))))
@@ -61,22 +53,22 @@ def decision_number(c: Column, active_case: Column | None = None) -> Column:
 
 
 def source_file(c: Column) -> Column:
-    return _found(F.coalesce(c, F.lit("")), r"(?i)(nkp[_\-][0-9]+(?:[_\-][0-9]+)?(?:[_\-]part[0-9]+)?\.pdf)")
+    return _found(F.coalesce(c, F.lit("")), K.SOURCE_FILE)
 
 
 def source_stem(c: Column) -> Column:
-    stem = _found(F.coalesce(c, F.lit("")), r"(?i)(nkp[_\-][0-9]+(?:[_\-][0-9]+)?(?:[_\-]part[0-9]+)?)")
+    stem = _found(F.coalesce(c, F.lit("")), K.SOURCE_STEM)
     return F.when(source_file(c).isNull(), stem)
 
 
 def analysis(c: Column) -> Column:
     """Source, kind and expansion of a question, by the simpler classifier."""
     q = F.coalesce(c, F.lit(""))
-    source = F.regexp_replace(F.lower(F.nullif(F.regexp_extract(q, r"(?i)nkp[-_\s]?\d+[-_\s]?\d+", 0), F.lit(""))), r"[-_\s/]+", "_")
+    source = F.regexp_replace(F.lower(F.nullif(F.regexp_extract(q, f"(?U){K.ANALYSED_SOURCE}", 0), F.lit(""))), f"(?U){K.SOURCE_MARKS}", "_")
     kind = (
-        F.when(any_of(q, ("निवेदक", "विपक्षी")), "ENTITY_CASE_ANALYSIS")
-        .when(any_of(q, ("फैसला", "विवाद", "पृष्ठभूमि", "आदेश")), "CASE_SUMMARY")
-        .when(any_of(q, ("धारा", "दफा")), "LEGAL_PROVISION_LOOKUP")
+        F.when(any_of(q, K.ENTITY_TERMS), "ENTITY_CASE_ANALYSIS")
+        .when(any_of(q, K.CASE_TERMS), "CASE_SUMMARY")
+        .when(any_of(q, K.LOOKUP_TERMS), "LEGAL_PROVISION_LOOKUP")
         .otherwise("DIRECT_FACT")
     )
     return F.struct(source.alias("source_filter"), kind.alias("query_type"), kind.isin("ENTITY_CASE_ANALYSIS", "CASE_SUMMARY").alias("requires_expansion"))
@@ -100,7 +92,7 @@ def factual_category(c: Column) -> Column:
         .when(F.contains(q, F.lit("फैसला")) & any_of(q, ("के", "कस्तो", "गरेको")), "final_order")
         .when(F.contains(q, F.lit("मुद्दा")) & F.contains(q, F.lit("नं")), "case_number")
     )
-    specific = q.rlike(rf"(?:धारा|दफा)\s*{NUMBER}+") | q.rlike(r"(?<!कुन-)कुन\s*(?:धारा|दफा)") | q.rlike(r"(?:धारा|दफा).*बारे")
+    specific = reduce(lambda a, b: a | b, (q.rlike(f"(?U){p}") for p in K.SPECIFIC_PROVISION))
     return F.when(reasoning, "reasoning").when((kind == "provisions") & specific, F.lit(None)).otherwise(kind)
 
 
@@ -110,4 +102,4 @@ def token_budget(kind: Column) -> Column:
 
 def last_decision(answer: Column) -> Column:
     """The last decision number that an answer quotes."""
-    return F.try_element_at(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"निर्णय नं\.\s*([0-9०-९]+)"), F.lit(1)), F.lit(-1))
+    return F.try_element_at(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(f"(?U){K.LAST_DECISION}"), F.lit(1)), F.lit(-1))

@@ -1,14 +1,16 @@
-"""Text functions on columns. All but ``nfc`` are built-in expressions."""
+"""Text functions on columns. All but ``nfc`` are built-in expressions. White space is Unicode's, as by ``(?U)\\s``."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import constants as K
 from .constants import ASCII_DIGITS, DEVANAGARI_DIGITS, OCR_FIXES
 
 
@@ -24,23 +26,37 @@ def ocr_fixes(c: Column) -> Column:
     return c
 
 
+@lru_cache(1)
+def _changeable() -> str:
+    """A pattern class of the characters that normal form C may change: not normal alone, combining, or second in a composition."""
+    composed = (unicodedata.decomposition(chr(i)).split() for i in range(0x110000))
+    second = {int(d[1], 16) for d in composed if len(d) == 2 and not d[0].startswith("<")} | {*range(0x1161, 0x11C3)}
+    found = [i for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and (i in second or unicodedata.combining(chr(i)) or not unicodedata.is_normalized("NFC", chr(i)))]
+    ranges: list[list[int]] = []
+    for i in found:
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return "[" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in ranges) + "]"
+
+
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
 def nfc(c: Column) -> Column:
-    """Unicode normal form C; Spark has no built-in function for it."""
-    return F.pandas_udf(_nfc, "string")(c)
+    """Unicode normal form C. Spark has no built-in function for it: only texts that may change leave the JVM."""
+    return F.coalesce(F.pandas_udf(_nfc, "string")(F.when(c.rlike(_changeable()), c)), c)
 
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def clean_text(c: Column, normal_form: bool = False) -> Column:
-    """Control characters to blanks, runs of blanks to one, three or more line ends to two, then ``ocr_fixes``; null to empty."""
-    c = F.coalesce(c, F.lit(""))
-    c = nfc(c) if normal_form else c
+def clean_text(c: Column) -> Column:
+    """Normal form C, control characters to blanks, runs of blanks to one, three or more line ends to two, then ``ocr_fixes``; null to empty."""
+    c = nfc(F.coalesce(c, F.lit("")))
     c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return strip(ocr_fixes(c))
@@ -77,14 +93,20 @@ def chunk_sentences(sents: Column, max_chars: int = 600, overlap: int = 1) -> Co
 
 
 def _packed(sents: Column, sizes: Column, max_chars: int, overlap: int) -> Column:
+    ranges = _ranges(sizes, max_chars, overlap, 1, True)
+    return F.transform(ranges, lambda r: F.array_join(F.slice(sents, r["a"] + 1, r["b"] - r["a"]), " "))
+
+
+def _ranges(sizes: Column, max_chars: int, overlap: int, between: int, last: bool | Column) -> Column:
+    """From which item to which each chunk goes, of items of these sizes with ``between`` added from one to the next; ``last``: whether the unfinished one counts."""
     state = F.struct(F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("next"), F.lit(0).alias("size"))
 
     def step(acc: Column, n: Column) -> Column:
         begun = acc["next"] > acc["first"]
-        add = n + F.when(begun, 1).otherwise(0)
+        add = n + F.when(begun, between).otherwise(0)
         full = begun & (acc["size"] + add > max_chars)
         again = F.greatest(acc["first"], acc["next"] - overlap)
-        carried = F.aggregate(F.slice(sizes, again + 1, acc["next"] - again), F.lit(0), lambda s, x: s + x + 1)
+        carried = F.aggregate(F.slice(sizes, again + 1, acc["next"] - again), F.lit(0), lambda s, x: s + x + between)
         return F.struct(
             F.when(full, F.concat(acc["done"], F.array(F.struct(acc["first"].alias("a"), acc["next"].alias("b"))))).otherwise(acc["done"]).alias("done"),
             F.when(full, again).otherwise(acc["first"]).alias("first"),
@@ -93,10 +115,9 @@ def _packed(sents: Column, sizes: Column, max_chars: int, overlap: int) -> Colum
         )
 
     def finish(acc: Column) -> Column:
-        return F.when(acc["next"] > acc["first"], F.concat(acc["done"], F.array(F.struct(acc["first"].alias("a"), acc["next"].alias("b"))))).otherwise(acc["done"])
+        return F.when(last & (acc["next"] > acc["first"]), F.concat(acc["done"], F.array(F.struct(acc["first"].alias("a"), acc["next"].alias("b"))))).otherwise(acc["done"])
 
-    ranges = F.aggregate(sizes, state, step, finish)
-    return F.transform(ranges, lambda r: F.array_join(F.slice(sents, r["a"] + 1, r["b"] - r["a"]), " "))
+    return F.aggregate(sizes, state, step, finish)
 
 
 def squeezed(c: Column) -> Column:
@@ -119,7 +140,7 @@ def char_ngrams(c: Column, n: int = 3) -> Column:
 
 def repair_output(c: Column) -> Column:
     """A generated answer without a code fence, runs of blanks and of line ends."""
-    c = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?i)^```(?:text|markdown)?\s*|\s*```$", "")
+    c = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?iU)^```(?:text|markdown)?\s*|\s*```$", "")
     return F.regexp_replace(F.regexp_replace(strip(c), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
 
 
@@ -148,10 +169,24 @@ def truncate_sentence(c: Column, limit: int = 300) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(cut)
 
 
-def marked_paragraphs(c: Column) -> Column:
-    """Array of (paragraph number, text) of texts that carry paragraph markers; what stands before the first marker is left out."""
-    marker = r"\(?\s*प्रकरण\s*नं\.\s*([०-९0-9]+)\s*\)?"
+def paragraph_chunks(c: Column, max_chars: int = 600, overlap: int = 100) -> Column:
+    """Array of (number, chunk): a text's numbered paragraphs, each packed by sentences into chunks.
+
+    A paragraph's number is its first sentence. A chunk is closed where the next sentence would take its sentences
+    beyond ``max_chars``, and the next chunk begins with the last ``overlap`` sentences of it. Text before the first
+    number gives chunks without one, but not its unfinished last chunk. Null and empty texts have none.
+    """
+    marker = K.PARAGRAPH_MARKER
     numbers = F.regexp_extract_all(c, F.lit(marker), F.lit(1))
-    bodies = F.transform(F.split(c, marker), strip)
-    pairs = F.arrays_zip(numbers.alias("number"), F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))).alias("body"))
-    return F.filter(pairs, lambda p: p["body"] != "")
+    bodies = F.split(c, marker)
+    parts = F.transform(bodies, lambda b, i: F.struct(F.when(i > 0, F.get(numbers, i - 1)).alias("number"), b.alias("body")))
+
+    def chunked(p: Column) -> Column:
+        sents = F.filter(F.split(p["body"], r"(?U)(?<=[।!?])\s+"), lambda x: strip(x) != "")
+        sents = F.when(p["number"].isNull(), sents).otherwise(F.concat(F.array(p["number"]), sents))
+        return let(sents, lambda s: let(F.transform(s, F.length), lambda sizes: F.transform(
+            _ranges(sizes, max_chars, overlap, 0, p["number"].isNotNull()),
+            lambda r: F.struct(p["number"].alias("number"), strip(F.array_join(F.slice(s, r["a"] + 1, r["b"] - r["a"]), " ")).alias("chunk")),
+        )))
+
+    return F.filter(F.flatten(F.transform(parts, chunked)), lambda x: x["chunk"] != "")

@@ -39,8 +39,9 @@ def evidence(hits: DataFrame, most: int = 5, limit: int = 600) -> DataFrame:
 
 
 def clean_judges(c: Column) -> Column:
-    for pattern, to in ((r"सम्माननीय\s*का\.मु\.\s*", ""), (r"सम्माननीय\s*", ""), (r"माननीय\s*", ""), (r"\s*,\s*", ", "), (r"\s+", " ")):
-        c = F.regexp_replace(ocr_fixes(c) if pattern.endswith(r"का\.मु\.\s*") else c, pattern, to)
+    c = ocr_fixes(c)
+    for pattern, to in K.JUDGE_TITLES:
+        c = F.regexp_replace(c, f"(?U){pattern}", to)
     return strip(c)
 
 
@@ -59,7 +60,7 @@ def comparison_lines(cases: DataFrame, summaries: DataFrame, headers: DataFrame,
     title = F.concat(F.lit("**निर्णय नं. "), F.replace("case_id", F.lit("decision_"), F.lit("")), F.lit("** – "))
     written = F.col("introduction").isNotNull()
     if field == "judges":
-        own = F.regexp_extract("introduction", r"(?:न्यायाधीशहरू|न्यायाधीश)\s*[:：]?\s*([^\n।]+)", 1)
+        own = strip(F.regexp_extract("introduction", f"(?U){K.JUDGES_LINE}", 1))
         names = clean_judges(F.when(written, own).otherwise(F.coalesce("header_judges", F.lit(""))))
         known = written | F.col("header_judges").isNotNull()
         text = F.when(known, F.concat(F.lit("न्यायाधीश: "), F.when(names == "", "अज्ञात").otherwise(names)))
@@ -68,7 +69,7 @@ def comparison_lines(cases: DataFrame, summaries: DataFrame, headers: DataFrame,
         own = F.regexp_extract("parties", r"(?s)निवेदक:(.*?)(?:विपक्षी:|$)", 1)
         text = F.concat(F.lit("निवेदक: "), F.when(F.contains("parties", F.lit("निवेदक:")), strip(own)).otherwise("अज्ञात"))
     elif field == "date":
-        own = F.regexp_extract("introduction", r"फैसला मिति\s*[:：]\s*([0-9/.-]+)", 1)
+        own = F.regexp_extract("introduction", f"(?U){K.DECISION_DATE}", 1)
         text = F.concat(F.lit("फैसला मिति: "), F.when(own == "", "अज्ञात").otherwise(own))
     else:
         text = F.coalesce(F.nullif("subject", F.lit("")), F.lit("विषय अज्ञात"))
@@ -77,7 +78,7 @@ def comparison_lines(cases: DataFrame, summaries: DataFrame, headers: DataFrame,
 
 def common_judges(a: Column, b: Column) -> Column:
     """Judges on both lists, in the first one's order."""
-    names = lambda c: F.filter(F.split(c, r"\s*,\s*|\s*र\s*"), lambda x: x != "")
+    names = lambda c: F.filter(F.split(strip(c), f"(?U){K.JUDGE_SEPARATOR}"), lambda x: x != "")
     both = F.array_distinct(F.array_intersect(names(a), names(b)))
     return F.when(F.size(both) > 0, F.concat(F.lit("\n**साझा न्यायाधीश:** "), F.array_join(both, ", "))).otherwise("\n**साझा न्यायाधीश:** कुनै पनि छैनन्")
 
@@ -92,13 +93,20 @@ def reasoning_text(query: Column, reasoning: Column) -> Column:
     return F.when((Q.factual_category(query) == "reasoning") & (F.coalesce(reasoning, F.lit("")) != ""), F.concat(F.lit("अदालतको तर्क/निष्कर्ष:\n\n"), short))
 
 
-def paragraph_answer(query: Column, hits: DataFrame) -> Column | None:
-    return F.nullif(F.regexp_extract(query, r"(?:प्रकरण|अनुच्छेद|धारा)\s*नं\.?\s*([०-९0-9]+)", 1), F.lit(""))
+def asked_paragraph(query: Column) -> Column:
+    """The number of the paragraph or article that a question names; null without one."""
+    return F.nullif(F.regexp_extract(query, f"(?U){K.ASKED_PARAGRAPH}", 1), F.lit(""))
+
+
+def paragraph_text(number: str, hits: DataFrame) -> str:
+    """The first hit of that paragraph (column ``paragraph_no``, where the chunks carry it), or that there is none."""
+    own = hits.where(F.col("paragraph_no") == number).orderBy("rank").select("content").first() if "paragraph_no" in hits.columns else None
+    return f"प्रकरण/अनुच्छेद नं. {number} को पाठ:\n\n{own['content']}" if own else f"प्रकरण/अनुच्छेद नं. {number} को जानकारी उपलब्ध छैन।"
 
 
 def fallback(query: Column, content: Column) -> Column:
     """The answer from a case's header row, for questions about lawyers or judges; null content: no header."""
-    line = lambda label: strip(F.regexp_extract(content, label + r":\s*([^\n]+)", 1))
+    line = lambda label: strip(F.regexp_extract(content, f"(?U){label}:\\s*([^\\n]+)", 1))
     appellant, respondent, judges = (line(x) for x in ("पुनरावेदकका कानून व्यवसायी", "प्रत्यर्थीका कानून व्यवसायी", "न्यायाधीश"))
     lawyers = Q.any_of(query, ("लायर", "कानून व्यवसायी"))
     return (
@@ -156,9 +164,9 @@ def answer(
         rows = [r for r in rows if r["case_id"] == current_case]
         if not rows:
             return K.NO_INFO
-    paragraph = spark.range(1).select(paragraph_answer(q, hits)).first()[0]
-    if paragraph:  # no chunk carries a paragraph number
-        return f"प्रकरण/अनुच्छेद नं. {paragraph} को जानकारी उपलब्ध छैन।"
+    paragraph = spark.range(1).select(asked_paragraph(q)).first()[0]
+    if paragraph:
+        return paragraph_text(paragraph, hits)
     if model:
         try:
             said = model(evidence(hits).first()["context"], query)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import query as Q
@@ -23,10 +23,16 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def knn(vectors: DataFrame, vector: list[float], n: int) -> DataFrame:
-    """(idx, vector_score) of the ``n`` nearest vectors of all by cosine distance, ties by idx: an exact scan, no full sort."""
-    q = F.array(*(F.lit(float(x)) for x in vector))
-    near = vectors.select("idx", F.round(cosine_distance(F.col("embedding"), q), 9).alias("distance")).orderBy("distance", "idx").limit(n)
+def knn(vectors: DataFrame, vector: list[float], n: int, normal: bool = False) -> DataFrame:
+    """(idx, vector_score) of the ``n`` nearest vectors of all by cosine distance, ties by idx: an exact scan, no full sort.
+
+    ``normal``: the table's vectors have length 1, so that one product for each row is enough.
+    """
+    length = sum(float(x) ** 2 for x in vector) ** 0.5 or 1.0
+    q = F.array(*(F.lit(float(x) / length) for x in vector))
+    dot = F.aggregate(F.zip_with("embedding", q, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
+    distance = 1 - dot if normal else cosine_distance(F.col("embedding"), q)
+    near = vectors.select("idx", F.round(distance, 9).alias("distance")).orderBy("distance", "idx").limit(n)
     return near.select("idx", (1 / (1 + F.col("distance"))).alias("vector_score"))
 
 
@@ -102,6 +108,7 @@ class Engine:
     vectors: DataFrame
     sparse: dict[str, DataFrame]
     embed: Callable[[str], list[float]]
+    normal: bool = False  # whether the vectors have length 1
 
     def bm25(self, query: str) -> DataFrame:
         return sparse.bm25(self.sparse["postings"], self.sparse["lengths"], self.sparse["grams"], self.sparse["stats"], query)
@@ -120,7 +127,7 @@ class Engine:
         if kind in ("CASE_SUMMARY", "CASE_LOOKUP"):
             return case_dump(rows)
         n = fetch_size(top_k, rows.count())
-        near = knn(self.vectors, self.embed(query), n)
+        near = knn(self.vectors, self.embed(query), n, self.normal)
         scored = fused(rows, near, self.bm25(query), query, alpha)
         if not current_case and not number and kind != "LIST_CASES":
             case = dominant_case(scored, top_k).first()
@@ -128,3 +135,18 @@ class Engine:
                 return ranked(scored.where(F.col("case_id") == case["case_id"]), top_k)
         top = ranked(scored, top_k)
         return top if kind == "LIST_CASES" else expanded(top, self.chunks, top_k)
+
+
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
+def open_engine(spark: SparkSession, base: str, embed: Callable[[str], list[float]]) -> Engine:
+    """The engine over a saved base, opened once; ``clear_engines`` forgets it, as after a new ingest."""
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine(spark.read.parquet(f"{base}/chunks"), spark.read.parquet(f"{base}/vectors"), sparse.load(spark, f"{base}/sparse"), embed, True)
+    return _ENGINES[key]
+
+
+def clear_engines() -> None:
+    _ENGINES.clear()

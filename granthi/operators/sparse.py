@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams
@@ -17,6 +17,11 @@ def postings(chunks: DataFrame, text: str = "search_text") -> DataFrame:
     return chunks.select("idx", F.explode(char_ngrams(F.col(text))).alias("gram")).groupBy("idx", "gram").agg(F.count("*").alias("tf"))
 
 
+def document_counts(chunks: DataFrame, text: str = "search_text") -> DataFrame:
+    """(gram, df) from the chunks themselves: each chunk's distinct grams, so that only partial counts are shuffled."""
+    return chunks.select(F.explode(F.array_distinct(char_ngrams(F.col(text)))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+
 def gram_counts(posts: DataFrame) -> DataFrame:
     """(gram, df): the chunks that hold each gram."""
     return posts.groupBy("gram").agg(F.count("*").alias("df"))
@@ -56,6 +61,9 @@ def bm25(posts: DataFrame, size: DataFrame, counts: DataFrame, stats: DataFrame,
     asked = F.col("gram").isin(*(grams or [""]))  # reaches the index's scan, or the text's grams before they are counted
     weights = counts.where(asked).join(F.broadcast(wanted), "gram").crossJoin(F.broadcast(stats)).select("gram", (F.col("times") * idf()).alias("weight"), "avgdl")  # a row for each gram of the query
     term = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    if "bucket" in posts.columns:  # a saved index: only these partitions are listed and read
+        buckets = {r[0] for r in wanted.select(bucket(F.col("gram"))).collect()}  # a row for each gram of the query
+        posts = posts.where(F.col("bucket").isin(*buckets)).drop("bucket")
     hits = posts.where(asked).join(F.broadcast(weights), "gram")
     return hits.join(size, "idx").groupBy("idx").agg(F.sum(term).alias("bm25"))
 
@@ -64,3 +72,25 @@ def index(chunks: DataFrame, text: str = "search_text") -> dict[str, DataFrame]:
     posts, size = postings(chunks, text), lengths(chunks, text)
     counts = gram_counts(posts)
     return {"postings": posts, "lengths": size, "grams": counts, "stats": corpus_stats(size, counts)}
+
+
+#: Partitions of the saved postings by their grams' hashes: a query reads those of its grams alone.
+BUCKETS = 64
+
+
+def bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def save(chunks: DataFrame, path: str, text: str = "search_text") -> None:
+    """The index as tables below ``path``: postings by bucket and sorted by gram, then lengths, counts and statistics made from them."""
+    spark = chunks.sparkSession
+    posts = postings(chunks, text).withColumn("bucket", bucket(F.col("gram")))
+    posts.repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths(chunks, text).write.mode("overwrite").parquet(f"{path}/lengths")
+    gram_counts(spark.read.parquet(f"{path}/postings")).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
+    corpus_stats(spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/grams")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "grams", "stats")}

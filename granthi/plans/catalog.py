@@ -2,11 +2,14 @@
 
 The tables stand for the engine's own: a document is a chunk, its source its case (``decision_100`` for
 src0 and so on), embeddings are the chunks' vectors by id. As no table holds Devanagari text, some queries
-put dandas for full stops or Devanagari digits for ASCII ones first, in both languages.
+put dandas for full stops or Devanagari digits for ASCII ones first, or stand behind fixed Devanagari lines with
+Unicode blanks and decomposed letters, in both languages.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from ..functions import query as Q
 from ..functions import text as T
 from ..functions.metadata import PATTERNS, case_metadata
 from ..operators import answers, chunks, search, sparse
-from ..sources.files import html_pages
+from ..sources.files import html_pages, scratch_dir, valid_pages
 from ..streaming.session import session_fold
 
 QUERY, TOP_K, ALPHA, VECTOR_ID, CASE = "the nation and the thing", 5, 0.15, 7, 103
@@ -50,8 +53,22 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(vectors(spark, sf_dir).where(f"idx = {VECTOR_ID}").first()["embedding"])
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The saved index of the documents, built once for each application and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+        sparse.save(chunk_view(spark, sf_dir), path, "content")
+        _BUILT[key] = path
+    return sparse.load(spark, _BUILT[key])
+
+
 def bm25_of(spark: SparkSession, sf_dir: str, query: str = QUERY) -> DataFrame:
-    return sparse.bm25(**{a: b for a, b in zip(("posts", "size", "counts", "stats"), sparse.index(chunk_view(spark, sf_dir), "content").values(), strict=True)}, query=query)
+    index = index_of(spark, sf_dir)
+    return sparse.bm25(index["postings"], index["lengths"], index["grams"], index["stats"], query)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +85,12 @@ def ocr_fixes(s, d):
     return docs(s, d).select("doc_id", T.ocr_fixes(F.concat(F.lit("काश SEAT "), "text")).alias("fixed"))
 
 
+#: Decomposed letters, Unicode blanks and control characters around a text.
+CLEAN_HEAD, CLEAN_TAIL = "\u00a0 \t काश \u0928\u093c\u0958 e\u0301\n\n\n\n", " \x01\u2003\u00a0"
+
+
 def clean_text(s, d):
-    return docs(s, d).select("doc_id", T.clean_text(F.concat(F.lit("  \t काश\n\n\n\n"), "text", F.lit(" \x01 "))).alias("cleaned"))
+    return docs(s, d).select("doc_id", T.clean_text(F.concat(F.lit(CLEAN_HEAD), "text", F.lit(CLEAN_TAIL))).alias("cleaned"))
 
 
 def normalize_digits(s, d):
@@ -122,7 +143,7 @@ def char_trigrams(s, d):
 
 
 def gram_df(s, d):
-    return sparse.gram_counts(sparse.postings(chunk_view(s, d), "content"))
+    return sparse.document_counts(chunk_view(s, d), "content")
 
 
 def doc_len(s, d):
@@ -130,7 +151,7 @@ def doc_len(s, d):
 
 
 def corpus_stats(s, d):
-    stats = sparse.index(chunk_view(s, d), "content")["stats"]
+    stats = index_of(s, d)["stats"]
     return stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
@@ -191,14 +212,43 @@ def neighbour_expand(s, d):
 
 def hybrid_search(s, d):
     vector = query_vector(s, d)
-    engine = search.Engine(chunk_view(s, d), vectors(s, d), sparse.index(chunk_view(s, d), "content"), lambda _: vector)
+    engine = search.Engine(chunk_view(s, d), vectors(s, d), index_of(s, d), lambda _: vector)
     return engine.search(QUERY, TOP_K, ALPHA).select("rank", "idx", "case_id", F.round("score", 6).alias("score"))
 
 
+LISTING = "list of cases the nation and the thing"
+
+
+def search_list(s, d):
+    """A search whose intent is the list: plain top-k, no dominant case, no neighbours."""
+    vector = query_vector(s, d)
+    engine = search.Engine(chunk_view(s, d), vectors(s, d), index_of(s, d), lambda _: vector)
+    return engine.search(LISTING, 7, 0.5).select("rank", "idx", "case_id", F.round("score", 6).alias("score"))
+
+
+def current_case_filter(s, d):
+    return search.case_rows(chunk_view(s, d), f"decision_{CASE}", None).select("idx", "case_id")
+
+
+def case_id_fallback(s, d):
+    """No chunk carries the number itself: it is found in the case ids."""
+    return search.case_rows(chunk_view(s, d).withColumn("decision_no", F.lit("")), None, str(CASE)).select("idx", "case_id")
+
+
+def full_text(s, d):
+    return chunks.full_texts(page_view(s, d)).select("source", "total_pages", F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def page_validity(s, d):
+    text = F.when(F.col("doc_id") % 2 == 0, F.translate("text", "aeioun", "कखगघङत")).otherwise(F.col("text"))
+    return valid_pages(docs(s, d).select("doc_id", text.alias("text"))).select("doc_id", "native_ok", F.length("text").alias("n_chars"))
+
+
 ASKED = (
     "कुन कुन मुद्दा छन्", "list of cases please", "summary of decision no 4512", "यो मुद्दा के हो", "निर्णय नं. ९८७६ को फैसला", "nkp_12_3.pdf",
     "दफा ८८ बमोजिम", "compare case 123 and 456", "difference between them", "निर्णय 123", "case no: 4521", "what about the case 2063", "said order", "who is it",
     "अनुसार कसरी", "यस मुद्दाको मिति कहिले हो", "वकील को हुन्", "निर्णय नं. १२३४ र ५६७८ तुलना", "NKP 2_2 को निवेदक", "विरुद्ध को", "मुद्दा नं", "फैसला के गरेको", "",
+    "निर्णय\u00a0नं.\u00a0९८७६", "decision\u2003no\u00a0812 summary", "case\u00a0no:\u2009771", "nkp\u00a03_4", "दफा\u00a0८८ को\u00a0बारे", "प्रकरण\u00a0नं.\u00a0१२", "अनुच्छेद नं ४ के हो", "कुन-कुन\u00a0धारा", "कुन\u2003धारा",
 )
 
 
@@ -228,7 +278,7 @@ def factual_category(s, d):
     return asked(s, d).select("item_id", Q.factual_category(F.col("q")).alias("category"))
 
 
-CASE_LINES = "निर्णय नं. {n}\nफैसला मिति: २०६३/१/{k}\nविषय: उत्प्रेषण | x\nनिवेदक: राम\nविपक्षी: श्याम\nमाननीय न्यायाधीश श्री कखगघ, चछजझ\nदफा ८८ र धारा १२ (१) दफा ८८\n"
+CASE_LINES = "निर्णय\u00a0नं.\u2003{n}\nफैसला\u00a0मिति:\u00a0२०६३/१/{k}\nविषय:\u00a0उत्प्रेषण\u00a0| x\nनिवेदक: रा\u0928\u093cम\u00a0\nविपक्षी:\u2009श्याम\nमाननीय\u00a0न्यायाधीश श्री कखगघ, चछजझ\nदफा ८८ र धारा १२ (१) दफा ८८\n"
 
 
 def case_texts(s: SparkSession, d: str) -> DataFrame:
@@ -272,6 +322,72 @@ def compare_cases(s, d):
     return answers.comparison_lines(ids, none, rows, "judges").select("position", "line")
 
 
+#: Hand-written summaries, as the engine loads them: case id and fields in SUMMARY_FIELDS' order.
+SUMMARY_FIELDS = ("introduction", "parties", "lawyers", "key_facts", "legal_questions", "reasoning", "final_order", "legal_principle", "subject")
+SUMMARIES = (
+    ("decision_100", "फैसला मिति: 2063/1/2\nन्यायाधीशहरू: सम्माननीय\u00a0राम , माननीय  श्याम र हरि।", "निवेदक: राम बहादुर\nविपक्षी: श्याम", "l", "k", "q", "तर्क " * 120, "f", "p", "उत्प्रेषण"),
+    ("decision_105", "फैसला मिति १२", "विपक्षी: श्याम", "l", "k", "q", "छोटो तर्क", "f", "p", ""),
+    ("decision_106", "न्यायाधीश राम", "निवेदक: हरि", None, "k", "q", "", "f", "p", "रिट"),
+)
+
+
+def summaries(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([*SUMMARIES], "case_id string, " + ", ".join(f"{f} string" for f in SUMMARY_FIELDS))
+
+
+def compared(s: SparkSession, d: str, field: str) -> DataFrame:
+    ids = s.createDataFrame([*enumerate(["decision_100", "decision_105", "decision_106", "decision_103", "decision_999"])], "position int, case_id string")
+    headers = chunk_view(s, d).where("is_header").groupBy("case_id").agg(F.concat(F.lit("A, माननीय B"), F.min("idx").cast("string")).alias("judges"))
+    return answers.comparison_lines(ids, summaries(s), headers, field).select("position", "line")
+
+
+def compare_judges(s, d):
+    return compared(s, d, "judges")
+
+
+def compare_petitioner(s, d):
+    return compared(s, d, "petitioner")
+
+
+def compare_date(s, d):
+    return compared(s, d, "date")
+
+
+def compare_all(s, d):
+    return compared(s, d, "all")
+
+
+def compared_field(s, d):
+    return asked(s, d).select("item_id", answers.compared_field(F.col("q")).alias("field"))
+
+
+def common_judges(s, d):
+    a, b = F.concat(F.lit("कमल, "), "source", F.lit(" र नवीन")), F.concat(F.col("lang"), F.lit(" र शोभा ,\u00a0"), F.when(F.col("doc_id") % 3 > 0, F.concat("source", F.lit(", कमल"))).otherwise("x"))
+    return docs(s, d).select("doc_id", answers.common_judges(a, b).alias("common"))
+
+
+def judges_clean(s, d):
+    return docs(s, d).select("doc_id", answers.clean_judges(F.concat(F.lit("सम्माननीय\u00a0का.मु. राम ,माननीय  "), "text")).alias("judges"))
+
+
+def summary_answer(s, d):
+    return summaries(s).select("case_id", answers.summary_text().alias("answer"))
+
+
+def reasoning_answer(s, d):
+    rows = asked(s, d).join(F.broadcast(summaries(s).select("case_id", "reasoning")), F.col("case_id") == F.element_at(F.array(*(F.lit(x[0]) for x in SUMMARIES)), (F.col("item_id") % 3 + 1).cast("int")))  # three rows
+    return rows.select("item_id", answers.reasoning_text(F.col("q"), F.col("reasoning")).alias("answer"))
+
+
+def asked_paragraph(s, d):
+    return asked(s, d).select("item_id", answers.asked_paragraph(F.col("q")).alias("number"))
+
+
+def last_decision(s, d):
+    text = F.concat("text", F.when(F.col("turn") % 3 > 0, F.concat(F.lit(" निर्णय नं.\u00a0१२३ र निर्णय नं. "), (F.col("turn") + 100).cast("string"))).otherwise(""))
+    return table(s, d, "conversations").select("conv_id", "turn", Q.last_decision(text).alias("decision_no"))
+
+
 def conversation_fold(s, d):
     rows = table(s, d, "conversations").withColumn("text", F.when(F.col("role") == "user", F.concat(F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("निर्णय नं. "), (F.col("turn") + 1000).cast("string"), F.lit(" "))).otherwise(F.lit("यो ")), "text")).otherwise(F.concat(F.lit("निर्णय नं. "), (F.col("conv_id") + 2000).cast("string"))))
     return session_fold(rows)
@@ -283,7 +399,7 @@ def page_text(s, d):
 
 def paragraph_chunks(s, d):
     text = F.concat(F.lit("before प्रकरण नं. १२ "), danda(F.col("text")), F.lit(" (प्रकरण नं. 13) after"))
-    return docs(s, d).select("doc_id", F.explode(T.marked_paragraphs(text)).alias("p")).select("doc_id", "p.number", F.length("p.body").alias("n_chars"))
+    return docs(s, d).select("doc_id", F.posexplode(T.paragraph_chunks(text)).alias("chunk_no", "p")).select("doc_id", "chunk_no", "p.number", "p.chunk")
 
 
 def evidence_ranks(s, d):
@@ -299,7 +415,8 @@ QUERIES = {
         header_union, char_trigrams, gram_df, doc_len, corpus_stats, bm25_scores, bm25_norm, lexical_score, knn_cosine, knn_postfilter, hybrid_fused, case_filter,
         case_dump, dominant_case, dominant_topk, neighbour_expand, hybrid_search, query_intent, query_identifiers, number_list, analyze_query, factual_category,
         metadata_extract, first_wins_case, case_list, corpus_summary, evidence_context, fallback_answer, compare_cases, conversation_fold, page_text,
-        paragraph_chunks, evidence_ranks,
+        paragraph_chunks, evidence_ranks, search_list, current_case_filter, case_id_fallback, full_text, page_validity, compare_judges, compare_petitioner, compare_date,
+        compare_all, compared_field, common_judges, judges_clean, summary_answer, reasoning_answer, asked_paragraph, last_decision,
     )
 }
 
@@ -311,8 +428,28 @@ def sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+#: What is white space beside RE2's own.
+BLANKS = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def uni(pattern: str) -> str:
+    """The pattern with every ``\\s`` written out, inside a class or outside."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two == r"\s":
+            out.append(BLANKS if inside else f"[{BLANKS}]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or (inside and two[0] != "]")
+            out.append(two[0])
+        k += 2 if two[0] == "\\" else 1
+    return "".join(out)
+
+
 def sql_strip(e: str) -> str:
-    return rf"regexp_replace({e}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({e}, '{uni(r'^\s+|\s+$')}', '', 'g')"
 
 
 def sql_fixes(e: str) -> str:
@@ -322,13 +459,13 @@ def sql_fixes(e: str) -> str:
 
 
 def sql_clean(e: str) -> str:
-    e = rf"regexp_replace(coalesce({e}, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g')"
+    e = rf"regexp_replace(nfc_normalize(coalesce({e}, '')), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g')"
     e = rf"regexp_replace(regexp_replace({e}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
     return sql_strip(sql_fixes(e))
 
 
 def sql_sentences(e: str) -> str:
-    split = rf"string_split_regex(regexp_replace({e}, '([।!?])\s+', '\1' || chr(1), 'g'), '[\x01\n]+')"
+    split = rf"string_split_regex(regexp_replace({e}, '{uni(r"([।!?])\s+")}', '\1' || chr(1), 'g'), '[\x01\n]+')"
     return f"list_filter(list_transform({split}, lambda x: {sql_strip('x')}), lambda x: x <> '')"
 
 
@@ -342,7 +479,7 @@ def sql_grams(e: str) -> str:
 
 DANDA = "replace(text, '.', '।')"
 CHUNKS = "c AS (SELECT doc_id AS idx, source, 'decision_' || (100 + CAST(substr(source, 4) AS INT)) AS case_id, CAST(100 + CAST(substr(source, 4) AS INT) AS VARCHAR) AS decision_no, CAST(doc_id % 7 AS INT) AS page, doc_id % 50 = 0 AS is_header, text AS content FROM documents)"
-GRAMS = rf"""t AS (SELECT doc_id AS idx, lower(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS s FROM documents),
+GRAMS = rf"""t AS (SELECT doc_id AS idx, lower(regexp_replace(coalesce(text, ''), '{uni(r"\s+")}', '', 'g')) AS s FROM documents),
 g AS (SELECT idx, unnest({sql_grams("s")}) AS gram FROM t),
 posts AS (SELECT idx, gram, count(*) AS tf FROM g GROUP BY ALL),
 df AS (SELECT gram, count(*) AS df FROM posts GROUP BY ALL),
@@ -372,7 +509,7 @@ p AS (SELECT source, page, sents, a, b FROM w WHERE a IS NOT NULL UNION ALL SELE
 k AS (SELECT source, page, CAST(row_number() OVER (PARTITION BY source, page ORDER BY b) - 1 AS INT) AS chunk_no, array_to_string(sents[a + 1:b], ' ') AS content FROM p)"""
 MIXED = "CASE WHEN idx % {} > 0 THEN 'decision_100' ELSE case_id END AS case_id"
 NUMBERS = rf"list_filter(regexp_extract_all(regexp_replace(regexp_replace(translate(coalesce({{}}, ''), '{K.DEVANAGARI_DIGITS}', '{K.ASCII_DIGITS}'), '[\p{{{{L}}}}\p{{{{N}}}}_]+', ' \0 ', 'g'), '$', ' '), ' ([0-9]{{{{3,4}}}}) ', 1), lambda x: x <> '')"
-ASK = f"q AS (SELECT item_id, list_extract([{', '.join(map(sql_text, ASKED))}], CAST(item_id % {len(ASKED)} + 1 AS INT)) || ' ' || substring(text, 1, 60) AS q FROM benchmark)"
+ASK = f"q AS (SELECT item_id, list_extract([{', '.join(map(sql_text, ASKED))}], CAST(item_id % {len(ASKED)} + 1 AS INT)) || ' ' || text AS q FROM benchmark)"
 
 
 def sql_any(e: str, terms: tuple[str, ...]) -> str:
@@ -380,28 +517,104 @@ def sql_any(e: str, terms: tuple[str, ...]) -> str:
 
 
 def sql_first(e: str, patterns: tuple[str, ...]) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({e}, {sql_text('(?im)' + p)}) THEN {sql_strip(f'regexp_extract({e}, {sql_text("(?im)" + p)}, 1)')}" for p in patterns) + " ELSE '' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({e}, {sql_text('(?im)' + uni(p))}) THEN {sql_strip(f'regexp_extract({e}, {sql_text("(?im)" + uni(p))}, 1)')}" for p in patterns) + " ELSE '' END"
 
 
 INTENT = f"""CASE WHEN {sql_any("l", K.LIST_PHRASES)} THEN 'LIST_CASES' WHEN {sql_any("l", K.SUMMARY_TERMS)} THEN 'CASE_SUMMARY'
-  WHEN regexp_matches(l, '(?:निर्णय\\s*नं\\.?|decision\\s*(?:no|number)|नं\\.)\\s*[०-९0-9]+') OR regexp_matches(l, 'nkp[_\\s-]*[०-९0-9]+') OR contains(l, '.pdf') THEN 'CASE_LOOKUP'
+  WHEN regexp_matches(l, '{uni(K.NAMED_DECISION)}') OR regexp_matches(l, '{uni(K.NAMED_FILE)}') OR contains(l, '.pdf') THEN 'CASE_LOOKUP'
   WHEN {sql_any("l", K.PROVISION_TERMS)} THEN 'LEGAL_PROVISION' WHEN {sql_any("l", K.COMPARISON_TERMS)} THEN 'COMPARISON' ELSE 'LEGAL_QA' END"""
-STEM = r"(?i)(nkp[_\-][0-9]+(?:[_\-][0-9]+)?(?:[_\-]part[0-9]+)?"
 N = f"translate(q, '{K.DEVANAGARI_DIGITS}', '{K.ASCII_DIGITS}')"
+DECISION = "coalesce(" + ", ".join(f"nullif(regexp_extract(n, '{uni(p)}', 1), '')" for p in K.DECISION_PATTERNS) + f", CASE WHEN {sql_any('l', K.CASE_KEYWORDS)} AND len(alone) = 1 THEN alone[1] END)"
 CATEGORY = f"""CASE WHEN {sql_any("l", K.LAWYER_WORDS)} THEN 'lawyers' WHEN regexp_matches(l, '(^|[^\\p{{L}}\\p{{N}}_])कसले[\\p{{L}}\\p{{N}}_]') THEN 'petitioner' WHEN {sql_any("l", K.JUDGE_WORDS)} THEN 'judges'
   WHEN {sql_any("l", K.FACT_PROVISION_WORDS)} THEN 'provisions' WHEN contains(l, 'विरुद्ध') THEN 'respondent' WHEN {sql_any("l", K.PETITIONER_WORDS)} THEN 'petitioner'
   WHEN contains(l, 'मुद्दा') AND contains(l, 'प्रकार') THEN 'case_type' WHEN {sql_any("l", ("मिति", "कहिले"))} THEN 'date' WHEN contains(l, 'फैसला') AND {sql_any("l", ("के", "कस्तो", "गरेको"))} THEN 'final_order'
   WHEN contains(l, 'मुद्दा') AND contains(l, 'नं') THEN 'case_number' END"""
+SPECIFIC = f"regexp_matches(l, '{uni(K.SPECIFIC_PROVISION[0])}') OR regexp_matches(replace(l, 'कुन-कुन', 'कुन-'), '{uni(K.SPECIFIC_PROVISION[1]).removeprefix('(?<!कुन-)')}') OR regexp_matches(l, '{uni(K.SPECIFIC_PROVISION[2])}')"
 TRUNCATED = "CASE WHEN length({x}) <= {n} THEN {x} WHEN regexp_matches(substring({x}, {m}, 150), '[।\\n?!]') THEN substring({x}, 1, {m} - 1) || regexp_extract(substring({x}, {m}, 150), '(?s)^(.*[।\\n?!])', 1) WHEN contains(substring({x}, {m}, 150), ' ') THEN substring({x}, 1, {m} - 1) || regexp_extract(substring({x}, {m}, 150), '(?s)^(.*) ', 1) || ' ...' ELSE substring({x}, 1, {n}) || ' ...' END"
 CASE_TOP = "'" + CASE_LINES.replace("{n}", "' || translate(CAST(doc_id + 1000 AS VARCHAR), '" + K.ASCII_DIGITS + "', '" + K.DEVANAGARI_DIGITS + "') || '").replace("{k}", "' || CAST(doc_id % 9 + 1 AS VARCHAR) || '") + "'"
 HEAD = "concat_ws(chr(10), 'CASE_ID: ' || case_id, 'निर्णय नं.: ' || decision_no, 'मिति: 2063-01-02', 'अदालत: ', 'विषय: ', 'मुद्दाको प्रकार: ', 'न्यायाधीश: ', 'पुनरावेदक/निवेदक: A', 'प्रत्यर्थी/विपक्षी: ', 'पुनरावेदकका कानून व्यवसायी: ', 'प्रत्यर्थीका कानून व्यवसायी: ', 'प्रमुख कानूनी प्रावधान: ')"
 BODY = "'[CASE_ID=' || case_id || '] [DECISION_NO=' || decision_no || '] [DATE=2063-01-02] [SUBJECT=UNKNOWN] [COURT=UNKNOWN] [CASE_TYPE=UNKNOWN] [JUDGES=UNKNOWN] [APPELLANT=A] [RESPONDENT=] [APPELLANT_LAWYER=UNKNOWN] [RESPONDENT_LAWYER=UNKNOWN] [PROVISIONS=UNKNOWN] [SOURCE=' || source || '] [PAGE=' || page || ']' || chr(10) || content"
 VOTES = f"f1 AS (SELECT * REPLACE ({MIXED.format(3).replace(' AS case_id', '')} AS case_id) FROM f), v AS (SELECT case_id, count(*) AS votes, min(rank) AS first FROM (SELECT *, row_number() OVER (ORDER BY score DESC, idx) AS rank FROM f1) WHERE rank <= 10 GROUP BY 1), dc AS (SELECT case_id FROM (SELECT * FROM v ORDER BY votes DESC, first LIMIT 1) WHERE votes >= 5)"
 
+PLAIN_VOTES = "v AS (SELECT case_id, count(*) AS votes, min(rank) AS first FROM (SELECT *, row_number() OVER (ORDER BY score DESC, idx) AS rank FROM f) WHERE rank <= 10 GROUP BY 1), dc AS (SELECT case_id FROM (SELECT * FROM v ORDER BY votes DESC, first LIMIT 1) WHERE votes >= 5)"
+DEVANAGARI_WORDS = "[" + ", ".join(map(sql_text, (*K.FOLLOWUP_PRONOUNS, *K.CASE_REFERENCES))) + "]"
+TURN = "CASE WHEN role = 'user' THEN CASE WHEN conv_id % 3 = 0 THEN 'निर्णय नं. ' || (turn + 1000) || ' ' ELSE 'यो ' END || text ELSE 'निर्णय नं. ' || (conv_id + 2000) END"
+SUMMARY_ROWS = "su(case_id, " + ", ".join(SUMMARY_FIELDS) + ") AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else sql_text(x) for x in row) + ")" for row in SUMMARIES) + ")"
+ASKED_CASES = "a(position, case_id) AS (VALUES (0, 'decision_100'), (1, 'decision_105'), (2, 'decision_106'), (3, 'decision_103'), (4, 'decision_999'))"
+
+
+def sql_judges(e: str) -> str:
+    e = sql_fixes(e)
+    for pattern, to in K.JUDGE_TITLES:
+        e = f"regexp_replace({e}, '{uni(pattern)}', '{to}', 'g')"
+    return sql_strip(e)
+
+
+def sql_compared(text: str, headers: bool = False) -> str:
+    """Lines of cases with a summary by ``text``; of others only the judges have header rows to fall back on."""
+    known = f"WHEN h.case_id IS NOT NULL THEN 'न्यायाधीश: ' || {sql_judges('h.judges')} " if headers else ""
+    return f"""WITH {CHUNKS}, {SUMMARY_ROWS}, {ASKED_CASES}, h AS (SELECT case_id, 'A, माननीय B' || min(idx) AS judges FROM c WHERE is_header GROUP BY 1)
+      SELECT position, '**निर्णय नं. ' || replace(case_id, 'decision_', '') || '** – ' || CASE WHEN introduction IS NOT NULL THEN {text} {known}ELSE 'जानकारी उपलब्ध छैन' END AS line
+      FROM a LEFT JOIN su USING (case_id) LEFT JOIN h USING (case_id)"""
+
+
+WRITTEN_JUDGES = sql_judges(sql_strip(f"regexp_extract(introduction, '{uni(K.JUDGES_LINE)}', 1)"))
+PARAGRAPHS = f"""t AS (SELECT doc_id, {sql_text("before प्रकरण नं. १२ ")} || {DANDA} || {sql_text(" (प्रकरण नं. 13) after")} AS x FROM documents),
+p AS (SELECT doc_id, string_split_regex(x, '{uni(K.PARAGRAPH_MARKER.removeprefix("(?U)"))}') AS bodies, regexp_extract_all(x, '{uni(K.PARAGRAPH_MARKER.removeprefix("(?U)"))}', 1) AS numbers FROM t),
+b AS (SELECT doc_id, generate_subscripts(bodies, 1) AS part, unnest(bodies) AS body, numbers FROM p),
+s AS (SELECT doc_id, part, CASE WHEN part > 1 THEN numbers[part - 1] END AS number, list_filter(string_split_regex(regexp_replace(body, '{uni("([।!?])" + chr(92) + "s+")}', '\\1' || chr(1), 'g'), chr(1)), lambda x: {sql_strip("x")} <> '') AS own FROM b),
+q AS (SELECT doc_id, part, number, CASE WHEN number IS NULL THEN own ELSE list_prepend(number, own) END AS sents FROM s),
+w AS (SELECT doc_id, part, number, sents, 0 AS nxt, 0 AS first, 0::BIGINT AS size, NULL::INT AS a, NULL::INT AS b FROM q WHERE len(sents) > 0
+  UNION ALL SELECT doc_id, part, number, sents, nxt + 1,
+    CASE WHEN nxt > first AND size + length(sents[nxt + 1]) > 600 THEN greatest(first, nxt - 100) ELSE first END,
+    CASE WHEN nxt > first AND size + length(sents[nxt + 1]) > 600 THEN list_sum(list_transform(sents[greatest(first, nxt - 100) + 1:nxt + 1], lambda z: length(z)))::BIGINT ELSE size + length(sents[nxt + 1]) END,
+    CASE WHEN nxt > first AND size + length(sents[nxt + 1]) > 600 THEN first END, CASE WHEN nxt > first AND size + length(sents[nxt + 1]) > 600 THEN nxt END
+  FROM w WHERE nxt < len(sents)),
+r AS (SELECT doc_id, part, number, sents, a, b FROM w WHERE a IS NOT NULL UNION ALL SELECT doc_id, part, number, sents, first, nxt FROM w WHERE nxt = len(sents) AND number IS NOT NULL),
+k AS (SELECT doc_id, part, b, number, {sql_strip("array_to_string(sents[a + 1:b], ' ')")} AS chunk FROM r)"""
+NEIGHBOURS = f"""tp AS (SELECT *, row_number() OVER (ORDER BY score DESC, idx) AS rank FROM f ORDER BY score DESC, idx LIMIT {TOP_K}),
+  e AS (SELECT idx + delta AS idx, case_id AS of_case, rank, role, score * CASE WHEN role = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM tp, (VALUES (0, 0), (-1, 1), (1, 2)) d(delta, role)),
+  o AS (SELECT e.*, n.case_id FROM e JOIN c n ON n.idx = e.idx WHERE role = 0 OR n.case_id = of_case QUALIFY row_number() OVER (PARTITION BY e.idx ORDER BY rank, role) = 1),
+  z AS (SELECT row_number() OVER (ORDER BY score DESC, rank, role) AS rank, idx, case_id, score FROM o)"""
+
 SQL = {
+    "hybrid_search": f"""WITH {FUSED}, {PLAIN_VOTES}, {NEIGHBOURS}, dom AS (SELECT row_number() OVER (ORDER BY score DESC, idx) AS rank, idx, case_id, score FROM f SEMI JOIN dc USING (case_id))
+      SELECT CAST(rank AS INT) AS rank, idx, case_id, round(score, 6) AS score FROM dom WHERE rank <= {TOP_K} UNION ALL SELECT CAST(rank AS INT), idx, case_id, round(score, 6) FROM z WHERE rank <= {3 * TOP_K} AND NOT EXISTS (SELECT 1 FROM dc)""",
+    "search_list": f"""WITH {FUSED.replace(sql_text(QUERY), sql_text(LISTING)).replace("'" + QUERY.replace(" ", "") + "'", "'" + LISTING.replace(" ", "") + "'").replace(f"{ALPHA} *", "0.5 *").replace(f"{1 - ALPHA} *", "0.5 *")}
+      SELECT CAST(row_number() OVER (ORDER BY f.score DESC, idx) AS INT) AS rank, idx, case_id, round(f.score, 6) AS score FROM f ORDER BY f.score DESC, idx LIMIT 7""",
+    "current_case_filter": f"WITH {CHUNKS} SELECT idx, case_id FROM c WHERE case_id = 'decision_{CASE}'",
+    "case_id_fallback": f"WITH {CHUNKS} SELECT idx, case_id FROM c WHERE case_id = 'decision_{CASE}'",
+    "full_text": f"WITH t AS (SELECT source, string_agg({sql_clean(DANDA)}, chr(10) || chr(10) ORDER BY CAST(doc_id AS INT)) AS x FROM documents GROUP BY 1) SELECT source, 1 AS total_pages, length(x)::INT AS n_chars, sha256(x) AS text_sha256 FROM t",
+    "page_validity": rf"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(text, 'aeioun', 'कखगघङत') ELSE text END AS x FROM documents), l AS (SELECT *, regexp_replace(x, '[^\p{{L}}]', '', 'g') AS letters FROM t)
+      SELECT doc_id, length({sql_strip("x")}) >= 20 AND coalesce(length(regexp_replace(letters, '[^\x{{0900}}-\x{{097F}}]', '', 'g')) / nullif(length(letters), 0), 0) >= 0.4 AS native_ok, length({sql_clean("x")})::INT AS n_chars FROM l""",
+    "paragraph_chunks": f"WITH RECURSIVE {PARAGRAPHS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, b) - 1 AS INT) AS chunk_no, number, chunk FROM k WHERE chunk <> ''",
+    "compare_judges": sql_compared(f"'न्यायाधीश: ' || CASE WHEN {WRITTEN_JUDGES} = '' THEN 'अज्ञात' ELSE {WRITTEN_JUDGES} END", headers=True),
+    "compare_petitioner": sql_compared(f"'निवेदक: ' || CASE WHEN contains(parties, 'निवेदक:') THEN {sql_strip("split_part(split_part(parties, 'निवेदक:', 2), 'विपक्षी:', 1)")} ELSE 'अज्ञात' END"),
+    "compare_date": sql_compared(f"'फैसला मिति: ' || coalesce(nullif(regexp_extract(introduction, '{uni(K.DECISION_DATE)}', 1), ''), 'अज्ञात')"),
+    "compare_all": sql_compared("coalesce(nullif(subject, ''), 'विषय अज्ञात')"),
+    "compared_field": f"WITH {ASK} SELECT item_id, CASE WHEN {sql_any('q', ('न्यायाधीश', 'इजलास', 'जज'))} THEN 'judges' WHEN {sql_any('q', ('निवेदक', 'पुनरावेदक'))} THEN 'petitioner' WHEN contains(q, 'मिति') THEN 'date' ELSE 'all' END AS field FROM q",
+    "common_judges": f"""WITH t AS (SELECT doc_id, ['कमल', source, 'नवीन'] AS a, CASE WHEN doc_id % 3 > 0 THEN [lang, 'शोभा', source, 'कमल'] ELSE [lang, 'शोभा', 'x'] END AS b FROM documents), i AS (SELECT doc_id, list_filter(a, lambda x: list_contains(b, x)) AS shared FROM t)
+      SELECT doc_id, chr(10) || '**साझा न्यायाधीश:** ' || CASE WHEN len(shared) > 0 THEN array_to_string(shared, ', ') ELSE 'कुनै पनि छैनन्' END AS common FROM i""",
+    "judges_clean": f"SELECT doc_id, {sql_judges(sql_text('सम्माननीय' + chr(0xA0) + 'का.मु. राम ,माननीय  ') + ' || text')} AS judges FROM documents",
+    "summary_answer": f"WITH {SUMMARY_ROWS} SELECT case_id, " + " || chr(10) || chr(10) || ".join(f"'**{title}**' || chr(10) || {field}" for title, field in answers.SUMMARY_PARTS) + " AS answer FROM su",
+    "reasoning_answer": f"""WITH {ASK}, {SUMMARY_ROWS}, x AS (SELECT item_id, lower(q) AS l, reasoning AS r FROM q JOIN su ON case_id = list_extract([{", ".join(sql_text(x[0]) for x in SUMMARIES)}], CAST(item_id % 3 + 1 AS INT)))
+      SELECT item_id, CASE WHEN {sql_any("l", K.REASONING_WORDS)} AND NOT {sql_any("l", K.REASONING_EXCEPT)} AND r <> '' THEN 'अदालतको तर्क/निष्कर्ष:' || chr(10) || chr(10) || CASE WHEN length(r) > 500 THEN substring(r, 1, 500) || '...' ELSE r END END AS answer FROM x""",
+    "asked_paragraph": f"WITH {ASK} SELECT item_id, nullif(regexp_extract(q, '{uni(K.ASKED_PARAGRAPH)}', 1), '') AS number FROM q",
+    "last_decision": f"SELECT conv_id, turn, list_extract(regexp_extract_all(text || CASE WHEN turn % 3 > 0 THEN ' निर्णय नं.' || chr(160) || '१२३ र निर्णय नं. ' || (turn + 100) ELSE '' END, '{uni(K.LAST_DECISION)}', 1), -1) AS decision_no FROM conversations",
+    "conversation_fold": f"""WITH RECURSIVE x AS (SELECT conv_id, turn, role, {TURN} AS raw FROM conversations), y AS (SELECT *, {sql_clean("raw")} AS q FROM x),
+      n AS (SELECT *, lower(q) AS l, {N} AS n, {NUMBERS.format("q")} AS alone FROM y),
+      z AS (SELECT conv_id, turn, role, q, len(alone) >= 2 AS cmp, {DECISION} AS named, {sql_any("l", K.RELATIVE_PRONOUNS)} AS pron, list_has_any(string_split_regex(l, '{uni(chr(92) + "s+")}'), {DEVANAGARI_WORDS}) AS ref,
+        list_extract(regexp_extract_all(raw, '{uni(K.LAST_DECISION)}', 1), -1) AS quoted, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM n),
+      s AS (SELECT conv_id, 0::BIGINT AS i, NULL::VARCHAR AS cur, NULL::VARCHAR AS last, NULL::BIGINT AS turn, NULL::VARCHAR AS role, NULL::VARCHAR AS resolved, NULL::BOOLEAN AS cmp FROM (SELECT DISTINCT conv_id FROM z)
+        UNION ALL SELECT conv_id, i, CASE WHEN role = 'user' THEN CASE WHEN cmp THEN c1 ELSE coalesce(new, last) END ELSE c0 END, CASE WHEN role = 'assistant' THEN quoted ELSE last END, turn, role, resolved, cmp FROM (
+          SELECT *, CASE WHEN q = '' THEN c1 WHEN p2 IS NOT NULL THEN p2 WHEN ref THEN coalesce(c1, last) ELSE c1 END AS new,
+            CASE WHEN q <> '' AND p2 IS NULL AND ref AND coalesce(c1, last) IS NOT NULL THEN 'मुद्दा decision_' || coalesce(c1, last) || ' (निर्णय नं. ' || coalesce(c1, last) || ') को बारेमा: ' || q ELSE q END AS resolved FROM (
+            SELECT *, coalesce(named, CASE WHEN pron THEN c1 END) AS p2 FROM (
+              SELECT z.conv_id, z.i, z.turn, z.role, z.q, z.cmp, z.named, z.pron, z.ref, z.quoted, s.cur AS c0, s.last, CASE WHEN z.cmp THEN s.cur ELSE coalesce(z.named, s.cur) END AS c1 FROM s JOIN z ON z.conv_id = s.conv_id AND z.i = s.i + 1))))
+      SELECT conv_id, turn, CASE WHEN NOT cmp THEN 'decision_' || cur END AS search_case, 'decision_' || cur AS current_case, resolved AS resolved_query, cmp AS comparison FROM s WHERE role = 'user'""",
     "bm25_topk": f"WITH {BM25} SELECT idx, round(bm25, 6) AS bm25 FROM b ORDER BY 2 DESC, 1 LIMIT 10",
     "ocr_fixes": f"SELECT doc_id, {sql_fixes("'काश SEAT ' || text")} AS fixed FROM documents",
-    "clean_text": f"SELECT doc_id, {sql_clean("'  ' || chr(9) || ' काश' || repeat(chr(10), 4) || text || ' ' || chr(1) || ' '")} AS cleaned FROM documents",
+    "clean_text": f"SELECT doc_id, {sql_clean(f"{sql_text(CLEAN_HEAD)} || text || {sql_text(CLEAN_TAIL)}")} AS cleaned FROM documents",
     "normalize_digits": "SELECT doc_id, text AS normal FROM documents",
     "script_ratio": r"""WITH t AS (SELECT doc_id, translate(text, 'aeiou', 'कखगघङ') AS x FROM documents), l AS (SELECT *, regexp_replace(x, '[^\p{L}]', '', 'g') AS letters FROM t),
       r AS (SELECT *, CASE WHEN length(letters) > 0 THEN length(regexp_replace(letters, '[^\x{0900}-\x{097F}]', '', 'g')) / length(letters) END AS ratio FROM l)
@@ -412,7 +625,7 @@ SQL = {
     "truncate_sentence": f"SELECT doc_id, {TRUNCATED.format(x='x', n=300, m=151)} AS short FROM (SELECT doc_id, {DANDA} AS x FROM documents)",
     "chunk_pack": f"WITH RECURSIVE {PACK} SELECT source, page, chunk_no, content FROM k",
     "chunk_index": f"WITH RECURSIVE {PACK} SELECT row_number() OVER (ORDER BY source, page, chunk_no) - 1 AS idx, source, page, chunk_no, length(content)::INT AS n_chars FROM k",
-    "header_union": f"WITH {CHUNKS} SELECT idx, 0 AS page, true AS is_header, {HEAD} AS search_text FROM c WHERE idx % 100 = 0 UNION ALL SELECT idx, page, false, {BODY} FROM c WHERE idx % 100 = 0",
+    "header_union": f"WITH {CHUNKS} SELECT idx, 0 AS page, true AS is_header, {HEAD} AS search_text FROM c UNION ALL SELECT idx, page, false, {BODY} FROM c",
     "char_trigrams": f"WITH {GRAMS} SELECT idx, count(*) AS grams, sum(tf)::BIGINT AS total, max(tf) AS most FROM posts GROUP BY 1",
     "gram_df": f"WITH {GRAMS} SELECT gram, df FROM df",
     "doc_len": f"WITH {GRAMS} SELECT idx, dl::BIGINT AS dl FROM dl",
@@ -431,19 +644,17 @@ SQL = {
       e AS (SELECT idx + delta AS idx, case_id AS of_case, rank, role, CASE WHEN role = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS share, score, vector_score, bm25_score, lexical_score FROM tp, (VALUES (0, 0), (-1, 1), (1, 2)) d(delta, role)),
       o AS (SELECT e.* FROM e JOIN (SELECT idx, {MIXED.format(5)} FROM c) n ON n.idx = e.idx WHERE role = 0 OR n.case_id = of_case QUALIFY row_number() OVER (PARTITION BY e.idx ORDER BY rank, role) = 1),
       z AS (SELECT idx, rank, role, {", ".join(f"{c} * share AS {c}" for c in search.SCORES)} FROM o ORDER BY score DESC, rank, role LIMIT {3 * TOP_K}) SELECT idx, {SCORES6} FROM z""",
-    "query_intent": f"WITH {ASK}, i AS (SELECT item_id, {INTENT} AS intent FROM (SELECT item_id, lower(trim(q)) AS l FROM q)) SELECT item_id, intent, CASE WHEN intent IN ('LIST_CASES', 'CASE_LOOKUP') THEN 500 WHEN intent = 'CASE_SUMMARY' THEN 1200 ELSE 1024 END AS budget FROM i",
+    "query_intent": f"WITH {ASK}, i AS (SELECT item_id, {INTENT} AS intent FROM (SELECT item_id, {sql_strip('lower(q)')} AS l FROM q)) SELECT item_id, intent, CASE WHEN intent IN ('LIST_CASES', 'CASE_LOOKUP') THEN 500 WHEN intent = 'CASE_SUMMARY' THEN 1200 ELSE 1024 END AS budget FROM i",
     "query_identifiers": rf"""WITH {ASK}, n AS (SELECT item_id, q, lower(q) AS l, {N} AS n, {NUMBERS.format("q")} AS alone FROM q)
-      SELECT item_id, coalesce(nullif(regexp_extract(n, '(?i)(?:निर्णय\s*नं\.?|decision\s*(?:no|number)|नं\.)\s*([0-9]{{3,}})', 1), ''), nullif(regexp_extract(n, 'निर्णय\s*([0-9]{{3,}})', 1), ''),
-        nullif(regexp_extract(n, '(?i)(?:case\s*(?:no|number)|cases\s*no)\s*[:. ]?\s*([0-9]{{3,}})', 1), ''), nullif(regexp_extract(n, '(?i)decision\s*(?:no|number)\s*[:. ]?\s*([0-9]{{3,}})', 1), ''),
-        CASE WHEN {sql_any("l", K.CASE_KEYWORDS)} AND len(alone) = 1 THEN alone[1] END, CASE WHEN {sql_any("l", K.RELATIVE_PRONOUNS)} THEN '777' END) AS decision_no,
-        nullif(regexp_extract(q, '{STEM}\.pdf)', 1), '') AS source, CASE WHEN regexp_extract(q, '{STEM}\.pdf)', 1) = '' THEN nullif(regexp_extract(q, '{STEM})', 1), '') END AS source_stem FROM n""",
+      SELECT item_id, coalesce({DECISION}, CASE WHEN {sql_any("l", K.RELATIVE_PRONOUNS)} THEN '777' END) AS decision_no,
+        nullif(regexp_extract(q, '{K.SOURCE_FILE}', 1), '') AS source, CASE WHEN regexp_extract(q, '{K.SOURCE_FILE}', 1) = '' THEN nullif(regexp_extract(q, '{K.SOURCE_STEM}', 1), '') END AS source_stem FROM n""",
     "number_list": f"SELECT doc_id, array_to_string(n, ',') AS numbers, len(n) >= 2 AS comparison FROM (SELECT doc_id, {NUMBERS.format('text')} AS n FROM documents)",
-    "analyze_query": rf"""WITH {ASK}, k AS (SELECT item_id, regexp_replace(lower(nullif(regexp_extract(q, '(?i)nkp[-_\s]?\d+[-_\s]?\d+', 0), '')), '[-_\s/]+', '_', 'g') AS source_filter,
+    "analyze_query": rf"""WITH {ASK}, k AS (SELECT item_id, regexp_replace(lower(nullif(regexp_extract(q, '{uni(K.ANALYSED_SOURCE)}', 0), '')), '{uni(K.SOURCE_MARKS)}', '_', 'g') AS source_filter,
       CASE WHEN {sql_any("q", ("निवेदक", "विपक्षी"))} THEN 'ENTITY_CASE_ANALYSIS' WHEN {sql_any("q", ("फैसला", "विवाद", "पृष्ठभूमि", "आदेश"))} THEN 'CASE_SUMMARY' WHEN {sql_any("q", ("धारा", "दफा"))} THEN 'LEGAL_PROVISION_LOOKUP' ELSE 'DIRECT_FACT' END AS query_type FROM q)
       SELECT *, query_type IN ('ENTITY_CASE_ANALYSIS', 'CASE_SUMMARY') AS requires_expansion FROM k""",
     "factual_category": rf"""WITH {ASK}, k AS (SELECT item_id, l, {CATEGORY} AS kind FROM (SELECT item_id, lower(q) AS l FROM q))
       SELECT item_id, CASE WHEN {sql_any("l", K.REASONING_WORDS)} AND NOT {sql_any("l", K.REASONING_EXCEPT)} THEN 'reasoning'
-        WHEN kind = 'provisions' AND (regexp_matches(l, '(?:धारा|दफा)\s*[०-९0-9]+') OR regexp_matches(replace(l, 'कुन-कुन', 'कुन-'), 'कुन\s*(?:धारा|दफा)') OR regexp_matches(l, '(?:धारा|दफा).*बारे')) THEN NULL ELSE kind END AS category FROM k""",
+        WHEN kind = 'provisions' AND ({SPECIFIC}) THEN NULL ELSE kind END AS category FROM k""",
     "metadata_extract": rf"""WITH x AS (SELECT doc_id || '.pdf' AS file, {sql_clean(f"CASE WHEN doc_id % 4 > 0 THEN {CASE_TOP} ELSE '' END || text")} AS t, doc_id FROM documents), y AS (SELECT *, translate(t, '{K.DEVANAGARI_DIGITS}', '{K.ASCII_DIGITS}') AS n FROM x),
       z AS (SELECT *, {sql_first("n", PATTERNS["decision_no"])} AS decision_no, {sql_first("t", PATTERNS["subject"])} AS s FROM y)
       SELECT file, CASE WHEN decision_no <> '' THEN 'decision_' || decision_no ELSE 'file_' || doc_id END AS case_id, decision_no, {sql_first("n", PATTERNS["date"])} AS date, s AS subject,

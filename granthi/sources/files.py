@@ -5,19 +5,34 @@ Extraction, OCR and embedding are functions that the caller gives: the library h
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import clean_text, is_valid_script
 
 #: From one file's bytes to its pages: (native text, a handle for OCR) each.
 Extractor = Callable[[bytes], list[tuple[str, object]]]
+OUTSIDE = re.compile("[^\u0900-\u097f]+")
 OCR_LANGUAGES = ("nep", "script/Devanagari", "eng")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, ``spark.checkpoint.dir``; for a local session that names none, one of this machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="granthi-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
 def list_files(spark: SparkSession, path: str, suffix: str = "pdf") -> DataFrame:
     """Files below ``path`` (or the file itself) by suffix in any case; a missing path gives no rows."""
     glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
@@ -31,10 +46,17 @@ def ocr_languages(installed: list[str]) -> str:
     return "+".join(x for x in OCR_LANGUAGES if x in installed) or "eng"
 
 
-def extract_pages(files: DataFrame, extract: Extractor, ocr: Callable[[object], str] | None = None, least_ratio: float = 0.4) -> DataFrame:
+def in_script(text: str, least_ratio: float = 0.4) -> bool:
+    """``is_valid_script`` for a text at hand: 20 characters, and that share of the letters in the Devanagari block."""
+    letters = sum(map(str.isalpha, text))
+    return len(text.strip()) >= 20 and letters > 0 and sum(map(str.isalpha, OUTSIDE.sub("", text))) >= least_ratio * letters
+
+
+def extract_pages(files: DataFrame, extract: Extractor, ocr: Callable[[object], str] | None = None, least_ratio: float = 0.4, prepare: Callable[[object], object] = lambda image: image) -> DataFrame:
     """(source, page, total_pages, text, error): one row for each page; a file that fails gives one row with its error.
 
-    A page whose native text is not in the script goes to ``ocr``. Every file is read once.
+    A page whose native text is not in the script goes to ``ocr``, its image through ``prepare`` first (scaling,
+    denoising, thresholding). Every file is read once.
     """
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,9 +68,8 @@ def extract_pages(files: DataFrame, extract: Extractor, ocr: Callable[[object],
                     found = extract(bytes(content))
                     rows = []
                     for k, (text, handle) in enumerate(found, 1):
-                        letters = [c for c in text if c.isalpha()]
-                        valid = len(text.strip()) >= 20 and letters and sum("ऀ" <= c <= "ॿ" for c in letters) / len(letters) >= least_ratio
-                        rows.append((name, k, len(found), text.strip() if valid or ocr is None else ocr(handle), None))
+                        keep = ocr is None or in_script(text, least_ratio)
+                        rows.append((name, k, len(found), text.strip() if keep else ocr(prepare(handle)), None))
                     out += rows
                 except Exception as e:  # noqa: BLE001  the file's error is data
                     out.append((name, 0, 0, None, str(e)))
@@ -68,21 +89,15 @@ def valid_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("native_ok", is_valid_script(F.col("text"))).withColumn("text", clean_text(F.col("text")))
 
 
-def save_index(tables: dict[str, DataFrame], path: str, partition: dict[str, str] | None = None) -> None:
-    """Each table as Parquet below ``path``, the old ones replaced."""
-    for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition[name]) if partition and name in partition else writer).parquet(f"{path}/{name}")
-
-
-def load_index(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
-
-
 def save_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 
 
+def load_summary(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A summary that ``save_summary`` wrote; ``schema``: that of the summary."""
+    return spark.read.schema(schema).json(path)
+
+
 def load_case_summaries(spark: SparkSession, path: str) -> DataFrame:
     """Hand-written summaries, one JSON object for each case; empty where the path is missing."""
     fields = ("introduction", "parties", "lawyers", "key_facts", "legal_questions", "reasoning", "final_order", "legal_principle", "subject", "judges")

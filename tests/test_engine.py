@@ -1,8 +1,9 @@
-import pandas as pd
+import json
+
 from pyspark.sql import functions as F
 
 from granthi.functions import constants as K
-from granthi.operators import answers, chunks, search, sparse
+from granthi.operators import answers, chunks, ingest, search, sparse
 from granthi.sources import files
 from granthi.streaming.session import prepared, session_fold, step
 
@@ -96,5 +97,63 @@ def test_session_stream(spark, tmp_path):
     run = session_stream(stream).writeStream.format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "at")).start()
     run.processAllAvailable()
     run.stop()
-    assert spark.table("sessions").count() == sum(t[2] == "user" for t in TURNS)
-    assert isinstance(pd.DataFrame(), pd.DataFrame)
+    want = session_fold(spark.createDataFrame(TURNS, schema)).collect()
+    assert len(want) == 5 and sorted(map(tuple, spark.table("sessions").collect())) == sorted(map(tuple, want))
+
+
+def test_from_files_to_answers(spark, tmp_path):
+    """An ingest writes a base; an engine over it ranks as one over tables in memory, and answers follow."""
+    (tmp_path / "in").mkdir()
+    first, second = TEXT.format(n=9876), TEXT.replace("कखगघ", "चछजझ").format(n=1234) + "\nसंविधान बमोजिम निवेदन खारेज हुने ठहर्छ।"
+    for name, text in (("a.pdf", first), ("b.PDF", second), ("bad.pdf", "broken")):
+        (tmp_path / "in" / name).write_bytes(text.encode())
+
+    def extract(content):
+        if content == b"broken":
+            raise ValueError("no pages")
+        return [(content.decode(), None), ("अर्को पृष्ठ छ। " * 60, None)]
+
+    def embed(texts):
+        return [[float(len(t) % 7 + 1), 2.0, float("९८७६" in t or "9876" in t)] for t in texts]
+
+    out = f"file://{tmp_path}/base"
+    summary = ingest.ingest(spark, f"file://{tmp_path}/in", out, extract, embed).first()
+    assert (summary["total_files"], summary["total_pages"], summary["cases"]) == (2, 4, ["decision_1234", "decision_9876"])
+    assert summary["case_metadata"].asDict()["decision_9876"]["judges"] == "कखगघ" if not isinstance(summary["case_metadata"], dict) else summary["case_metadata"]["decision_9876"]["judges"] == "कखगघ"
+    e = search.open_engine(spark, out, lambda q: embed([q])[0])
+    assert search.open_engine(spark, out, embed) is e
+    norms = e.vectors.select(F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)").alias("n")).collect()
+    assert all(abs(r["n"] - 1) < 1e-5 for r in norms) and len(norms) == summary["total_chunks"]
+    memory = search.Engine(e.chunks, e.vectors, sparse.index(e.chunks), e.embed)
+    for q in ("संविधान बमोजिम खारेज", "अर्को पृष्ठ", "which cases are there"):
+        rows = [[(r["rank"], r["idx"], round(r["score"], 6)) for r in x.search(q, 3).orderBy("rank").collect()] for x in (e, memory)]
+        assert rows[0] == rows[1] and rows[0]
+    cases = e.chunks.groupBy("case_id").agg(F.min("idx").alias("first_idx"), F.first("decision_no").alias("decision_no"), F.first("date").alias("date"), F.first("subject").alias("subject"))
+    none = files.load_case_summaries(spark, "/nonexistent/summaries.json")
+    assert answers.answer("निर्णय नं. 1234 का न्यायाधीश को हुन्", e.search("निर्णय नं. 1234"), cases, none) == "न्यायाधीश: चछजझ"
+    assert spark.read.parquet(f"{out}/pages").where("error is not null").select("source").collect() == [("bad.pdf",)]
+    search.clear_engines()
+    assert search.open_engine(spark, out, embed) is not e
+
+
+def test_paragraph_answers(spark):
+    hits = spark.createDataFrame([(1, "x", "५"), (2, "पाठ", "४")], "rank int, content string, paragraph_no string")
+    assert answers.paragraph_text("४", hits) == "प्रकरण/अनुच्छेद नं. ४ को पाठ:\n\nपाठ"
+    assert answers.paragraph_text("९", hits).endswith("उपलब्ध छैन।") and answers.paragraph_text("४", hits.drop("paragraph_no")).endswith("उपलब्ध छैन।")
+
+
+SUMMARY = dict.fromkeys(("introduction", "parties", "lawyers", "key_facts", "legal_questions", "reasoning", "final_order", "legal_principle"), "क")
+
+
+def test_routes_with_summaries(spark, tmp_path):
+    """Summary, reasoning, comparison and the current case's filter, as the router has them in order."""
+    (tmp_path / "s.json").write_text(json.dumps({"decision_9876": SUMMARY | {"introduction": "न्यायाधीश: कमल, नवीन।"}, "decision_1234": SUMMARY | {"introduction": "न्यायाधीश: नवीन र शोभा"}}), encoding="utf-8")
+    written = files.load_case_summaries(spark, f"file://{tmp_path}/s.json")
+    hits = spark.createDataFrame([(1, "decision_9876", True, 0, "x", "j")], "rank int, case_id string, is_header boolean, page int, content string, judges string")
+    cases = spark.createDataFrame([], "first_idx long, decision_no string, date string, subject string")
+    ask = lambda q, **more: answers.answer(q, hits, cases, written, **more)
+    assert ask("मुद्दाको सारांश", current_case="decision_9876").startswith("**मुद्दाको परिचय**\nन्यायाधीश: कमल, नवीन।\n\n**पक्षकारहरू**\nक")
+    assert ask("किन", current_case="decision_9876") == "अदालतको तर्क/निष्कर्ष:\n\nक"
+    assert ask("न्यायाधीश तुलना", compare=["9876", "1234"]).endswith("\n\n\n**साझा न्यायाधीश:** नवीन")
+    assert ask("who", current_case="decision_5") == K.NO_INFO
+    assert ask("कुन कुन मुद्दा") == K.NO_CASES

@@ -14,7 +14,7 @@ def test_clean_and_digits(spark):
     assert one(spark, T.clean_text(F.lit(None).cast("string"))) == ""
     assert one(spark, T.normalize_digits(F.lit("२०६३"))) == "2063"
     assert one(spark, T.ocr_fixes(F.lit("प्रकाश"))) == "प्रप्रकाश"
-    assert one(spark, T.clean_text(F.lit("é"), True)) == "é"
+    assert one(spark, T.clean_text(F.lit("\u00a0e\u0301\u0928\u093c\u0958\u00a0"))) == "\u00e9\u0929\u0915\u093c"
 
 
 def test_script(spark):
@@ -79,3 +79,21 @@ def test_metadata(spark):
     m = one(spark, case_metadata(F.lit(text), F.lit("a.pdf")))
     assert (m["case_id"], m["date"], m["parties"]["appellant"], m["judges"], m["provisions"]) == ("decision_9876", "2063/1/2", "राम", "कखगघ, चछजझ", "दफा ८८")
     assert one(spark, case_metadata(F.lit("none"), F.lit("a.pdf")))["case_id"] == "file_a"
+
+
+def test_unicode_blanks(spark):
+    text = "निर्णय\u00a0नं.\u00a09876\nविषय:\u2003रिट\u00a0\nन्यायाधीश\u00a0श्री कखगघ"
+    m = one(spark, case_metadata(F.lit(text), F.lit("a.pdf")))
+    assert (m["decision_no"], m["subject"], m["judges"]) == ("9876", "रिट", "कखगघ")
+    assert one(spark, Q.intent(F.lit("निर्णय\u00a0नं.\u00a0९८७६"))) == "CASE_LOOKUP"
+    assert one(spark, Q.decision_number(F.lit("case\u00a0no:\u2009771"))) == "771"
+
+
+def test_paragraph_chunks(spark):
+    """The number is a paragraph's first sentence; a closed chunk's sentences begin the next one."""
+    text = "before। (प्रकरण नं. १२) एक। दुई। तीन। प्रकरण\u00a0नं. 3 चार।"
+    chunked = lambda most, again: [tuple(x) for x in one(spark, T.paragraph_chunks(F.lit(text), most, again))]
+    assert chunked(600, 100) == [("१२", "१२ एक। दुई। तीन।"), ("3", "3 चार।")]
+    assert chunked(10, 1) == [("१२", "१२ एक। दुई।"), ("१२", "दुई। तीन।"), ("3", "3 चार।")]
+    assert chunked(10, 100)[:2] == [("१२", "१२ एक। दुई।"), ("१२", "१२ एक। दुई। तीन।")]
+    assert one(spark, T.paragraph_chunks(F.lit("no number"))) == [] and one(spark, T.paragraph_chunks(F.lit("aaa। bbb। ccc।"), 4, 0))[0]["chunk"] == "aaa।"
