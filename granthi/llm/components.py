@@ -71,7 +71,7 @@ def components(links: DataFrame) -> DataFrame:
         flat = materialize(least.select(F.when(F.col("parent") > F.col("least"), F.col("parent")).otherwise(F.col("child")).alias("child"), F.col("least").alias("parent")).distinct(), "links")
         above = flat.select(F.col("child").alias("parent"), F.col("parent").alias("above")).groupBy("parent").agg(F.min("above").alias("above"))
         above = flat.groupBy("parent").agg(F.count("*").alias("n")).join(above, "parent")
-        found = look_up(flat, above, ["parent"], "n", total)
+        found = look_up(flat, above, ["parent"], "n", 1 << total.bit_length())  # rounded, so that rounds share their compiled code
         new = materialize(found.select("child", F.coalesce("above", "parent").alias("parent")).distinct(), "links")
         release(state, flat)
         state = new

@@ -16,6 +16,7 @@ import os
 import re
 import string
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -146,14 +147,14 @@ class Complements:
         self.have = [0] * (limit + 1)
         for length, n in counts.items():
             self.have[length] += n
-        self.pairs: dict[int, list[int]] = {}
-        self.triples: dict[int, list[int]] = {}
+        self.pairs: dict[int, array] = {}
+        self.triples: dict[int, array] = {}
 
     def pair(self, total: int, spoken: int = 0) -> tuple[int, int] | None:
         """The first pair of this sum on hand; ``spoken``: a length whose count lacks one that is spoken for at present."""
         have, firsts = self.have, self.pairs.get(total)
         if firsts is None:  # in rising order: the last one is the pair's longest
-            firsts = self.pairs[total] = [a for a in range((total + 1) // 2, total) if have[a] and have[total - a]]
+            firsts = self.pairs[total] = array("I", (a for a in range((total + 1) // 2, total) if have[a] and have[total - a]))
         at = len(firsts) - 1
         while at >= 0:
             a = firsts[at]
@@ -168,7 +169,7 @@ class Complements:
         """The first triple of this sum on hand."""
         have, firsts = self.have, self.triples.get(total)
         if firsts is None:
-            firsts = self.triples[total] = [a for a in range(-(-total // 3), total - 1) if have[a]]
+            firsts = self.triples[total] = array("I", (a for a in range(-(-total // 3), total - 1) if have[a]))
         while firsts:
             a = firsts[-1]
             if have[a]:
