@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,13 @@ def release(*kept: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver forget the plans of finished steps: Spark removes a shuffle's files from the executors' disks, and
+    gives back a broadcast's memory, once the driver's JVM has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """``rows`` with the other columns of ``table`` (null where it has no such keys), which has a row for each key.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import look_up, materialize, read_table
+from .common import collect_garbage, look_up, materialize, read_table
 
 PREFIX_CHARS = 256
 
@@ -84,6 +84,7 @@ def copies(rows: DataFrame, key: str) -> DataFrame:
     texts = rows.select(key, "text").join(F.broadcast(own) if survivors.count() <= SENT else own, key, "left_semi")
     full = materialize(fingerprints(texts.select(F.col(key).alias("doc_id"), "text")), "survivors")
     groups = materialize(full.groupBy("len", "text_sha256").agg(F.min("doc_id").alias("group"), F.count("*").alias("weight")).where("weight > 1"), "groups")
+    collect_garbage(rows.sparkSession)
     found = look_up(full, groups, ["len", "text_sha256"], "weight", total).where("group is not null")
     return found.select(F.col("doc_id").alias("row"), "group")
 

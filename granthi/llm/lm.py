@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import crc32_mod, materialize, read_table, release, to_partitions
+from .common import collect_garbage, crc32_mod, materialize, read_table, release, to_partitions
 from .ngrams import U, mix, text_words
 
 FOLDS = 10
@@ -231,6 +231,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     out = materialize(X.with_answers(blocks, [replies, more], score, SCHEMA), "scores")
     release(blocks, replies, more)
+    collect_garbage(docs.sparkSession)
     return out
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, read_table
+from .common import chunks, collect_garbage, materialize, read_table
 
 LIMIT = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -281,6 +281,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT, keep_i
     made = materialize(pieces(docs, tokenizer, limit, keep_ids), "pieces")
     counted = materialize(made.groupBy("chunk", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``limit`` rows
+    collect_garbage(spark)
     slots: dict[int, list[tuple[int, int, int, int]]] = {}  # by length: first rank, sequence of it, offset, step
     used = dict.fromkeys(histogram, 0)
     sequence = 0

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import collect_garbage, materialize, read_table
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds of candidates, and the kind of span that each gives.
@@ -205,6 +205,7 @@ def train_classifier(counts: dict[Pattern, int], posterior: dict[Pattern, float]
 def learn(found: DataFrame, column: str = "found") -> dict[str, float]:
     """The classifier's weights, from the votes on all candidates of ``found``."""
     c = found.select(F.explode(column).alias("c")).select("c.kind", "c.v1", "c.v2", "c.v3", "c.size", "c.digits")
+    collect_garbage(found.sparkSession)
     rows = c.groupBy(*c.columns).agg(F.count("*").alias("n")).collect()  # at most 7 kinds, 27 votes, 8 sizes and 5 shares of digits
     counts = {tuple(r[:6]): r["n"] for r in rows}
     return train_classifier(counts, reliabilities(counts)[2]) if counts else {}

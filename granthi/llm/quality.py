@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc32_mod, read_table
+from .common import chunks, collect_garbage, crc32_mod, read_table
 from .ngrams import SPACES, U, join_texts, mix, words
 
 WORD_SLOTS = 1 << 16
@@ -190,7 +190,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     got = got.groupBy("doc_id").agg(F.min(F.struct("slots", "values", "label")).alias("x")).select("doc_id", "x.*")
     sample = sorted(got.collect(), key=lambda r: (r["doc_id"], bytes(r["slots"])))  # SAMPLE rows at most, each of SLOTS features at most
     x = [(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["values"], "<f2").astype(np.float32)) for r in sample]
-    return Machine().fit(x, np.array([r["label"] for r in sample], np.float32))
+    y = np.array([r["label"] for r in sample], np.float32)
+    del sample
+    collect_garbage(docs.sparkSession)
+    return Machine().fit(x, y)
 
 
 SCHEMA = "doc_id long, score double"

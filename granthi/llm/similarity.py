@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import look_up, materialize, read_table, release, to_partitions
+from .common import collect_garbage, look_up, materialize, read_table, release, to_partitions
 from .components import components, local_roots
 from .ngrams import U, mix, shingle_sets
 
@@ -482,6 +482,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR
         links = links.unionByName(_reduced(large, made, num, den))
     final = components(links)
     release(made, entries, rows)
+    collect_garbage(docs.sparkSession)
 
     best = classes.join(final.select(F.col("child").alias("rep"), F.col("parent").alias("root")), "rep", "left")
     best = materialize(best.select("n", "s1", "s2", "copies", "lowest", F.coalesce("root", "rep").alias("root")), "best")
