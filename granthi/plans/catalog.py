@@ -245,9 +245,9 @@ def page_validity(s, d):
 
 
 ASKED = (
-    "कुन कुन मुद्दा छन्", "list of cases please", "summary of decision no 4512", "यो मुद्दा के हो", "निर्णय नं. ९८७६ को फैसला", "nkp_12_3.pdf",
+    "कुन कुन मुद्दा छन्", "list of cases please", "summary of decision no 4512", "यो मुद्दा के हो", "", "निर्णय नं. ९८७६ को फैसला", "nkp_12_3.pdf",
     "दफा ८८ बमोजिम", "compare case 123 and 456", "difference between them", "निर्णय 123", "case no: 4521", "what about the case 2063", "said order", "who is it",
-    "अनुसार कसरी", "यस मुद्दाको मिति कहिले हो", "वकील को हुन्", "निर्णय नं. १२३४ र ५६७८ तुलना", "NKP 2_2 को निवेदक", "विरुद्ध को", "मुद्दा नं", "फैसला के गरेको", "",
+    "अनुसार कसरी", "यस मुद्दाको मिति कहिले हो", "वकील को हुन्", "निर्णय नं. १२३४ र ५६७८ तुलना", "NKP 2_2 को निवेदक", "विरुद्ध को", "मुद्दा नं", "फैसला के गरेको",
     "निर्णय\u00a0नं.\u00a0९८७६", "decision\u2003no\u00a0812 summary", "case\u00a0no:\u2009771", "nkp\u00a03_4", "दफा\u00a0८८ को\u00a0बारे", "प्रकरण\u00a0नं.\u00a0१२", "अनुच्छेद नं ४ के हो", "कुन-कुन\u00a0धारा", "कुन\u2003धारा",
 )
 
