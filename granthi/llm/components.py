@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import look_up, materialize, release
+from .common import collect_garbage, look_up, materialize, release
 
 PAIRS = "child long, parent long"
 
@@ -74,6 +74,7 @@ def components(links: DataFrame) -> DataFrame:
         found = look_up(flat, above, ["parent"], "n", 1 << total.bit_length())  # rounded, so that rounds share their compiled code
         new = materialize(found.select("child", F.coalesce("above", "parent").alias("parent")).distinct(), "links")
         release(state, flat)
+        collect_garbage(links.sparkSession)  # a round's shuffle files go with it
         state = new
         now = tuple(state.agg(F.count("*"), F.countDistinct("child"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first())
         if now == last and now[0] == now[1]:
