@@ -105,15 +105,15 @@ def _find_trigrams(first: int):
     return find
 
 
-def _counts(row: dict, got: list[dict[int, bytes]], first: int) -> tuple[Block, list[tuple[np.ndarray, ...]]]:
-    """A block and, for all training documents and for their deleted part, every token's counts: of the token, its
-    word context, the bigram, its pair context and the trigram. A text's first token has its start as both contexts."""
+def _counts(row: dict, got: list[dict[int, bytes]], first: int, parts: int) -> tuple[Block, list[tuple[np.ndarray, ...]]]:
+    """A block and, for all training documents and (``parts`` 2) for their deleted part, every token's counts: of the token,
+    its word context, the bigram, its pair context and the trigram. A text's first token has its start as both contexts."""
     b = Block(row, trigrams=True)
     one, two = _whole(got[0], 0, first), _whole(got[0], first)
     ask = ~b.lone(two)
     own = b.own(b.trigram, len(b.trigrams), b.inner)
     out = []
-    for i, answer in enumerate(_whole(got[1])[:2]):
+    for i, answer in enumerate(_whole(got[1])[:parts]):
         three = own.copy() if i == 0 or b.kind == LEARN else np.zeros_like(own)
         three[ask] = answer
         context, bigram = one[i][b.context], two[i][b.bigram]
@@ -192,7 +192,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         """The weights of the bigrams, or with these given, ``two``, those of the trigrams."""
 
         def cells(row: dict, got: list[dict[int, bytes]]) -> pa.Table:
-            _, (every, gone) = _counts(row, got, first)
+            _, (every, gone) = _counts(row, got, first, 2)
             token, context, bigram, pair, trigram = (a - d for a, d in zip(every, gone, strict=True))
             lower = unigram(token, n - n_deleted)
             if two is None:
@@ -213,7 +213,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     three = learned(two)
 
     def score(row: dict, got: list[dict[int, bytes]]) -> pa.Table:
-        b, ((token, context, bigram, pair, trigram), _) = _counts(row, got, first)
+        b, ((token, context, bigram, pair, trigram),) = _counts(row, got, first, 1)
         low = unigram(token, n)
         model = np.log10(mixed(three, trigram, pair, mixed(two, bigram, context, low)))
         sums = lambda x: pa.array(np.add.reduceat(x, b.offsets[:-1]))  # noqa: E731  every text has its end token
