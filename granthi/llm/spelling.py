@@ -3,9 +3,9 @@
 All bigrams are put in one order by the number of words that hold them, the rarest first. A word stands for the join by its three
 rarest bigrams alone (by each place of one that repeats): an edit touches two bigrams at most, so two words that
 differ by one edit share one of these that the edit leaves alone. Its place in both words is limited: what stands on
-one side of it, bigram included, is the same in both, since the edit is on the other side. So words meet on that
-side's hash and the longer word's length, and what meets is verified. Words of more than LONG code points meet on
-their halves, one of which an edit leaves alone.
+one side of it, bigram included, is the same in both, since the edit is on the other side; and of that other side
+one half is the same too. So words meet on the longer word's length and the hash of what both must share, and what meets is
+verified. Words of more than LONG code points meet on their halves, one of which an edit leaves alone.
 """
 
 from __future__ import annotations
@@ -96,14 +96,29 @@ def _prefix(word: str, order: dict[str, int]) -> list[int]:
 
 
 def join_keys(word: str, order: dict[str, int]) -> tuple[set[str], set[str]]:
-    """The keys by which a word looks for words of its length or one code point more, and those by which it is found."""
+    """The keys by which a word looks for words of its length or one code point more, and those by which it is found.
+
+    A key names the longer word's length and what both words share. The part that is edited is halved where it has one code
+    point less; the longer word leaves out the one between its halves, and so may a word of the same length.
+    """
     n = len(word)
     asks, answers = set(), set()
     if n <= LONG + 1:
-        sides = {s for i in _prefix(word, order) for s in (f"l{word[: i + 2]}", f"r{word[i:]}")}
-        answers |= {f"{n}{s}" for s in sides}
+        for i in _prefix(word, order):
+            left, after, right, before = word[: i + 2], word[i + 2 :], word[i:], word[:i]
+            if after:
+                half = (len(after) - 1) // 2
+                answers |= {f"{n}<{left}{after[:half]}|", f"{n}<{left}|{after[half + 1 :]}"}
+            if before:
+                half = (len(before) - 1) // 2
+                answers |= {f"{n}>|{before[half + 1 :]}{right}", f"{n}>{before[:half]}|{right}"}
+            if n <= LONG:
+                half = len(after) // 2
+                asks |= {f"{n + 1}<{left}{after[:half]}|", f"{n + 1}<{left}|{after[half:]}"}
+                half = len(before) // 2
+                asks |= {f"{n + 1}>|{before[half:]}{right}", f"{n + 1}>{before[:half]}|{right}"}
         if n <= LONG:
-            asks |= {f"{m}{s}" for s in sides for m in (n, n + 1)}
+            asks |= answers
     if n > LONG:
         half = n // 2
         equal = {f"{n}e{word[:half]}", f"{n}f{word[half:]}"}
@@ -116,7 +131,8 @@ def join_keys(word: str, order: dict[str, int]) -> tuple[set[str], set[str]]:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(a, a_n, b, b_n): each pair of words (word, n) that differ by exactly one inserted, deleted or replaced code point, once.
+    """(word, near, near_n): each pair of words (word, n) that differ by exactly one inserted, deleted or replaced code point, once from
+    either side. The rows of a word are together.
 
     ``words`` is read three times, so it should be a table.
     """
@@ -140,7 +156,9 @@ def near_words(words: DataFrame) -> DataFrame:
     ask, answer = (words.select("word", "n").mapInArrow(keyed(x), "key long, word string, n long") for x in (True, False))
     a, b = (x.select("key", F.col("word").alias(k), F.col("n").alias(f"{k}_n")) for x, k in ((ask, "a"), (answer, "b")))
     once = (F.char_length("a") < F.char_length("b")) | (F.col("a") < F.col("b"))
-    return a.join(b, "key").where(once & (F.levenshtein("a", "b", 1) == 1)).drop("key").dropDuplicates(["a", "b"])
+    pairs = a.join(b, "key").where(once & (F.levenshtein("a", "b", 1) == 1))
+    sides = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))))
+    return pairs.select(sides.alias("x")).select("x.*").repartition("word").distinct()  # a word has a bounded number of near words
 
 
 def variants(docs: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -152,9 +170,7 @@ def variants(docs: DataFrame, ratio: int = RATIO) -> DataFrame:
     rows.
     """
     words = materialize(word_counts(docs), "words")
-    pairs = near_words(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))
-    near = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
+    near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     known = words.join(near, "word", "left")
     form_n = -F.col("best.less")
     has = F.coalesce(form_n >= ratio * F.col("n"), F.lit(False))
