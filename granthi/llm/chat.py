@@ -72,10 +72,15 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """One row per example: conv_id, turn_no, context_end, loss_start, loss_end, end, and the text under the loss mask, unescaped."""
-    rows = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
-    loss = unescaped(F.expr("substring(formatted, e.loss_start + 1, e.loss_end - e.loss_start)"))
-    return rows.select("conv_id", "e.*", loss.alias("loss"))
+    """One row per example: conv_id, turn_no, context_end, loss_start, loss_end, end, and the text under the loss mask, unescaped.
+
+    The string is cut into its turns once, and each example reads its own turn, so a conversation of n turns costs n
+    turns and not n strings.
+    """
+    loss = "substring(element_at(parts, e.turn_no + 1), e.loss_start - e.context_end + 1, e.loss_end - e.loss_start)"
+    each = f"transform(examples, e -> named_struct('e', e, 'loss', {loss}))"
+    rows = formatted.select("conv_id", F.expr(f"explode(element_at(transform(array(split(formatted, '{CLOSE}')), parts -> {each}), 1)) as x"))
+    return rows.select("conv_id", "x.e.*", unescaped(F.col("x.loss")).alias("loss"))
 
 
 def example_texts(formatted: DataFrame) -> DataFrame:

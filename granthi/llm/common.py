@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A key is hot where it holds more than one row in so many: there are at most that many hot keys, so they can be broadcast.
 HOT_SHARE = 2000
@@ -81,6 +82,11 @@ def crc32_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def has_count(docs: DataFrame, name: str = "n_chars") -> bool:
+    """Whether there is such a column, and of whole numbers: one of another type is not the count that it names, and stays as it is."""
+    return name in docs.columns and isinstance(docs.schema[name].dataType, IntegralType)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

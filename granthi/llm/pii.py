@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, materialize, read_table
+from .common import collect_garbage, has_count, materialize, read_table
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds of candidates, and the kind of span that each gives.
@@ -114,32 +114,54 @@ def _context_vote(kind: str) -> str:
     return f"case when {' or '.join(f'contains(lower(x.g), {c!r})' for c in CUES[kind])} then 1 else 2 end"
 
 
+#: Elements that a running total goes through at once: appending to an array copies it, so long arrays are cut into such blocks.
+SCAN = 256
+
+
+def _before(values: str, step: str) -> str:
+    """Array of what ``step`` (of ``a`` and ``b``, from 0) makes of all elements before each one of an array of integers."""
+    whole = lambda array, start: f"""aggregate({array}, named_struct('at', {start}, 'out', cast(array() as array<int>)), (acc, b) ->
+        named_struct('at', {step.format(a="acc.at", b="b")}, 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"""
+    total = f"aggregate(part, 0, (acc, b) -> {step.format(a='acc', b='b')})"
+    blocks = f"transform(sequence(0, (size(v) - 1) div {SCAN}), k -> slice(v, k * {SCAN} + 1, {SCAN}))"
+    starts = whole(f"transform(parts, part -> {total})", 0)
+    cut = f"element_at(transform(array({blocks}), parts -> flatten(zip_with(parts, {starts}, (part, start) -> {whole('part', 'start')}))), 1)"
+    return f"element_at(transform(array({values}), v -> if(size(v) <= {SCAN}, {whole('v', 0)}, {cut})), 1)"
+
+
 def _candidates(kind: str, text: str) -> Column:
     """Array of the kind's candidates in ``text``, with offsets in code points, votes and features."""
     p = PATTERNS[kind].replace("\\", "\\\\").replace("'", "\\'")
     found = f"zip_with(split({text}, '{p}', -1), regexp_extract_all({text}, '{p}', 0), (gap, m) -> struct(length(gap) as l, right(gap, {CONTEXT}) as g, m as m))"
     out = "struct<kind:string,s:int,e:int,base:boolean,v1:int,v2:int,v3:int,size:int,digits:int>"
-    item = f"""named_struct('kind', '{kind}', 's', acc.at + x.l, 'e', acc.at + x.l + length(x.m), 'base', {_base_test(kind)},
+    item = f"""named_struct('kind', '{kind}', 's', at + x.l, 'e', at + x.l + length(x.m), 'base', {_base_test(kind)},
         'v1', {_shape_vote(kind)}, 'v2', {_list_vote(kind)}, 'v3', {_context_vote(kind)},
         'size', cast(least(length(x.m) div 8, 7) as int), 'digits', cast(length(regexp_replace(x.m, '[^0-9]', '')) * 4 div length(x.m) as int))"""
-    test = _is_candidate(kind)
-    walk = f"""aggregate({found}, named_struct('at', 0, 'out', cast(array() as array<{out}>)), (acc, x) -> if(x.m is null, acc,
-        named_struct('at', acc.at + x.l + length(x.m), 'out', if({test}, concat(acc.out, array({item})), acc.out))), acc -> acc.out)"""
+    places = _before("transform(found, x -> x.l + coalesce(length(x.m), 0))", "{a} + {b}")
+    items = f"filter(zip_with(found, {places}, (x, at) -> if(x.m is not null and {_is_candidate(kind)}, {item}, null)), c -> c is not null)"
     none = f"cast(array() as array<{out}>)"
+    walk = f"element_at(transform(array({found}), found -> if(size(found) < 2, {none}, {items})), 1)"  # without a match there is one gap
     return F.expr(f"if({' or '.join(f'contains({text}, {x!r})' for x in NEEDS[kind])}, {walk}, {none})" if kind in NEEDS else walk)
 
 
+def _free(loose: str, kind: str) -> str:
+    """The loose candidates that overlap no base span. Base spans are in order and apart, so of those that begin before a candidate ends the last one tells; it is found by halving."""
+    begun = """aggregate(sequence(1, 31), named_struct('lo', 0, 'hi', size(spans)), (acc, k) -> if(acc.lo >= acc.hi, acc,
+        if(spans[(acc.lo + acc.hi) div 2].s < c.e, named_struct('lo', cast((acc.lo + acc.hi) div 2 + 1 as int), 'hi', acc.hi), named_struct('lo', acc.lo, 'hi', cast((acc.lo + acc.hi) div 2 as int)))), acc -> acc.lo)"""
+    apart = f"filter({loose}, c -> coalesce(element_at(transform(array({begun}), n -> if(n = 0, true, spans[n - 1].e <= c.s)), 1), true))"
+    return f"if(size({loose}) = 0, {loose}, element_at(transform(array(filter({kind}, b -> b.base)), spans -> if(size(spans) = 0, {loose}, {apart})), 1))"
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(kept, found) for each row of ``docs``: the whole row as a struct, and its candidates; null texts are empty and have none.
 
     The row stays in one struct, so that no name of its columns can clash with one used here. A loose candidate
-    that overlaps a base span of its kind is left out.
+    that overlaps a base span of its kind is left out. The work grows in proportion to the text and its spans.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"))
     whole = rows.select("kept", F.coalesce(F.col("kept.text"), F.lit("")).alias("whole"))
     parts = whole.select("kept", *(_candidates(k, "whole").alias(k) for k in KINDS))
-    free = "filter({0}_loose, c -> not exists({0}, b -> b.base and b.s < c.e and c.s < b.e))"
-    return parts.select("kept", F.concat(*(F.expr(free.format(KINDS[k])) if k.endswith("_loose") else F.col(k) for k in KINDS)).alias("found"))
+    return parts.select("kept", F.concat(*(F.expr(_free(k, KINDS[k])) if k.endswith("_loose") else F.col(k) for k in KINDS)).alias("found"))
 
 
 Pattern = tuple[str, int, int, int, int, int]  # kind of candidate, three votes, size, share of digits
@@ -228,8 +250,8 @@ def _named(column: str) -> str:
 
 
 def _joined(column: str) -> str:
-    place = f"array_position(array({', '.join(map(repr, ORDER))}), {{}}.kind)"
-    ordered = f"array_sort({column}, (a, b) -> case when a.kind <> b.kind then cast({place.format('a')} - {place.format('b')} as int) when a.s <> b.s then a.s - b.s else a.e - b.e end)"
+    place = f"cast(array_position(array({', '.join(map(repr, ORDER))}), c.kind) as int)"
+    ordered = f"array_sort(transform({column}, c -> named_struct('place', {place}, 's', c.s, 'e', c.e, 'kind', c.kind)))"  # by the fields in their order
     return f"array_join(transform({ordered}, c -> concat(c.kind, ':', c.s, ':', c.e)), ',')"
 
 
@@ -254,7 +276,7 @@ MANY_SPANS = 64
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind in angle brackets.
 
-    All other columns, whatever their names, rows and null texts stay; ``n_chars``, where there is one, follows a
+    All other columns, whatever their names, rows and null texts stay; ``n_chars``, where there is one of whole numbers, follows a
     changed text. Where spans overlap, the one that begins first (of those the longest) is replaced, and of a
     later one what stands beyond it. Texts are searched once: rows are written with their candidates, from which
     the classifier learns and texts are then made. An empty table gives an empty result.
@@ -262,17 +284,18 @@ def redact(docs: DataFrame) -> DataFrame:
     found = materialize(candidates(docs), "candidates")
     chosen = found.select("kept", spans("found", learn(found)).alias("chosen"))
     marked = chosen.select("kept", F.expr(_named("chosen")).alias("spans"))
-    ordered = marked.select("kept", F.expr("array_sort(spans, (a, b) -> if(a.s <> b.s, a.s - b.s, b.e - a.e))").alias("spans"))
+    ordered = marked.select("kept", F.expr("array_sort(transform(spans, c -> named_struct('s', c.s, 'back', -c.e, 'kind', c.kind)))").alias("spans"))
     # what is kept before each span, and the span's kind; the end of the last span
-    cuts = """aggregate(spans, named_struct('at', 0, 'parts', cast(array() as array<struct<a:int,b:int,kind:string>>)), (acc, c) -> if(c.e <= acc.at, acc,
-        named_struct('at', c.e, 'parts', concat(acc.parts, array(named_struct('a', acc.at, 'b', greatest(c.s, acc.at), 'kind', c.kind))))))"""
+    ends = _before("transform(spans, c -> -c.back)", "greatest({a}, {b})")
+    parts = f"filter(zip_with(spans, {ends}, (c, at) -> named_struct('a', at, 'b', greatest(c.s, at), 'kind', c.kind, 'e', -c.back)), p -> p.e > p.a)"
+    cuts = f"named_struct('at', coalesce(array_max(transform(spans, c -> -c.back)), 0), 'parts', {parts})"
     cut = ordered.select("kept", F.size("spans").alias("n"), F.expr(cuts).alias("cut"))
     few = "concat(array_join(transform(cut.parts, p -> concat(substring(kept.text, p.a + 1, p.b - p.a), '<', p.kind, '>')), ''), substring(kept.text, cut.at + 1, length(kept.text)))"
     many = """element_at(transform(array(split(kept.text, '')), chars -> concat(array_join(transform(cut.parts, p -> concat(array_join(slice(chars, p.a + 1, p.b - p.a), ''), '<', p.kind, '>')), ''),
         array_join(slice(chars, cut.at + 1, size(chars)), ''))), 1)"""
     done = cut.select("kept", "n", F.expr(f"case when n = 0 or kept.text is null then kept.text when n < {MANY_SPANS} then {few} else {many} end").alias("new"))
     changed = {"text": F.col("new")}
-    if "n_chars" in docs.columns:
+    if has_count(docs):
         changed["n_chars"] = F.expr("if(n = 0, kept.n_chars, length(new))").cast(docs.schema["n_chars"].dataType)
     return done.select(*(changed.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns))
 

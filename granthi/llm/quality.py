@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, collect_garbage, crc32_mod, read_table
+from .common import chunks, collect_garbage, crc32_mod, has_count, read_table
 from .ngrams import SPACES, U, join_texts, mix, words
 
 WORD_SLOTS = 1 << 16
@@ -159,7 +159,7 @@ class Machine:
 
 
 def _inputs(docs: DataFrame) -> list:
-    stated = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    stated = F.col("n_chars").cast("long") if has_count(docs) else F.lit(None).cast("long")
     return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(stated, F.lit(-1)).alias("stated")]
 
 
@@ -218,7 +218,7 @@ def scores(docs: DataFrame, machine: Machine) -> DataFrame:
 def accepted(docs: DataFrame, machine: Machine) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least 0.5. Rows are judged where they are read: nothing is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    text, stated = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    text, stated = docs.columns.index("text"), docs.columns.index("n_chars") if has_count(docs) else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +237,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts are empty, and are scored. Without labels every score is 0.5. Repeated rows repeat; a null
     doc_id counts as the empty text when folds are dealt. Empty tables give empty results. Of the
-    columns beside doc_id and text only ``n_chars`` is read, where there is one.
+    columns beside doc_id and text only ``n_chars`` is read, where there is one of whole numbers.
     """
     return scores(docs, train(docs, labels)).select(
         "doc_id", (crc32_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
