@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,32 +25,26 @@ def ocr_fixes(c: Column) -> Column:
     return c
 
 
-@lru_cache(1)
-def _changeable() -> str:
-    """A pattern class of the characters that normal form C may change: not normal alone, combining, or second in a composition."""
-    composed = (unicodedata.decomposition(chr(i)).split() for i in range(0x110000))
-    second = {int(d[1], 16) for d in composed if len(d) == 2 and not d[0].startswith("<")} | {*range(0x1161, 0x11C3)}
-    found = [i for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and (i in second or unicodedata.combining(chr(i)) or not unicodedata.is_normalized("NFC", chr(i)))]
-    ranges: list[list[int]] = []
-    for i in found:
-        if ranges and ranges[-1][1] == i - 1:
-            ranges[-1][1] = i
-        else:
-            ranges.append([i, i])
-    return "[" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in ranges) + "]"
+#: White space at a text's ends: Unicode's, as by ``(?U)\\s``.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
+#: Characters that normal form C leaves alone among each other: Latin, Devanagari without the nukta, the letters that are
+#: written with it and the accents, and punctuation. None is second in a composition, and of the marks that have an order
+#: (the virama alone) there is one kind.
+SETTLED = r"\x00-\x{2FF}\x{900}-\x{93B}\x{93D}-\x{950}\x{955}-\x{957}\x{960}-\x{97F}\x{2002}-\x{206F}"
 
 
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+def _nfc(s: pa.Array) -> pa.Array:
+    return pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())
 
 
 def nfc(c: Column) -> Column:
-    """Unicode normal form C. Spark has no built-in function for it: only texts that may change leave the JVM."""
-    return F.coalesce(F.pandas_udf(_nfc, "string")(F.when(c.rlike(_changeable()), c)), c)
+    """Unicode normal form C. Spark has no built-in function for it: texts that hold more than ``SETTLED`` characters leave the
+    JVM, in Arrow batches, and there the quick check of ``unicodedata``, by its own two-level table, comes before any work."""
+    return F.coalesce(F.arrow_udf(_nfc, "string")(F.when(c.rlike(f"[^{SETTLED}]"), c)), c)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def clean_text(c: Column) -> Column:
@@ -78,9 +71,13 @@ def is_valid_script(c: Column, least: float = 0.4, low: str = "\\u0900", high: s
 
 
 def sentences(c: Column) -> Column:
-    """Stripped sentences: a break is white space after a danda, ! or ?, or line ends."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"(?U)(?<=[।!?])\s+|\n+")
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+    """Stripped sentences: a break is white space after a danda, ! or ?, or white space that holds a line end.
+
+    Breaks take all the white space around them, and are looked for where white space begins alone, so no sentence is
+    stripped by itself and a long blank is read once.
+    """
+    parts = F.split(strip(F.coalesce(c, F.lit(""))), r"(?U)(?<=[।!?])\s+|(?<!\s)\s*\n\s*")
+    return F.filter(parts, lambda x: x != "")
 
 
 def chunk_sentences(sents: Column, max_chars: int = 600, overlap: int = 1) -> Column:
@@ -149,13 +146,22 @@ def normalize_match(c: Column) -> Column:
     return F.regexp_replace(F.lower(normalize_digits(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}_\x{0900}-\x{097F}]+", "")
 
 
+#: A query of so many trigrams at most is looked for gram by gram; of a longer one the text's trigrams are made.
+FEW_GRAMS = 64
+
+
 def lexical_score(query: Column, text: Column) -> Column:
     """Half of: whether the text contains the query, plus the share of the query's trigrams in the text."""
-    q, t = normalize_match(query), normalize_match(text)
-    grams = F.array_distinct(char_ngrams(q))
-    share = F.size(F.array_intersect(grams, char_ngrams(t))) / F.greatest(F.size(grams), F.lit(1))
-    score = (F.when(F.contains(t, q), 1.0).otherwise(0.0) + share) / 2
-    return F.when((q == "") | (t == ""), 0.0).otherwise(F.least(score, F.lit(1.0)))
+    q = normalize_match(query)
+
+    def score(t: Column, grams: Column) -> Column:
+        # a window of the text is a part of it; a gram shorter than a window can only be the whole text
+        few = F.size(F.filter(grams, lambda g: F.when(F.length(g) < 3, t == g).otherwise(F.contains(t, g))))
+        shared = F.when(F.size(grams) <= FEW_GRAMS, few).otherwise(F.size(F.array_intersect(grams, char_ngrams(t))))
+        both = (F.when(F.contains(t, q), 1.0).otherwise(0.0) + shared / F.greatest(F.size(grams), F.lit(1))) / 2
+        return F.when((q == "") | (t == ""), 0.0).otherwise(F.least(both, F.lit(1.0)))
+
+    return let(normalize_match(text), lambda t: let(F.array_distinct(char_ngrams(q)), lambda grams: score(t, grams)))
 
 
 def truncate_sentence(c: Column, limit: int = 300) -> Column:

@@ -11,23 +11,16 @@ from ..functions import constants as K
 from ..functions import query as Q
 from ..functions.text import ocr_fixes, repair_output, strip, truncate_sentence
 
-SUMMARY_PARTS = (
-    ("मुद्दाको परिचय", "introduction"),
-    ("पक्षकारहरू", "parties"),
-    ("कानून व्यवसायीहरू", "lawyers"),
-    ("मुख्य तथ्य", "key_facts"),
-    ("मुख्य कानूनी प्रश्न", "legal_questions"),
-    ("अदालतको तर्क/निष्कर्ष", "reasoning"),
-    ("अन्तिम निर्णय/आदेश", "final_order"),
-    ("मुख्य कानूनी सिद्धान्त", "legal_principle"),
-)
+def case_lines(cases: DataFrame) -> DataFrame:
+    """(first_idx, line): a row for each case, for lists of any length."""
+    line = F.concat(F.lit("- निर्णय नं. "), "decision_no", F.lit(" (मिति: "), "date", F.lit(", विषय: "), "subject", F.lit(")"))
+    return cases.select("first_idx", line.alias("line"))
 
 
 def case_list(cases: DataFrame) -> DataFrame:
     """One row: the list of all cases in order of their first chunk, from (first_idx, decision_no, date, subject)."""
-    line = F.concat(F.lit("- निर्णय नं. "), "decision_no", F.lit(" (मिति: "), "date", F.lit(", विषय: "), "subject", F.lit(")"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("first_idx", line.alias("line")))), lambda x: x["line"])
-    return cases.agg(lines.alias("lines")).select(F.when(F.size("lines") > 0, F.concat_ws("\n", F.lit(K.CASES_HEADING), F.array_join("lines", "\n"))).otherwise(K.NO_CASES).alias("answer"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("first_idx", "line"))), lambda x: x["line"])
+    return case_lines(cases).agg(lines.alias("lines")).select(F.when(F.size("lines") > 0, F.concat_ws("\n", F.lit(K.CASES_HEADING), F.array_join("lines", "\n"))).otherwise(K.NO_CASES).alias("answer"))
 
 
 def evidence(hits: DataFrame, most: int = 5, limit: int = 600) -> DataFrame:
@@ -46,17 +39,19 @@ def clean_judges(c: Column) -> Column:
 
 
 def compared_field(query: Column) -> Column:
-    return (
-        F.when(Q.any_of(query, ("न्यायाधीश", "इजलास", "जज")), "judges")
-        .when(Q.any_of(query, ("निवेदक", "पुनरावेदक")), "petitioner")
-        .when(Q.any_of(query, ("मिति",)), "date")
-        .otherwise("all")
-    )
+    out = F.lit("all")
+    for field, words in reversed(K.COMPARED_WORDS):
+        out = F.when(Q.any_of(query, words), field).otherwise(out)
+    return out
 
 
 def comparison_lines(cases: DataFrame, summaries: DataFrame, headers: DataFrame, field: str) -> DataFrame:
-    """(position, line, judges) for each case of ``cases`` (position, case_id): from its summary, else its header row."""
-    joined = cases.join(F.broadcast(summaries).alias("s"), "case_id", "left").join(F.broadcast(headers.select("case_id", F.col("judges").alias("header_judges"))), "case_id", "left")  # a row for each case asked
+    """(position, line, judges) for each case of ``cases`` (position, case_id): from its summary, else its header row.
+
+    Spark picks the joins by the tables' sizes: none is taken to be small.
+    """
+    own_headers = headers.select("case_id", F.col("judges").alias("header_judges"))
+    joined = cases.join(summaries.alias("s"), "case_id", "left").join(own_headers, "case_id", "left")
     title = F.concat(F.lit("**निर्णय नं. "), F.replace("case_id", F.lit("decision_"), F.lit("")), F.lit("** – "))
     written = F.col("introduction").isNotNull()
     if field == "judges":
@@ -85,7 +80,7 @@ def common_judges(a: Column, b: Column) -> Column:
 
 def summary_text() -> Column:
     """A summary's eight parts under their headings; null if one is missing."""
-    return F.concat(*(x for k, (title, field) in enumerate(SUMMARY_PARTS) for x in (F.lit(("\n\n" if k else "") + f"**{title}**\n"), F.col(field))))
+    return F.concat(*(x for k, (title, field) in enumerate(K.SUMMARY_PARTS) for x in (F.lit(("\n\n" if k else "") + f"**{title}**\n"), F.col(field))))
 
 
 def reasoning_text(query: Column, reasoning: Column) -> Column:
@@ -118,6 +113,15 @@ def fallback(query: Column, content: Column) -> Column:
     )
 
 
+def model_summary() -> Column:
+    """What a model is told of a case's summary: five labelled fields, those that are missing empty."""
+    return F.concat_ws("\n\n", *(F.concat(F.lit(f"**{label}:** "), F.coalesce(F.col(field), F.lit(""))) for label, field in K.MODEL_FIELDS))
+
+
+def instructions(case: str | None, summary: str, context: str) -> str:
+    return K.MODEL_PROMPT.format(nothing=K.NO_INFO, case=case or K.UNKNOWN, summary=summary, context=context).strip()
+
+
 def answer(
     query: str,
     hits: DataFrame,
@@ -125,11 +129,12 @@ def answer(
     summaries: DataFrame,
     current_case: str | None = None,
     compare: list[str] | None = None,
-    model: Callable[[str, str], str] | None = None,
+    model: Callable[[str, str, int], str] | None = None,
 ) -> str:
     """The answer to a question from its hits (at most a few dozen rows): rules in their order, then the model, then the header.
 
-    ``cases``: the input of ``case_list``; ``compare``: the numbers of a comparison; ``model(context, question)``.
+    ``cases``: the input of ``case_list``; ``compare``: the numbers of a comparison; ``model(instructions, question, tokens)``:
+    the instructions name the case and hold its summary and the evidence, ``tokens`` is the most that an answer may take.
     """
     spark = hits.sparkSession
     rows = hits.orderBy("rank").collect()
@@ -169,7 +174,9 @@ def answer(
         return paragraph_text(paragraph, hits)
     if model:
         try:
-            said = model(evidence(hits).first()["context"], query)
+            told = own.select(model_summary().alias("s")).first()
+            budget = spark.range(1).select(Q.token_budget(F.lit(kind))).first()[0]
+            said = model(instructions(current_case, told["s"] if told else "", evidence(hits).first()["context"]), query.strip(), budget)
             if said and said.strip():
                 return spark.range(1).select(repair_output(F.lit(said))).first()[0]
         except Exception:  # noqa: BLE001  a model that fails leaves the answer to the header

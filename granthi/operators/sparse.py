@@ -1,15 +1,33 @@
-"""The character-trigram index and BM25 over it."""
+"""The character-trigram index and BM25 over it.
+
+Postings are stored in blocks: a gram's chunks whose contributions fall into one of LEVELS equal levels and whose idx lie in one range.
+A block knows its greatest contribution. So a gram of every chunk is many blocks, read by many tasks, and a
+top-k reads the levels of great contributions first and of the others those ranges alone that can still matter.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams
+from ..functions.text import char_ngrams, squeezed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Levels of contributions, the greatest first; chunks of one range of idx; characters that a task turns into blocks at once.
+LEVELS, RANGE, LOT = 16, 4096, 4_000_000
+#: Partitions of the saved blocks by their grams' hashes: a query reads those of its grams alone.
+BUCKETS = 32
+#: A top-k first reads levels until what is unread adds at most this share of what a chunk can reach.
+FIRST = 0.7
+#: Sums of one score in another order differ by less than this.
+SLACK = 1e-6
 
 
 def postings(chunks: DataFrame, text: str = "search_text") -> DataFrame:
@@ -22,17 +40,66 @@ def document_counts(chunks: DataFrame, text: str = "search_text") -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(char_ngrams(F.col(text)))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def gram_counts(posts: DataFrame) -> DataFrame:
-    """(gram, df): the chunks that hold each gram."""
-    return posts.groupBy("gram").agg(F.count("*").alias("df"))
-
-
 def lengths(chunks: DataFrame, text: str = "search_text") -> DataFrame:
     """(idx, dl): the grams of each chunk, without building them."""
-    n = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", ""))
+    n = F.length(squeezed(F.col(text)))
     return chunks.select("idx", F.when(n <= 3, F.least(n, F.lit(1))).otherwise(n - 2).cast("long").alias("dl"))
 
 
+def blocks(chunks: DataFrame, mean_length: float, text: str = "search_text") -> DataFrame:
+    """(gram, level, range, top, ids, impacts): a gram's chunks of one level and range, as a task met them, and their contributions at weight 1."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = size = 0
+            texts = batch.column(1).to_pylist()
+            for k, t in enumerate(texts):
+                size += len(t)
+                if size >= LOT or k == len(texts) - 1:
+                    if size:
+                        yield _blocks(batch.column(0).slice(start, k + 1 - start).to_numpy(), texts[start : k + 1], mean_length, RANGE)
+                    start, size = k + 1, 0
+
+    rows = chunks.select(F.col("idx").cast("long").alias("idx"), squeezed(F.col(text)).alias("text"))
+    return rows.mapInArrow(made, "gram string, level int, range long, top double, ids array<long>, impacts array<double>")
+
+
+def _grams(text: str) -> Counter[str]:
+    return Counter([text[i : i + 3] for i in range(max(len(text) - 2, 1))] if text else [])
+
+
+def _blocks(idx: np.ndarray, texts: list[str], mean_length: float, width: int) -> pa.RecordBatch:
+    codes: dict[str, int] = {}
+    gram, chunk, tf = [], [], []
+    for k, text in enumerate(texts):
+        found = _grams(text)
+        gram += [codes.setdefault(g, len(codes)) for g in found]
+        chunk += [k] * len(found)
+        tf += found.values()
+    gram, chunk, tf = np.array(gram, np.int64), np.array(chunk, np.int64), np.array(tf, np.float64)
+    dl = np.array([max(len(t) - 2, min(len(t), 1)) for t in texts], np.float64)
+    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[chunk] / mean_length))
+    level = LEVELS - 1 - np.minimum((impact / (K1 + 1) * LEVELS).astype(np.int64), LEVELS - 1)
+    ids = idx[chunk]
+    part = ids // width
+    order = np.lexsort((ids, part, level, gram))
+    gram, level, part, ids, impact = (x[order] for x in (gram, level, part, ids, impact))
+    new = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (level[1:] != level[:-1]) | (part[1:] != part[:-1])])
+    offsets = pa.array(np.append(new, len(ids)), pa.int32())
+    names = np.array([*codes], object)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names[gram[new]], pa.string()), pa.array(level[new], pa.int32()), pa.array(part[new]), pa.array(np.maximum.reduceat(impact, new)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(impact))],
+        names=["gram", "level", "range", "top", "ids", "impacts"],
+    )
+
+
+def gram_levels(made: DataFrame) -> DataFrame:
+    """(gram, df, levels) from blocks; ``levels``: the greatest contribution, the chunks and the blocks of each level, the greatest first."""
+    by_level = made.groupBy("gram", "level").agg(F.max("top").alias("top"), F.sum(F.size("ids")).alias("chunks"), F.count("*").alias("blocks"))
+    levels = F.sort_array(F.collect_list(F.struct("level", "top", "chunks", "blocks"))).alias("levels")  # LEVELS at most
+    return by_level.groupBy("gram").agg(F.sum("chunks").alias("df"), levels)
+
+
 def corpus_stats(size: DataFrame, counts: DataFrame) -> DataFrame:
     """One row: chunks, mean length, and the mean idf over the vocabulary."""
     n = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -48,49 +115,238 @@ def idf() -> Column:
     return F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw)
 
 
+def _weighed(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    return counts.crossJoin(F.broadcast(stats)).select("gram", "df", idf().alias("idf"), "n", "levels")  # one row
+
+
+def bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def index(chunks: DataFrame, text: str = "search_text") -> dict[str, DataFrame]:
+    """The index's tables, not saved: blocks, grams (with idf and levels) and stats."""
+    size = lengths(chunks, text)
+    mean = size.agg(F.avg("dl")).first()[0] or 1.0
+    made = blocks(chunks, mean, text).withColumn("bucket", bucket(F.col("gram")))
+    counts = gram_levels(made)
+    stats = corpus_stats(size, counts)
+    return {"blocks": made, "grams": _weighed(counts, stats), "stats": stats}
+
+
+def save(chunks: DataFrame, path: str, text: str = "search_text") -> None:
+    """The index as tables below ``path``: blocks by bucket, sorted by gram, level and range, and grams and statistics made from them.
+
+    The sort deals blocks out by ranges of all these columns, so a common gram fills many tasks and files. Blocks are written as
+    they are made first: a sort reads its input twice, and making them is the dear part.
+    """
+    spark = chunks.sparkSession
+    size = lengths(chunks, text)
+    mean = size.agg(F.avg("dl")).first()[0] or 1.0
+    made = f"{path}/made"
+    blocks(chunks, mean, text).withColumn("bucket", bucket(F.col("gram"))).write.mode("overwrite").option("compression", "zstd").parquet(made)
+    order = ("bucket", "gram", "level", "range")
+    raw = spark.read.schema(BLOCKS).parquet(made)
+    raw.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks")
+    gram_levels(raw).write.mode("overwrite").parquet(f"{path}/counts")
+    counts = spark.read.schema("gram string, df long, levels array<struct<level:int,top:double,chunks:long,blocks:long>>").parquet(f"{path}/counts")
+    corpus_stats(size, counts).write.mode("overwrite").parquet(f"{path}/stats")
+    weighed = _weighed(counts, spark.read.schema(STATS).parquet(f"{path}/stats")).withColumn("bucket", bucket(F.col("gram")))
+    weighed.repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
+    for name in ("made", "counts"):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+STATS = "n long, avgdl double, mean_idf double"
+BLOCKS = "gram string, level int, range long, top double, ids array<long>, impacts array<double>, bucket int"
+GRAMS = "gram string, df long, idf double, n long, levels array<struct<level:int,top:double,chunks:long,blocks:long>>, bucket int"
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {"blocks": spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), "grams": spark.read.schema(GRAMS).parquet(f"{path}/grams"), "stats": spark.read.schema(STATS).parquet(f"{path}/stats")}
+
+
 def query_grams(query: str) -> dict[str, int]:
     """A query's grams with their number; each counts as often as it stands."""
-    text = "".join(query.split()).lower()
-    return Counter([text] if 0 < len(text) <= 3 else [text[i : i + 3] for i in range(len(text) - 2)])
+    return _grams("".join(query.split()).lower())
+
+
+@dataclass
+class Terms:
+    """A query's grams that the index knows: weights, and each one's levels as (level, top, chunks, blocks)."""
+
+    weights: dict[str, float]
+    levels: dict[str, list[tuple]]
+    n: int  # chunks of the index; 0 where it knows no gram
+
+    def most(self) -> float:
+        """The most that a chunk can reach."""
+        return sum(w * self.levels[g][0][1] for g, w in self.weights.items())
+
+    def upto(self, goal: float) -> dict[str, int]:
+        """For each gram the first level to leave unread, so that what is unread adds at most ``goal``."""
+        at = dict.fromkeys(self.weights, 0)
+        left = {g: self.weights[g] * self.levels[g][0][1] for g in at}
+        while at and sum(left.values()) > max(goal, 0.0):
+            g = max(left, key=left.get)
+            at[g] += 1
+            left[g] = self.weights[g] * self.levels[g][at[g]][1] if at[g] < len(self.levels[g]) else 0.0
+        return {g: self.levels[g][k][0] if k < len(self.levels[g]) else LEVELS for g, k in at.items()}
+
+    def unread(self, cut: dict[str, int]) -> dict[str, float]:
+        """The most that each gram adds from its levels at or beyond its cut."""
+        return {g: w * max((x[1] for x in self.levels[g] if x[0] >= cut[g]), default=0.0) for g, w in self.weights.items()}
+
+    def share(self, cut: dict[str, int]) -> float:
+        """The share of the query's blocks before the cut."""
+        return sum(x[3] for g in self.weights for x in self.levels[g] if x[0] < cut[g]) / max(1, sum(x[3] for g in self.weights for x in self.levels[g]))
+
+
+def terms(found: dict[str, DataFrame], query: str) -> Terms:
+    """One row for each gram of the query that the index holds."""
+    times = query_grams(query)
+    rows = _of(found["grams"], [*times]).select("gram", "idf", "n", "levels").collect()
+    return Terms({r["gram"]: times[r["gram"]] * r["idf"] for r in rows}, {r["gram"]: [tuple(x) for x in r["levels"]] for r in rows}, rows[0]["n"] if rows else 0)
+
+
+def _of(table: DataFrame, grams: list[str]) -> DataFrame:
+    """The rows of these grams, by the bucket where there is one: only these partitions are listed and read."""
+    rows = table.where(F.col("gram").isin(*(grams or [""])))
+    if "bucket" in table.columns and grams:
+        rows = rows.where(F.col("bucket").isin(*{_bucket(g) for g in grams}))
+    return rows
+
+
+def _bucket(gram: str) -> int:
+    """``bucket`` of a gram at hand: Spark's xxhash64 is the public function with seed 42."""
+    h = xxhash.xxh64_intdigest(gram.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
+
+
+def _weight(of: dict[str, float]) -> Column:
+    return F.element_at(F.map_from_arrays(F.array(*map(F.lit, of)), F.array(*(F.lit(float(x)) for x in of.values()))), F.col("gram"))
 
 
-def bm25(posts: DataFrame, size: DataFrame, counts: DataFrame, stats: DataFrame, query: str) -> DataFrame:
+def contributions(made: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(idx, gram, part): what each posting of these blocks adds; ``part`` has the gram's weight."""
+    if not weights:
+        return made.select(F.lit(0).cast("long").alias("idx"), "gram", F.lit(0.0).alias("part")).limit(0)
+    rows = made.select("gram", _weight(weights).alias("weight"), F.explode(F.arrays_zip("ids", "impacts")).alias("p"))
+    return rows.select(F.col("p.ids").alias("idx"), "gram", (F.col("weight") * F.col("p.impacts")).alias("part"))
+
+
+def bm25(found: dict[str, DataFrame], query: str) -> DataFrame:
     """(idx, bm25) of the chunks that share a gram with the query; all others score 0."""
-    grams = query_grams(query)
-    wanted = posts.sparkSession.createDataFrame([*grams.items()] or [("", 0)], "gram string, times int")
-    asked = F.col("gram").isin(*(grams or [""]))  # reaches the index's scan, or the text's grams before they are counted
-    weights = counts.where(asked).join(F.broadcast(wanted), "gram").crossJoin(F.broadcast(stats)).select("gram", (F.col("times") * idf()).alias("weight"), "avgdl")  # a row for each gram of the query
-    term = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    if "bucket" in posts.columns:  # a saved index: only these partitions are listed and read
-        buckets = {r[0] for r in wanted.select(bucket(F.col("gram"))).collect()}  # a row for each gram of the query
-        posts = posts.where(F.col("bucket").isin(*buckets)).drop("bucket")
-    hits = posts.where(asked).join(F.broadcast(weights), "gram")
-    return hits.join(size, "idx").groupBy("idx").agg(F.sum(term).alias("bm25"))
+    asked = terms(found, query)
+    return contributions(_of(found["blocks"], [*asked.weights]), asked.weights).groupBy("idx").agg(F.sum("part").alias("bm25"))
 
 
-def index(chunks: DataFrame, text: str = "search_text") -> dict[str, DataFrame]:
-    posts, size = postings(chunks, text), lengths(chunks, text)
-    counts = gram_counts(posts)
-    return {"postings": posts, "lengths": size, "grams": counts, "stats": corpus_stats(size, counts)}
+def bm25_top(found: dict[str, DataFrame], query: str, k: int, asked: Terms | None = None) -> DataFrame:
+    """(idx, bm25) of a set of chunks that holds the ``k`` best (and all that tie with the last of them to within SLACK).
 
+    First the levels of great contributions are read: they give each chunk a part of its score, and a bound by the greatest
+    contributions of those grams that it was not met in. The k-th greatest part bounds the k-th score from below; levels are
+    read until no chunk beyond those met can reach it, and chunks whose bound is less leave. For the others the unread blocks of their ranges complete the score.
+    """
+    asked = asked or terms(found, query)
+    mine = _of(found["blocks"], [*asked.weights])
+    cut = asked.upto(FIRST * asked.most())
+    for again in (False, True):
+        if not asked.weights or min(asked.weights.values()) < 0 or asked.share(cut) == 1:
+            return contributions(mine, asked.weights).groupBy("idx").agg(F.sum("part").alias("bm25"))
+        rest = asked.unread(cut)
+        first, later = mine.where(F.col("level") < _weight(cut)), mine.where(F.col("level") >= _weight(cut))
+        parts = contributions(first, asked.weights).groupBy("idx").agg(F.sum("part").alias("part"), F.sum(_weight(rest)).alias("met"))
+        best = parts.select("part").orderBy(F.desc("part")).limit(k).collect()  # k rows
+        least = best[-1]["part"] if len(best) == k else 0.0
+        if again or sum(rest.values()) < least - SLACK:
+            break
+        cut = asked.upto(least - 2 * SLACK)  # so far that no chunk that was not met can be among the best
+    bound = F.col("part") + sum(rest.values()) - F.col("met")
+    open_chunks = parts.where(bound >= least - SLACK)
+    ranges = open_chunks.select(F.expr(f"idx div {RANGE}").alias("range")).distinct()
+    more = contributions(later.join(ranges, "range", "left_semi"), asked.weights).join(open_chunks.select("idx"), "idx", "left_semi")
+    both = open_chunks.select("idx", "part").unionByName(more.select("idx", "part"))
+    return both.groupBy("idx").agg(F.sum("part").alias("bm25"))
 
-#: Partitions of the saved postings by their grams' hashes: a query reads those of its grams alone.
-BUCKETS = 64
 
+#: Queries that a task scores at once against a range of chunks, and grams that it multiplies at once.
+QUERIES, GRAMS_AT_ONCE = 256, 512
 
-def bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
+class _Lot:
+    """The scores of one lot of queries over one range of chunks."""
 
-def save(chunks: DataFrame, path: str, text: str = "search_text") -> None:
-    """The index as tables below ``path``: postings by bucket and sorted by gram, then lengths, counts and statistics made from them."""
-    spark = chunks.sparkSession
-    posts = postings(chunks, text).withColumn("bucket", bucket(F.col("gram")))
-    posts.repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths(chunks, text).write.mode("overwrite").parquet(f"{path}/lengths")
-    gram_counts(spark.read.parquet(f"{path}/postings")).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
-    corpus_stats(spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/grams")).write.mode("overwrite").parquet(f"{path}/stats")
+    def __init__(self, base: int, width: int, at_once: int):
+        self.base, self.width, self.at_once = base, width, at_once
+        self.queries: dict[int, int] = {}
+        self.scores = np.zeros((0, width))
+        self._clear()
 
+    def _clear(self) -> None:
+        self.rows: list[tuple[int, int, float]] = []  # query, gram, weight
+        self.grams: dict[str, int] = {}
+        self.matrix = np.zeros((self.at_once, self.width))
 
-def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "grams", "stats")}
+    def add(self, gram: str, ids: np.ndarray, impacts: np.ndarray, ask: list[dict]) -> None:
+        if gram not in self.grams:
+            if len(self.grams) == self.at_once:
+                self.multiply()
+            self.grams[gram] = len(self.grams)
+            self.rows += [(self.queries.setdefault(x["query_id"], len(self.queries)), self.grams[gram], x["weight"]) for x in ask]
+        self.matrix[self.grams[gram], ids - self.base] = impacts
+
+    def multiply(self) -> None:
+        if len(self.queries) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros((len(self.queries) - len(self.scores), self.width))])
+        if self.rows:
+            weights = np.zeros((len(self.queries), self.at_once))
+            q, g, w = zip(*self.rows, strict=True)
+            weights[q, g] = w
+            self.scores += weights @ self.matrix
+        self._clear()
+
+    def best(self, k: int, places: int) -> pa.RecordBatch:
+        """The queries' ``k`` best chunks of the range."""
+        self.multiply()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for query_id, row in self.queries.items():
+            score = np.round(self.scores[row], places)
+            at = np.flatnonzero(score > 0)
+            at = at[np.lexsort((at, -score[at]))[:k]]
+            out.append((np.full(len(at), query_id, np.int64), at + self.base, score[at]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "idx", "bm25"])
+
+
+def bm25_many(found: dict[str, DataFrame], queries: DataFrame, k: int, places: int = 6) -> DataFrame:
+    """(query_id, rank, idx, bm25): the ``k`` best chunks of each query of a table (query_id, text), scores rounded, ties by idx.
+
+    Queries and blocks meet on their grams, in lots of about QUERIES queries, so that a block travels once for each lot. A
+    task adds up a lot's scores over one range of chunks at a time, as a matrix of QUERIES by RANGE numbers, and sends each
+    query's ``k`` best on; these are merged by rank, again ``k`` at most from a task. Repeated query_ids are one query of all
+    their texts' grams; a query that shares no gram with a chunk has no row; scores of 0 or less are left out.
+    """
+    lots = max(1, -(-queries.select("query_id").distinct().count() // QUERIES))
+    asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.explode(char_ngrams(F.col("text"))).alias("gram")).groupBy("query_id", "gram").agg(F.count("*").alias("times"))
+    ask = F.struct("query_id", (F.col("times") * F.col("idf")).alias("weight"))
+    weighed = asked.join(found["grams"], "gram").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(lots)).alias("lot"), "gram").agg(F.collect_list(ask).alias("ask"))
+    met = found["blocks"].select("gram", "range", "ids", "impacts").join(weighed, "gram")
+    placed = met.select("lot", "range", "gram", "ids", "impacts", "ask").repartition("lot", "range").sortWithinPartitions("lot", "range", "gram")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lot = None, None
+        for batch in batches:
+            flat = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in (3, 4)]
+            for i, now in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if now != key:
+                    if lot:
+                        yield lot.best(k, places)
+                    key, lot = now, _Lot(now[1] * RANGE, RANGE, GRAMS_AT_ONCE)
+                ids, impacts = (values[offsets[i] : offsets[i + 1]] for offsets, values in flat)
+                lot.add(batch.column(2)[i].as_py(), ids, impacts, batch.column(5)[i].as_py())
+        if lot:
+            yield lot.best(k, places)
+
+    some = placed.mapInArrow(best, "query_id long, idx long, bm25 double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "idx")
+    return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "idx", "bm25")

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import constants as K
 from ..functions import query as Q
@@ -24,13 +25,38 @@ from ..streaming.session import session_fold
 QUERY, TOP_K, ALPHA, VECTOR_ID, CASE = "the nation and the thing", 5, 0.15, 7, 103
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its schema is read once for each application: Spark starts a job to infer it."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
+#: Bytes of a table, for each core, below which it is dealt out: a small file may be one row group, which is one task.
+SMALL, LEAST = 16 << 20, 1 << 20
+
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table dealt out by ``key`` over all cores, since the work on a text outweighs its way; a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # the files' bytes
+    return df.repartition(cores, key) if LEAST <= size <= SMALL * cores else df
 
-def chunk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def chunk_view(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """``dealt``: as ``docs`` has it; a search reads few rows and takes the files as they are."""
     number = (F.substring("source", 4, 9).cast("int") + 100).cast("string")
-    return table(spark, sf_dir, "documents").select(
+    rows = docs(spark, sf_dir) if dealt else table(spark, sf_dir, "documents")
+    return rows.select(
         F.col("doc_id").alias("idx"),
         "source",
         F.concat(F.lit("decision_"), number).alias("case_id"),
@@ -49,26 +75,29 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
 
 
-def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(vectors(spark, sf_dir).where(f"idx = {VECTOR_ID}").first()["embedding"])
-
-
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple[str, str], tuple[str, list[float]]] = {}
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The saved index of the documents, built once for each application and folder of tables."""
+def built(spark: SparkSession, sf_dir: str) -> tuple[str, list[float]]:
+    """The path of the documents' saved index and the query's vector, made once for each application and folder of tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
         sparse.save(chunk_view(spark, sf_dir), path, "content")
-        _BUILT[key] = path
-    return sparse.load(spark, _BUILT[key])
+        _BUILT[key] = path, list(vectors(spark, sf_dir).where(f"idx = {VECTOR_ID}").first()["embedding"])
+    return _BUILT[key]
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return built(spark, sf_dir)[1]
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return sparse.load(spark, built(spark, sf_dir)[0])
 
 
 def bm25_of(spark: SparkSession, sf_dir: str, query: str = QUERY) -> DataFrame:
-    index = index_of(spark, sf_dir)
-    return sparse.bm25(index["postings"], index["lengths"], index["grams"], index["stats"], query)
+    return sparse.bm25(index_of(spark, sf_dir), query)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +106,6 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fused(rows, near, bm25_of(spark, sf_dir), QUERY, ALPHA)
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
-
-
 def ocr_fixes(s, d):
     return docs(s, d).select("doc_id", T.ocr_fixes(F.concat(F.lit("काश SEAT "), "text")).alias("fixed"))
 
@@ -90,6 +115,10 @@ CLEAN_HEAD, CLEAN_TAIL = "\u00a0 \t काश \u0928\u093c\u0958 e\u0301\n\n\n\n
 
 
 def clean_text(s, d):
+    return docs(s, d).select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+
+
+def clean_marks(s, d):
     return docs(s, d).select("doc_id", T.clean_text(F.concat(F.lit(CLEAN_HEAD), "text", F.lit(CLEAN_TAIL))).alias("cleaned"))
 
 
@@ -120,7 +149,7 @@ def truncate_sentence(s, d):
 
 
 def page_view(s, d):
-    return docs(s, d).select(F.col("source"), F.col("doc_id").cast("int").alias("page"), F.lit(1).alias("total_pages"), danda(F.col("text")).alias("text"))
+    return docs(s, d).select(F.col("source").alias("path"), F.col("source"), F.col("doc_id").cast("int").alias("page"), F.lit(1).alias("total_pages"), danda(F.col("text")).alias("text"))
 
 
 def chunk_pack(s, d):
@@ -160,10 +189,21 @@ def bm25_scores(s, d):
 
 
 def bm25_topk(s, d):
-    rows = bm25_of(s, d).select("idx", F.round("bm25", 6).alias("bm25"))
+    rows = sparse.bm25_top(index_of(s, d), QUERY, 10).select("idx", F.round("bm25", 6).alias("bm25"))
     return rows.orderBy(F.desc("bm25"), "idx").limit(10)
 
 
+def bm25_queries(s, d):
+    """The five best documents for every benchmark item, all at once."""
+    return sparse.bm25_many(index_of(s, d), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
+
+
+def knn_queries(s, d):
+    """The ten nearest vectors to each whose id is divisible by 100."""
+    rows = vectors(s, d)
+    return search.knn_many(rows, rows.where("idx % 100 = 0"), 10).select("query_id", "rank", "idx", F.round("distance", 6).alias("distance"))
+
+
 def bm25_norm(s, d):
     rows, scores = chunk_view(s, d).where(f"case_id = 'decision_{CASE}'"), bm25_of(s, d)
     return search.fused(rows, vectors(s, d).limit(0).select("idx", F.lit(0.0).alias("vector_score")), scores, QUERY, ALPHA).select("idx", F.round("bm25_score", 6).alias("bm25_score"))
@@ -212,7 +252,7 @@ def neighbour_expand(s, d):
 
 def hybrid_search(s, d):
     vector = query_vector(s, d)
-    engine = search.Engine(chunk_view(s, d), vectors(s, d), index_of(s, d), lambda _: vector)
+    engine = search.Engine(chunk_view(s, d, False), vectors(s, d), index_of(s, d), lambda _: vector)
     return engine.search(QUERY, TOP_K, ALPHA).select("rank", "idx", "case_id", F.round("score", 6).alias("score"))
 
 
@@ -222,7 +262,7 @@ LISTING = "list of cases the nation and the thing"
 def search_list(s, d):
     """A search whose intent is the list: plain top-k, no dominant case, no neighbours."""
     vector = query_vector(s, d)
-    engine = search.Engine(chunk_view(s, d), vectors(s, d), index_of(s, d), lambda _: vector)
+    engine = search.Engine(chunk_view(s, d, False), vectors(s, d), index_of(s, d), lambda _: vector)
     return engine.search(LISTING, 7, 0.5).select("rank", "idx", "case_id", F.round("score", 6).alias("score"))
 
 
@@ -239,6 +279,11 @@ def full_text(s, d):
     return chunks.full_texts(page_view(s, d)).select("source", "total_pages", F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def full_text_pages(s, d):
+    """The same as rows, in no cell for a whole source."""
+    return chunks.page_texts(page_view(s, d)).select("source", "page", F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def page_validity(s, d):
     text = F.when(F.col("doc_id") % 2 == 0, F.translate("text", "aeioun", "कखगघङत")).otherwise(F.col("text"))
     return valid_pages(docs(s, d).select("doc_id", text.alias("text"))).select("doc_id", "native_ok", F.length("text").alias("n_chars"))
@@ -295,9 +340,25 @@ def first_wins_case(s, d):
     return chunk_view(s, d).groupBy("case_id").agg(F.min_by(F.struct("idx", "page", "source"), "idx").alias("m")).select("case_id", "m.*")
 
 
+def listed_cases(s, d):
+    return chunk_view(s, d).groupBy("case_id", "decision_no").agg(F.min("idx").alias("first_idx")).withColumns({"date": F.lit("d"), "subject": F.lit("s")})
+
+
 def case_list(s, d):
-    cases = chunk_view(s, d).groupBy("case_id", "decision_no").agg(F.min("idx").alias("first_idx")).withColumns({"date": F.lit("d"), "subject": F.lit("s")})
-    return answers.case_list(cases)
+    return answers.case_list(listed_cases(s, d))
+
+
+def case_lines(s, d):
+    """The list as rows, a case for each document."""
+    cases = docs(s, d).select(F.col("doc_id").alias("first_idx"), F.col("doc_id").cast("string").alias("decision_no"), F.col("lang").alias("date"), F.col("source").alias("subject"))
+    return answers.case_lines(cases)
+
+
+def corpus_cases(s, d):
+    """The summary's cases as rows: the metadata of each one's first chunk."""
+    rows = chunk_view(s, d).withColumns({"date": F.lit("d"), "subject": F.col("content"), "court": F.lit(""), "parties": F.struct(F.col("source").alias("appellant"), F.lit("").alias("respondent")), "judges": F.lit(""), "appellant_lawyer": F.lit(""), "respondent_lawyer": F.lit(""), "provisions": F.lit("")})
+    rows = rows.withColumn("case_id", F.concat("case_id", F.lit("_"), (F.col("idx") % 1009).cast("string")))
+    return chunks.case_rows(rows).select("case_id", "first_idx", "source", "decision_no", "subject", "parties.appellant")
 
 
 def corpus_summary(s, d):
@@ -335,10 +396,31 @@ def summaries(s: SparkSession) -> DataFrame:
     return s.createDataFrame([*SUMMARIES], "case_id string, " + ", ".join(f"{f} string" for f in SUMMARY_FIELDS))
 
 
+def document_summaries(s: SparkSession, d: str) -> DataFrame:
+    """A summary for three documents in four, made of the whole text: with and without a date, judges, a petitioner, lawyers and a subject."""
+    i = F.col("doc_id")
+    date = F.when(i % 5 > 0, F.concat(F.lit("फैसला मिति: 2063/1/"), (i % 28).cast("string"), F.lit("\n"))).otherwise("फैसला मिति १२\n")
+    judges = F.when(i % 3 > 0, F.concat(F.lit("न्यायाधीशहरू: सम्माननीय\u00a0"), "lang", F.lit(" , माननीय  "), "source", F.lit(" र हरि।\n"))).otherwise("")
+    text = F.coalesce("text", F.lit(""))
+    fields = {
+        "introduction": F.concat(date, judges, text),
+        "parties": F.concat(F.when(i % 7 > 0, "निवेदक: ").otherwise("पक्ष: "), text, F.lit("\nविपक्षी: श्याम")),
+        "lawyers": F.when(i % 6 > 0, F.col("lang")),
+        "key_facts": text,
+        "legal_questions": F.col("source"),
+        "reasoning": text,
+        "final_order": F.col("lang"),
+        "legal_principle": F.col("source"),
+        "subject": F.when(i % 3 > 0, F.col("source")).otherwise(""),
+    }
+    return docs(s, d).where(i % 4 > 0).select(F.concat(F.lit("decision_"), i.cast("string")).alias("case_id"), *(c.alias(k) for k, c in fields.items()))
+
+
 def compared(s: SparkSession, d: str, field: str) -> DataFrame:
-    ids = s.createDataFrame([*enumerate(["decision_100", "decision_105", "decision_106", "decision_103", "decision_999"])], "position int, case_id string")
-    headers = chunk_view(s, d).where("is_header").groupBy("case_id").agg(F.concat(F.lit("A, माननीय B"), F.min("idx").cast("string")).alias("judges"))
-    return answers.comparison_lines(ids, summaries(s), headers, field).select("position", "line")
+    """A line for each document's case: from its summary, else its header row, which one in eight has in its place."""
+    case = F.concat(F.lit("decision_"), F.col("doc_id").cast("string")).alias("case_id")
+    headers = docs(s, d).where("doc_id % 8 = 4").select(case, F.concat(F.lit("A, माननीय B"), "source").alias("judges"))
+    return answers.comparison_lines(docs(s, d).select(F.col("doc_id").alias("position"), case), document_summaries(s, d), headers, field).select("position", "line")
 
 
 def compare_judges(s, d):
@@ -371,7 +453,7 @@ def judges_clean(s, d):
 
 
 def summary_answer(s, d):
-    return summaries(s).select("case_id", answers.summary_text().alias("answer"))
+    return document_summaries(s, d).select("case_id", answers.summary_text().alias("answer"))
 
 
 def reasoning_answer(s, d):
@@ -411,11 +493,11 @@ def evidence_ranks(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, ocr_fixes, clean_text, normalize_digits, script_ratio, sentence_rows, normalize_match, repair_output, truncate_sentence, chunk_pack, chunk_index,
+        bm25_topk, bm25_queries, knn_queries, ocr_fixes, clean_text, clean_marks, normalize_digits, script_ratio, sentence_rows, normalize_match, repair_output, truncate_sentence, chunk_pack, chunk_index,
         header_union, char_trigrams, gram_df, doc_len, corpus_stats, bm25_scores, bm25_norm, lexical_score, knn_cosine, knn_postfilter, hybrid_fused, case_filter,
         case_dump, dominant_case, dominant_topk, neighbour_expand, hybrid_search, query_intent, query_identifiers, number_list, analyze_query, factual_category,
-        metadata_extract, first_wins_case, case_list, corpus_summary, evidence_context, fallback_answer, compare_cases, conversation_fold, page_text,
-        paragraph_chunks, evidence_ranks, search_list, current_case_filter, case_id_fallback, full_text, page_validity, compare_judges, compare_petitioner, compare_date,
+        metadata_extract, first_wins_case, case_list, case_lines, corpus_summary, corpus_cases, evidence_context, fallback_answer, compare_cases, conversation_fold, page_text,
+        paragraph_chunks, evidence_ranks, search_list, current_case_filter, case_id_fallback, full_text, full_text_pages, page_validity, compare_judges, compare_petitioner, compare_date,
         compare_all, compared_field, common_judges, judges_clean, summary_answer, reasoning_answer, asked_paragraph, last_decision,
     )
 }
@@ -540,7 +622,6 @@ PLAIN_VOTES = "v AS (SELECT case_id, count(*) AS votes, min(rank) AS first FROM
 DEVANAGARI_WORDS = "[" + ", ".join(map(sql_text, (*K.FOLLOWUP_PRONOUNS, *K.CASE_REFERENCES))) + "]"
 TURN = "CASE WHEN role = 'user' THEN CASE WHEN conv_id % 3 = 0 THEN 'निर्णय नं. ' || (turn + 1000) || ' ' ELSE 'यो ' END || text ELSE 'निर्णय नं. ' || (conv_id + 2000) END"
 SUMMARY_ROWS = "su(case_id, " + ", ".join(SUMMARY_FIELDS) + ") AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else sql_text(x) for x in row) + ")" for row in SUMMARIES) + ")"
-ASKED_CASES = "a(position, case_id) AS (VALUES (0, 'decision_100'), (1, 'decision_105'), (2, 'decision_106'), (3, 'decision_103'), (4, 'decision_999'))"
 
 
 def sql_judges(e: str) -> str:
@@ -550,10 +631,16 @@ def sql_judges(e: str) -> str:
     return sql_strip(e)
 
 
+DOCUMENT_SUMMARIES = f"""su AS (SELECT 'decision_' || doc_id AS case_id,
+    CASE WHEN doc_id % 5 > 0 THEN 'फैसला मिति: 2063/1/' || (doc_id % 28) ELSE 'फैसला मिति १२' END || chr(10) || CASE WHEN doc_id % 3 > 0 THEN 'न्यायाधीशहरू: सम्माननीय' || chr(160) || lang || ' , माननीय  ' || source || ' र हरि।' || chr(10) ELSE '' END || coalesce(text, '') AS introduction,
+    CASE WHEN doc_id % 7 > 0 THEN 'निवेदक: ' ELSE 'पक्ष: ' END || coalesce(text, '') || chr(10) || 'विपक्षी: श्याम' AS parties, CASE WHEN doc_id % 6 > 0 THEN lang END AS lawyers, coalesce(text, '') AS key_facts, source AS legal_questions,
+    coalesce(text, '') AS reasoning, lang AS final_order, source AS legal_principle, CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS subject FROM documents WHERE doc_id % 4 > 0)"""
+
+
 def sql_compared(text: str, headers: bool = False) -> str:
     """Lines of cases with a summary by ``text``; of others only the judges have header rows to fall back on."""
     known = f"WHEN h.case_id IS NOT NULL THEN 'न्यायाधीश: ' || {sql_judges('h.judges')} " if headers else ""
-    return f"""WITH {CHUNKS}, {SUMMARY_ROWS}, {ASKED_CASES}, h AS (SELECT case_id, 'A, माननीय B' || min(idx) AS judges FROM c WHERE is_header GROUP BY 1)
+    return f"""WITH {DOCUMENT_SUMMARIES}, a AS (SELECT doc_id AS position, 'decision_' || doc_id AS case_id FROM documents), h AS (SELECT 'decision_' || doc_id AS case_id, 'A, माननीय B' || source AS judges FROM documents WHERE doc_id % 8 = 4)
       SELECT position, '**निर्णय नं. ' || replace(case_id, 'decision_', '') || '** – ' || CASE WHEN introduction IS NOT NULL THEN {text} {known}ELSE 'जानकारी उपलब्ध छैन' END AS line
       FROM a LEFT JOIN su USING (case_id) LEFT JOIN h USING (case_id)"""
 
@@ -596,7 +683,7 @@ SQL = {
     "common_judges": f"""WITH t AS (SELECT doc_id, ['कमल', source, 'नवीन'] AS a, CASE WHEN doc_id % 3 > 0 THEN [lang, 'शोभा', source, 'कमल'] ELSE [lang, 'शोभा', 'x'] END AS b FROM documents), i AS (SELECT doc_id, list_filter(a, lambda x: list_contains(b, x)) AS shared FROM t)
       SELECT doc_id, chr(10) || '**साझा न्यायाधीश:** ' || CASE WHEN len(shared) > 0 THEN array_to_string(shared, ', ') ELSE 'कुनै पनि छैनन्' END AS common FROM i""",
     "judges_clean": f"SELECT doc_id, {sql_judges(sql_text('सम्माननीय' + chr(0xA0) + 'का.मु. राम ,माननीय  ') + ' || text')} AS judges FROM documents",
-    "summary_answer": f"WITH {SUMMARY_ROWS} SELECT case_id, " + " || chr(10) || chr(10) || ".join(f"'**{title}**' || chr(10) || {field}" for title, field in answers.SUMMARY_PARTS) + " AS answer FROM su",
+    "summary_answer": f"WITH {DOCUMENT_SUMMARIES} SELECT case_id, " + " || chr(10) || chr(10) || ".join(f"'**{title}**' || chr(10) || {field}" for title, field in K.SUMMARY_PARTS) + " AS answer FROM su",
     "reasoning_answer": f"""WITH {ASK}, {SUMMARY_ROWS}, x AS (SELECT item_id, lower(q) AS l, reasoning AS r FROM q JOIN su ON case_id = list_extract([{", ".join(sql_text(x[0]) for x in SUMMARIES)}], CAST(item_id % 3 + 1 AS INT)))
       SELECT item_id, CASE WHEN {sql_any("l", K.REASONING_WORDS)} AND NOT {sql_any("l", K.REASONING_EXCEPT)} AND r <> '' THEN 'अदालतको तर्क/निष्कर्ष:' || chr(10) || chr(10) || CASE WHEN length(r) > 500 THEN substring(r, 1, 500) || '...' ELSE r END END AS answer FROM x""",
     "asked_paragraph": f"WITH {ASK} SELECT item_id, nullif(regexp_extract(q, '{uni(K.ASKED_PARAGRAPH)}', 1), '') AS number FROM q",
@@ -613,8 +700,14 @@ SQL = {
               SELECT z.conv_id, z.i, z.turn, z.role, z.q, z.cmp, z.named, z.pron, z.ref, z.quoted, s.cur AS c0, s.last, CASE WHEN z.cmp THEN s.cur ELSE coalesce(z.named, s.cur) END AS c1 FROM s JOIN z ON z.conv_id = s.conv_id AND z.i = s.i + 1))))
       SELECT conv_id, turn, CASE WHEN NOT cmp THEN 'decision_' || cur END AS search_case, 'decision_' || cur AS current_case, resolved AS resolved_query, cmp AS comparison FROM s WHERE role = 'user'""",
     "bm25_topk": f"WITH {BM25} SELECT idx, round(bm25, 6) AS bm25 FROM b ORDER BY 2 DESC, 1 LIMIT 10",
+    "bm25_queries": f"""WITH {BM25}, ig AS (SELECT item_id, unnest({sql_grams("s")}) AS gram FROM (SELECT item_id, lower(regexp_replace(coalesce(text, ''), '{uni(r"\s+")}', '', 'g')) AS s FROM benchmark)), im AS (SELECT item_id, gram, count(*) AS times FROM ig GROUP BY ALL),
+      sc AS (SELECT item_id, posts.idx, round(sum(times * CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM posts JOIN im USING (gram) JOIN ix USING (gram) JOIN dl ON dl.idx = posts.idx, st, m GROUP BY 1, 2)
+      SELECT item_id AS query_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, idx) AS INT) AS rank, idx, bm25 FROM sc QUALIFY rank <= 5""",
+    "knn_queries": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT q.vec_id AS query_id, e.vec_id AS idx, round(1 - list_cosine_similarity(e.v, q.v), 9) AS distance FROM e, e q WHERE q.vec_id % 100 = 0)
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, idx) AS INT) AS rank, idx, round(distance, 6) AS distance FROM d QUALIFY rank <= 10""",
     "ocr_fixes": f"SELECT doc_id, {sql_fixes("'काश SEAT ' || text")} AS fixed FROM documents",
-    "clean_text": f"SELECT doc_id, {sql_clean(f"{sql_text(CLEAN_HEAD)} || text || {sql_text(CLEAN_TAIL)}")} AS cleaned FROM documents",
+    "clean_text": f"SELECT doc_id, {sql_clean('text')} AS cleaned FROM documents",
+    "clean_marks": f"SELECT doc_id, {sql_clean(f"{sql_text(CLEAN_HEAD)} || text || {sql_text(CLEAN_TAIL)}")} AS cleaned FROM documents",
     "normalize_digits": "SELECT doc_id, text AS normal FROM documents",
     "script_ratio": r"""WITH t AS (SELECT doc_id, translate(text, 'aeiou', 'कखगघङ') AS x FROM documents), l AS (SELECT *, regexp_replace(x, '[^\p{L}]', '', 'g') AS letters FROM t),
       r AS (SELECT *, CASE WHEN length(letters) > 0 THEN length(regexp_replace(letters, '[^\x{0900}-\x{097F}]', '', 'g')) / length(letters) END AS ratio FROM l)
@@ -662,6 +755,9 @@ SQL = {
         CASE WHEN doc_id % 4 > 0 THEN 'कखगघ, चछजझ' ELSE '' END AS judges, CASE WHEN doc_id % 4 > 0 THEN 'दफा ८८, धारा १२ (१)' ELSE '' END AS provisions FROM z""",
     "first_wins_case": f"WITH {CHUNKS} SELECT case_id, idx, page, source FROM c QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY idx) = 1",
     "case_list": f"WITH {CHUNKS}, x AS (SELECT decision_no, min(idx) AS first_idx FROM c GROUP BY 1) SELECT {sql_text(K.CASES_HEADING)} || chr(10) || string_agg('- निर्णय नं. ' || decision_no || ' (मिति: d, विषय: s)', chr(10) ORDER BY first_idx) AS answer FROM x",
+    "case_lines": "SELECT doc_id AS first_idx, '- निर्णय नं. ' || doc_id || ' (मिति: ' || lang || ', विषय: ' || source || ')' AS line FROM documents",
+    "corpus_cases": f"WITH {CHUNKS} SELECT case_id || '_' || (idx % 1009) AS case_id, idx AS first_idx, source, decision_no, content AS subject, source AS appellant FROM c QUALIFY row_number() OVER (PARTITION BY case_id || '_' || (idx % 1009) ORDER BY idx) = 1",
+    "full_text_pages": f"SELECT source, CAST(doc_id AS INT) AS page, length({sql_clean(DANDA)})::INT AS n_chars, sha256({sql_clean(DANDA)}) AS text_sha256 FROM documents",
     "corpus_summary": f"WITH {CHUNKS} SELECT count(DISTINCT source) AS total_files, sum(page)::BIGINT AS total_pages, count(*) AS total_chunks, array_to_string(list_sort(list(DISTINCT case_id)), ',') AS cases FROM c",
     "evidence_context": f"WITH {FUSED}, tp AS (SELECT *, row_number() OVER (ORDER BY score DESC, idx) AS rank FROM f ORDER BY score DESC, idx LIMIT 5) SELECT string_agg('--- पृष्ठ ' || page || ' ---' || chr(10) || {TRUNCATED.format(x='content', n=600, m=451)}, chr(10) || chr(10) ORDER BY rank) AS context FROM tp",
     "fallback_answer": f"""WITH {ASK}, h AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'लायर ' WHEN 1 THEN 'न्यायाधीश ' ELSE '' END || q AS q FROM q)

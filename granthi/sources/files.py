@@ -53,29 +53,33 @@ def in_script(text: str, least_ratio: float = 0.4) -> bool:
 
 
 def extract_pages(files: DataFrame, extract: Extractor, ocr: Callable[[object], str] | None = None, least_ratio: float = 0.4, prepare: Callable[[object], object] = lambda image: image) -> DataFrame:
-    """(source, page, total_pages, text, error): one row for each page; a file that fails gives one row with its error.
+    """(path, source, page, total_pages, text, error): one row for each page; a file that fails gives one row with its error.
 
-    A page whose native text is not in the script goes to ``ocr``, its image through ``prepare`` first (scaling,
+    A document is known by its path; ``source`` is its base name, which others may share. A file that could not be read comes
+    with an ``error``. A page whose native text is not in the script goes to ``ocr``, its image through ``prepare`` first (scaling,
     denoising, thresholding). Every file is read once.
     """
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content, error in zip(batch["path"], batch["content"], batch["error"], strict=True):
                 name = path.rsplit("/", 1)[-1]
                 try:
+                    if content is None:
+                        raise OSError(error)
                     found = extract(bytes(content))
                     rows = []
                     for k, (text, handle) in enumerate(found, 1):
                         keep = ocr is None or in_script(text, least_ratio)
-                        rows.append((name, k, len(found), text.strip() if keep else ocr(prepare(handle)), None))
+                        rows.append((path, name, k, len(found), text.strip() if keep else ocr(prepare(handle)), None))
                     out += rows
                 except Exception as e:  # noqa: BLE001  the file's error is data
-                    out.append((name, 0, 0, None, str(e)))
-            yield pd.DataFrame(out, columns=["source", "page", "total_pages", "text", "error"])
+                    out.append((path, name, 0, 0, None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "source", "page", "total_pages", "text", "error"])
 
-    return files.select("path", "content").mapInPandas(pages, "source string, page int, total_pages int, text string, error string")
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string").alias("error")
+    return files.select("path", "content", error).mapInPandas(pages, "path string, source string, page int, total_pages int, text string, error string")
 
 
 def html_pages(pages: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 import json
+import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from granthi.functions import constants as K
 from granthi.operators import answers, chunks, ingest, search, sparse
-from granthi.sources import files
+from granthi.sources import files, lots
 from granthi.streaming.session import prepared, session_fold, step
 
 TEXT = "निर्णय नं. {n}\nफैसला मिति: 2063/1/2\nविषय: x\nन्यायाधीश श्री कखगघ\nपहिलो वाक्य। दोस्रो वाक्य।"
@@ -43,7 +46,7 @@ def test_search_and_answers(spark):
     assert answers.answer("x", hits.limit(0), cases, none) == K.NO_INFO
     assert "निर्णय नं. 9876" in answers.answer("कुन कुन मुद्दा छन्", hits, cases, none)
     assert answers.answer("न्यायाधीश को हुन्", dump, cases, none) == "न्यायाधीश: कखगघ"
-    assert answers.answer("x", dump, cases, none, model=lambda context, q: "```\nok\n```") == "ok"
+    assert answers.answer("x", dump, cases, none, model=lambda told, q, tokens: "```\nok\n```") == "ok"
 
 
 def test_sources(spark, tmp_path):
@@ -118,7 +121,8 @@ def test_from_files_to_answers(spark, tmp_path):
 
     out = f"file://{tmp_path}/base"
     summary = ingest.ingest(spark, f"file://{tmp_path}/in", out, extract, embed).first()
-    assert (summary["total_files"], summary["total_pages"], summary["cases"]) == (2, 4, ["decision_1234", "decision_9876"])
+    assert (summary["total_files"], summary["total_pages"], summary["cases"]) == (3, 4, ["decision_1234", "decision_9876"])
+    assert summary["files"] == ["a.pdf", "b.PDF", "bad.pdf"]
     assert summary["case_metadata"].asDict()["decision_9876"]["judges"] == "कखगघ" if not isinstance(summary["case_metadata"], dict) else summary["case_metadata"]["decision_9876"]["judges"] == "कखगघ"
     e = search.open_engine(spark, out, lambda q: embed([q])[0])
     assert search.open_engine(spark, out, embed) is e
@@ -131,7 +135,7 @@ def test_from_files_to_answers(spark, tmp_path):
     cases = e.chunks.groupBy("case_id").agg(F.min("idx").alias("first_idx"), F.first("decision_no").alias("decision_no"), F.first("date").alias("date"), F.first("subject").alias("subject"))
     none = files.load_case_summaries(spark, "/nonexistent/summaries.json")
     assert answers.answer("निर्णय नं. 1234 का न्यायाधीश को हुन्", e.search("निर्णय नं. 1234"), cases, none) == "न्यायाधीश: चछजझ"
-    assert spark.read.parquet(f"{out}/pages").where("error is not null").select("source").collect() == [("bad.pdf",)]
+    assert spark.read.parquet(f"{ingest.current(spark, out)}/pages").where("error is not null").select("source").collect() == [("bad.pdf",)]
     search.clear_engines()
     assert search.open_engine(spark, out, embed) is not e
 
@@ -157,3 +161,213 @@ def test_routes_with_summaries(spark, tmp_path):
     assert ask("न्यायाधीश तुलना", compare=["9876", "1234"]).endswith("\n\n\n**साझा न्यायाधीश:** नवीन")
     assert ask("who", current_case="decision_5") == K.NO_INFO
     assert ask("कुन कुन मुद्दा") == K.NO_CASES
+
+
+@pytest.fixture
+def plain():
+    """An extractor and an embedding, made here so that workers get them by value."""
+
+    def extract(content):
+        if content == b"broken":
+            raise ValueError("no pages")
+        return [(content.decode(), None)]
+
+    return extract, lambda texts: [[float(len(t) % 7 + 1), 2.0] for t in texts]
+
+
+def test_equal_names_in_two_folders(spark, tmp_path, plain):
+    """Two files of one name are two documents, by either way of reading; a file that fails is counted."""
+    for name, n in (("a/x.pdf", 1111), ("b/x.pdf", 2222), ("b/y.PDF", 0)):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(TEXT.format(n=n).encode() if n else b"broken")
+    seen = []
+    for read, root in ((files.list_files, f"file://{tmp_path}/in"), (lots.file_lots, f"{tmp_path}/in")):
+        out = f"file://{tmp_path}/base-{len(seen)}"
+        summary = ingest.ingest(spark, root, out, *plain, read=read).first()
+        assert (summary["total_files"], summary["total_pages"]) == (3, 2)
+        assert (summary["cases"], summary["files"]) == (["decision_1111", "decision_2222"], ["x.pdf", "x.pdf", "y.PDF"])
+        table = spark.read.parquet(f"{ingest.current(spark, out)}/chunks")
+        rows = table.where("not is_header").select("case_id", "content", "path", "source").collect()
+        assert {(r["case_id"], "1111" in r["content"], r["path"].rsplit("/", 2)[-2]) for r in rows} == {("decision_1111", True, "a"), ("decision_2222", False, "b")}
+        assert {r["source"] for r in rows} == {"x.pdf"}
+        seen.append(sorted((r["idx"], r["content"]) for r in table.collect()))
+    assert seen[0] == seen[1]
+
+
+def test_failed_ingest_leaves_the_base(spark, tmp_path, plain):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_bytes(TEXT.format(n=1111).encode())
+    out = f"file://{tmp_path}/base"
+    ingest.ingest(spark, f"file://{tmp_path}/in", out, *plain)
+    first, engine = ingest.current(spark, out), search.open_engine(spark, out, lambda q: plain[1]([q])[0])
+    (tmp_path / "in/b.pdf").write_bytes(TEXT.format(n=2222).encode())
+
+    def broken(texts):
+        raise RuntimeError("no embedding")
+
+    with pytest.raises(Exception, match="no embedding"):
+        ingest.ingest(spark, f"file://{tmp_path}/in", out, plain[0], broken)
+    assert ingest.current(spark, out) == first and ingest.summary(spark, out).first()["cases"] == ["decision_1111"]
+    assert search.open_engine(spark, out, lambda q: [1.0, 0.0]) is engine
+    for n in (1, 2):
+        assert ingest.ingest(spark, f"file://{tmp_path}/in", out, *plain).first()["total_files"] == 2
+        assert engine.chunks.count() > 0 if n == 1 else True  # the version before stays for those that read it
+    assert search.open_engine(spark, out, lambda q: [1.0, 0.0]) is not engine
+    assert len([x for x in (tmp_path / "base").iterdir() if x.name.startswith("v-")]) == 2
+    search.clear_engines()
+
+
+def test_file_lots(spark, tmp_path):
+    """Lots hold all files once, by size and number; one that goes away is a row with its error; a stream gives new files once."""
+    for k in range(11):
+        (tmp_path / f"d{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{k % 3}/f.{k}.{'pdf' if k % 2 else 'PDF'}").write_bytes(b"x" * k)
+    (tmp_path / "z.txt").write_bytes(b"no")
+    listed = lots.listed(str(tmp_path), "pdf")
+    assert [p for p, *_ in listed] == sorted(str(p) for p in tmp_path.rglob("*") if p.suffix.lower() == ".pdf") and len(listed) == 11
+    for files_at_most, bytes_at_most in ((3, 1 << 20), (100, 10), (1, 1)):
+        made = lots.lots(listed, files_at_most, bytes_at_most)
+        assert [f for lot in made for f in lot.files] == listed and all(len(lot.files) <= files_at_most for lot in made)
+        assert all(sum(f[2] for f in lot.files[:-1]) < bytes_at_most for lot in made)
+    got = lots.file_lots(spark, str(tmp_path), lotFiles="2")
+    assert sorted((r["path"], bytes(r["content"]), r["length"], r["error"]) for r in got.collect()) == sorted((p, b"x" * n, n, None) for p, _, n in listed)
+    assert lots.file_lots(spark, str(tmp_path / "none")).isEmpty() and lots.file_lots(spark, listed[0][0]).count() == 1
+    gone = [*lots._rows(str(tmp_path), [listed[0], (f"{tmp_path}/gone.pdf", 0, 5)])]
+    assert gone[0][4] is None and gone[1][3] is None and "gone.pdf" in gone[1][4]
+    run = lots.new_files(spark, str(tmp_path)).writeStream.format("memory").queryName("lots").option("checkpointLocation", str(tmp_path / "at")).start()
+    run.processAllAvailable()
+    (tmp_path / "d0/new.pdf").write_bytes(b"later")
+    run.processAllAvailable()
+    run.stop()
+    assert sorted(r["path"] for r in spark.table("lots").collect()) == sorted([p for p, *_ in listed] + [f"{tmp_path}/d0/new.pdf"])
+
+
+def test_global_index(spark):
+    """Numbers follow the order over all partitions, whatever a path holds."""
+    rows = [(f"p{k % 7 if k % 3 else 0}", k % 11, k, "x") for k in range(3000)]
+    df = spark.createDataFrame(rows, "path string, page int, chunk_no int, content string").repartition(5)
+    got = sorted(chunks.with_index(df).select("idx", "path", "page", "chunk_no").collect())
+    assert [tuple(r)[1:] for r in got] == sorted(r[:3] for r in rows) and [r["idx"] for r in got] == list(range(3000))
+    assert chunks.with_index(df.limit(0)).isEmpty()
+
+
+def brute_bm25(rows, query):
+    from math import log
+
+    grams = lambda t: [t[i : i + 3] for i in range(max(len(t) - 2, 1))] if t else []
+    docs = {i: grams("".join(t.split()).lower()) for i, t in rows}
+    df = Counter(g for d in docs.values() for g in set(d))
+    mean_length = sum(map(len, docs.values())) / len(docs)
+    raw = {g: log(len(docs) - n + 0.5) - log(n + 0.5) for g, n in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    out = {}
+    for i, d in docs.items():
+        tf = Counter(d)
+        s = sum((raw[g] if raw[g] >= 0 else 0.25 * mean) * tf[g] * 2.5 / (tf[g] + 1.5 * (0.25 + 0.75 * len(d) / mean_length)) for g in grams("".join(query.split()).lower()) if g in tf)
+        if any(g in tf for g in grams("".join(query.split()).lower())):
+            out[i] = s
+    return out
+
+
+def texts_of_words(n, seed=1):
+    rng = random.Random(seed)
+    return [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "the", "nation", "thing", "rare" if k % 97 == 0 else "of"]) for _ in range(rng.randint(0, 60)))) for k in range(n)]
+
+
+def test_top_k_reads_a_share(spark, tmp_path, monkeypatch):
+    """The best chunks from a part of the blocks are the best of all; ranges narrow what completes their scores."""
+    monkeypatch.setattr(sparse, "RANGE", 64)
+    rows = texts_of_words(1500)
+    df = spark.createDataFrame(rows, "idx long, search_text string").repartition(6, "idx")
+    sparse.save(df, f"file://{tmp_path}/ix")
+    found = sparse.load(spark, f"file://{tmp_path}/ix")
+    for query in ("the nation and the thing", "rare gamma", "nothing here zzz", "", "a", "the the the of of thing"):
+        want = brute_bm25(rows, query)
+        full = {r["idx"]: r["bm25"] for r in sparse.bm25(found, query).collect()}
+        assert full.keys() == want.keys() and all(abs(full[i] - want[i]) < 1e-9 for i in want)
+        for k in (1, 10):
+            best = sorted(want.items(), key=lambda x: (-round(x[1], 6), x[0]))[:k]
+            got = {r["idx"]: r["bm25"] for r in sparse.bm25_top(found, query, k).collect()}
+            assert all(abs(s - want[i]) < 1e-9 for i, s in got.items())
+            assert sorted(got.items(), key=lambda x: (-round(x[1], 6), x[0]))[:k] == [(i, got[i]) for i, _ in best]
+    asked = sparse.terms(found, "the nation and the thing")
+    assert 0 < asked.share(asked.upto(sparse.FIRST * asked.most())) < 1
+    assert found["blocks"].where("gram = 'the'").select("range").distinct().count() > 20
+    queries = spark.createDataFrame([(k, q) for k, q in enumerate(("the nation and the thing", "rare gamma", "zzz", None, ""))] + [(None, "the")], "query_id long, text string")
+    many = {}
+    for r in sparse.bm25_many(found, queries, 5).collect():
+        many.setdefault(r["query_id"], []).append((r["rank"], r["idx"], r["bm25"]))
+    for k, q in ((0, "the nation and the thing"), (1, "rare gamma")):
+        best = sorted(((i, round(s, 6)) for i, s in brute_bm25(rows, q).items() if round(s, 6) > 0), key=lambda x: (-x[1], x[0]))[:5]
+        assert [(i, s) for _, i, s in sorted(many[k])] == best and [r for r, *_ in sorted(many[k])] == [1, 2, 3, 4, 5]
+    assert many.keys() == {0, 1}
+
+
+def test_many_queries_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "QUERIES", 3)
+    monkeypatch.setattr(sparse, "GRAMS_AT_ONCE", 4)
+    rows = texts_of_words(300, 2)
+    found = sparse.index(spark.createDataFrame(rows, "idx long, search_text string").repartition(3))
+    queries = [(k, t) for k, t in texts_of_words(10, 3) if t]
+    got = {}
+    for r in sparse.bm25_many(found, spark.createDataFrame(queries, "query_id long, text string"), 4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["idx"], r["bm25"]))
+    for k, q in queries:
+        best = sorted(((i, round(s, 6)) for i, s in brute_bm25(rows, q).items() if round(s, 6) > 0), key=lambda x: (-x[1], x[0]))[:4]
+        assert [(i, s) for _, i, s in sorted(got.get(k, []))] == best
+
+
+def test_search_scores_few_rows(spark, monkeypatch):
+    """The bounded search ranks as one that scores every row, whichever way it goes."""
+    rows = [(i, f"decision_{100 + i % 5}", str(100 + i % 5), i % 7, i % 50 == 0, t) for i, t in texts_of_words(800, 4)]
+    table = spark.createDataFrame(rows, "idx long, case_id string, decision_no string, page int, is_header boolean, content string").withColumn("search_text", F.col("content")).withColumn("source", F.col("case_id")).cache()
+    vectors = table.where("idx % 3 = 0").select("idx", F.array(F.lit(1.0), (F.col("idx") % 13).cast("double")).alias("embedding"))
+    e = search.Engine(table, vectors, {k: v.cache() for k, v in sparse.index(table).items()}, lambda q: [1.0, 3.0])
+    for head, tried, sent in ((10_000, 64, 100), (20, 12, 2_000_000), (20, 12, 0)):
+        monkeypatch.setattr(search, "HEAD", head)
+        monkeypatch.setattr(search, "TRIED", tried)
+        monkeypatch.setattr(search, "SENT", sent)
+        for query, n, alpha in (("the nation and the thing", 10, 0.15), ("rare gamma alpha beta", 3, 0.8), ("zzz", 5, 0.5)):
+            near = search.knn(vectors, [1.0, 3.0], 60)
+            parts = sparse._of(e.sparse["blocks"], [*sparse.terms(e.sparse, query).weights])
+            bm25 = sparse.contributions(parts, sparse.terms(e.sparse, query).weights)
+            for rows_of, everywhere in ((table, True), (table.where("case_id = 'decision_103'"), False)):
+                want = search.ranked(search.fused(rows_of, near, sparse.bm25(e.sparse, query), query, alpha), n).orderBy("rank").collect()
+                got = e._best(rows_of, everywhere, near, bm25, query, alpha, n)
+                assert [(r["idx"], round(r["score"], 8)) for r in got] == [(r["idx"], round(r["score"], 8)) for r in want]
+    table.unpersist()
+
+
+def test_knn_many(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 50)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    rng = random.Random(9)
+    rows = [(k, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]) for k in range(400)]
+    df = spark.createDataFrame([*rows, (None, [1.0] * 4), (900, None)], "idx long, embedding array<float>").repartition(4)
+    asks = df.where("idx % 40 = 0")
+    got = {}
+    for r in search.knn_many(df, asks, 7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["idx"], r["distance"]))
+
+    def distance(a, b):
+        norm = lambda x: sum(v * v for v in x) ** 0.5 or 1.0
+        return round(1 - sum(x * y for x, y in zip(a, b, strict=True)) / (norm(a) * norm(b)), 9) + 0.0
+
+    for k, v in rows[::40]:
+        best = sorted((distance(v, w), i) for i, w in rows)[:7]
+        assert [(abs(d), i) for _, i, d in sorted(got[k])] == [(abs(d), i) for d, i in best]
+    assert search.knn_many(df, asks.limit(0), 7).isEmpty()
+
+
+def test_model_is_told_case_and_summary(spark):
+    hits = spark.createDataFrame([(1, "decision_9876", True, 3, "पाठ", "j")], "rank int, case_id string, is_header boolean, page int, content string, judges string")
+    cases = spark.createDataFrame([], "first_idx long, decision_no string, date string, subject string")
+    told = []
+    written = spark.createDataFrame([("decision_9876", *["क"] * 8, "s", None)], "case_id string, introduction string, parties string, lawyers string, key_facts string, legal_questions string, reasoning string, final_order string, legal_principle string, subject string, judges string")
+    model = lambda *x: told.append(x) or "ok"
+    assert answers.answer(" के भयो ", hits, cases, written, current_case="decision_9876", model=model) == "ok"
+    text, question, tokens = told[0]
+    assert (question, tokens) == ("के भयो", 1024) and text.endswith("प्रमाण (कागजातका अंशहरू):\n--- पृष्ठ 3 ---\nपाठ")
+    assert "हालको मुद्दा: decision_9876\n\n**परिचय:** क\n\n**पक्षकार:** क\n\n**न्यायाधीश:** \n\n**मुख्य तथ्य:** क\n\n**अन्तिम आदेश:** क\n\n" in text
+    assert answers.answer("निर्णय नं. 9876", hits, cases, written.limit(0), model=model) == "ok"
+    assert told[1][2] == 500 and f"हालको मुद्दा: {K.UNKNOWN}" in told[1][0]
