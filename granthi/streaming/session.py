@@ -6,12 +6,14 @@ back to one by a pronoun, or compare several; the answer that follows sets the c
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as K
 from ..functions import query as Q
@@ -81,3 +83,81 @@ def session_stream(turns: DataFrame) -> DataFrame:
         yield out
 
     return prepared(turns).groupBy("conv_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FIELDS = ("turn", "role", "query", "numbers", "named", "quoted")
+
+
+class InOrder(StatefulProcessor):
+    """Folds a conversation's turns by their numbers, in whatever order they come.
+
+    A turn whose number is not the next one waits in a list. It goes on once the turns before it have come, or, so that a turn
+    that never comes stops nothing, ``wait`` milliseconds after the first one began to wait: then all that wait go on in
+    their order. A turn that comes after later ones have gone on is folded when it comes.
+    """
+
+    def __init__(self, wait: int, first: int):
+        self.wait, self.first = wait, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("fold", "current string, last string, next long")
+        self.early = handle.getListState("early", "row string")
+
+    def _go(self, key: tuple, due: list[dict], early: list[dict], was: tuple) -> Iterator[pd.DataFrame]:
+        current, last, upto = was
+        if due:
+            out, current, last = _fold(key[0], pd.DataFrame(due, columns=FIELDS), current, last)
+            upto = max(upto, due[-1]["turn"] + 1)
+        self.state.update((current, last, upto))
+        if early:
+            self.early.put([(json.dumps(r),) for r in early])
+        elif self.early.exists():
+            self.early.clear()
+        if due and len(out):
+            yield out
+
+    def _was(self) -> tuple:
+        return tuple(self.state.get()) if self.state.exists() else (None, None, self.first)
+
+    def _waiting(self) -> list[dict]:
+        return [json.loads(r[0]) for r in self.early.get()] if self.early.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        was, held = self._was(), self._waiting()
+        for batch in rows:
+            for r in batch[[*FIELDS]].to_dict("records"):
+                r["numbers"] = [] if r["numbers"] is None else [*r["numbers"]]
+                held.append({k: None if isinstance(v, float) and v != v else v for k, v in r.items()} | {"turn": int(r["turn"])})
+        held.sort(key=lambda r: r["turn"])
+        n, upto = 0, was[2]
+        while n < len(held) and held[n]["turn"] <= upto:
+            upto = max(upto, held[n]["turn"] + 1)
+            n += 1
+        timers = [*self.handle.listTimers()]
+        if n < len(held) and not timers:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+        elif n == len(held):
+            for t in timers:
+                self.handle.deleteTimer(t)
+        yield from self._go(key, held[:n], held[n:], was)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._go(key, self._waiting(), [], self._was())
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream_any_order(turns: DataFrame, wait: int = 60_000, first: int = 0) -> DataFrame:
+    """``session_stream`` over turns that may come in any order; conversations are numbered from ``first``.
+
+    Once every turn has come the rows are those of ``session_fold``, as long as none came later than ``wait`` milliseconds after one
+    that follows it. Rows without a turn are left out. The session's state store must be RocksDB's.
+    """
+    spark = turns.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
+    rows = prepared(turns).where("turn is not null").groupBy("conv_id")
+    return rows.transformWithStateInPandas(InOrder(wait, first), OUT, "append", "ProcessingTime")

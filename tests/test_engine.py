@@ -1,5 +1,6 @@
 import json
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -104,6 +105,32 @@ def test_session_stream(spark, tmp_path):
     assert len(want) == 5 and sorted(map(tuple, spark.table("sessions").collect())) == sorted(map(tuple, want))
 
 
+def test_turns_in_any_order(spark, tmp_path):
+    """Shuffled micro-batches give the batch's rows; a turn that never comes holds the others up for a while only."""
+    from granthi.streaming import session
+
+    schema = "conv_id long, turn long, role string, text string"
+    gap = [(3, 3, "assistant", "निर्णय नं. 77"), (3, 0, "user", "निर्णय नं. 5555 के हो"), (3, 2, "user", "यो के हो")]  # turn 1 never comes
+    with pytest.raises(ValueError, match="RocksDB"):
+        session.session_stream_any_order(spark.createDataFrame(TURNS, schema))
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", session.ROCKSDB)
+    try:
+        for name, lots_of_turns, wait in (("shuffled", [[TURNS[i] for i in x] for x in ((6, 4, 2), (7, 0, 5), (3, 1))], 600_000), ("gap", [gap], 1000)):
+            for part in lots_of_turns:
+                spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+            run = session.session_stream_any_order(stream, wait).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"at-{name}")).start()
+            want = sorted(map(tuple, session_fold(spark.createDataFrame(sum(lots_of_turns, []), schema)).collect()))
+            until = time.time() + 90
+            while time.time() < until and spark.table(name).count() < len(want):
+                time.sleep(0.5)
+            run.stop()
+            assert sorted(map(tuple, spark.table(name).collect())) == want and len(want) == (5 if name == "shuffled" else 2)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+
+
 def test_from_files_to_answers(spark, tmp_path):
     """An ingest writes a base; an engine over it ranks as one over tables in memory, and answers follow."""
     (tmp_path / "in").mkdir()
@@ -323,11 +350,11 @@ def test_search_scores_few_rows(spark, monkeypatch):
     table = spark.createDataFrame(rows, "idx long, case_id string, decision_no string, page int, is_header boolean, content string").withColumn("search_text", F.col("content")).withColumn("source", F.col("case_id")).cache()
     vectors = table.where("idx % 3 = 0").select("idx", F.array(F.lit(1.0), (F.col("idx") % 13).cast("double")).alias("embedding"))
     e = search.Engine(table, vectors, {k: v.cache() for k, v in sparse.index(table).items()}, lambda q: [1.0, 3.0])
-    for head, tried, sent in ((10_000, 64, 100), (20, 12, 2_000_000), (20, 12, 0)):
+    for head, tried, sent in ((10_000, 64, 100), (20, 12, 0)):
         monkeypatch.setattr(search, "HEAD", head)
         monkeypatch.setattr(search, "TRIED", tried)
         monkeypatch.setattr(search, "SENT", sent)
-        for query, n, alpha in (("the nation and the thing", 10, 0.15), ("rare gamma alpha beta", 3, 0.8), ("zzz", 5, 0.5)):
+        for query, n, alpha in (("the nation and the thing", 10, 0.15), ("zzz", 5, 0.5)):
             near = search.knn(vectors, [1.0, 3.0], 60)
             parts = sparse._of(e.sparse["blocks"], [*sparse.terms(e.sparse, query).weights])
             bm25 = sparse.contributions(parts, sparse.terms(e.sparse, query).weights)
