@@ -288,12 +288,12 @@ class _Lot:
         self.grams: dict[str, int] = {}
         self.matrix = np.zeros((self.at_once, self.width))
 
-    def add(self, gram: str, ids: np.ndarray, impacts: np.ndarray, ask: list[dict]) -> None:
-        if gram not in self.grams:
+    def add(self, gram: str, ids: np.ndarray, impacts: np.ndarray, ask: pa.ListScalar) -> None:
+        if gram not in self.grams:  # of a gram's many blocks the first one brings its queries
             if len(self.grams) == self.at_once:
                 self.multiply()
             self.grams[gram] = len(self.grams)
-            self.rows += [(self.queries.setdefault(x["query_id"], len(self.queries)), self.grams[gram], x["weight"]) for x in ask]
+            self.rows += [(self.queries.setdefault(x["query_id"], len(self.queries)), self.grams[gram], x["weight"]) for x in ask.as_py()]
         self.matrix[self.grams[gram], ids - self.base] = impacts
 
     def multiply(self) -> None:
@@ -337,13 +337,14 @@ def bm25_many(found: dict[str, DataFrame], queries: DataFrame, k: int, places: i
         key, lot = None, None
         for batch in batches:
             flat = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in (3, 4)]
+            grams, ask = batch.column(2).to_pylist(), batch.column(5)
             for i, now in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if now != key:
                     if lot:
                         yield lot.best(k, places)
                     key, lot = now, _Lot(now[1] * RANGE, RANGE, GRAMS_AT_ONCE)
                 ids, impacts = (values[offsets[i] : offsets[i + 1]] for offsets, values in flat)
-                lot.add(batch.column(2)[i].as_py(), ids, impacts, batch.column(5)[i].as_py())
+                lot.add(grams[i], ids, impacts, ask[i])
         if lot:
             yield lot.best(k, places)
 
