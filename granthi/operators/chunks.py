@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.metadata import case_metadata
 from ..functions.text import chunk_sentences, clean_text, sentences
-from ..sources.files import scratch_dir
+from ..sources.files import kept
 
 
 def keyed(pages: DataFrame) -> DataFrame:
@@ -95,13 +93,9 @@ def with_index(rows: DataFrame, by: tuple[str, ...] = ("path", "page", "chunk_no
     that is run again reads the same partitions.
     """
     spark = rows.sparkSession
-    path = f"{scratch_dir(spark)}/numbered-{uuid.uuid4().hex}"
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # its lower bits: the place in the partition
-    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_place": place})
-    placed.write.option("compression", "zstd").parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    back = spark.read.schema(placed.schema).parquet(path)
+    made = kept(rows, "rows")  # dealing out by ranges reads its input twice
+    back = kept(made.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_place": place}), "numbered")
     counts = sorted(back.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a row for each partition
     starts, n = [], 0
     for part, size in counts:

@@ -190,7 +190,7 @@ class Engine:
         asked = sparse.terms(self.sparse, query)
         n = fetch_size(top_k, asked.n if everywhere and asked.n else rows.count())
         near = knn(self.vectors, self.embed(query), n, self.normal)
-        bm25 = sparse.contributions(sparse._of(self.sparse["blocks"], [*asked.weights]), asked.weights)
+        bm25 = sparse.contributions(sparse._of(self.sparse["blocks"], [*asked.weights]), asked)
         votes = everywhere and kind != "LIST_CASES"
         best = self._best(rows, everywhere, near, bm25, query, alpha, max(top_k, 10) if votes else top_k)
         case = _dominant(best, top_k) if votes else None

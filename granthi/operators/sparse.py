@@ -47,7 +47,11 @@ def lengths(chunks: DataFrame, text: str = "search_text") -> DataFrame:
 
 
 def blocks(chunks: DataFrame, mean_length: float, text: str = "search_text") -> DataFrame:
-    """(gram, level, range, top, ids, impacts): a gram's chunks of one level and range, as a task met them, and their contributions at weight 1."""
+    """(gram, level, range, top, ids, tfs, dls): a gram's chunks of one level and range, as a task met them.
+
+    ``ids`` count from the range's beginning, ``tfs`` and ``dls`` are what contributions are made of: small numbers, which take a third
+    of the room that chunk numbers and contributions would. ``top``: the greatest contribution at weight 1.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +65,7 @@ def blocks(chunks: DataFrame, mean_length: float, text: str = "search_text") ->
                     start, size = k + 1, 0
 
     rows = chunks.select(F.col("idx").cast("long").alias("idx"), squeezed(F.col(text)).alias("text"))
-    return rows.mapInArrow(made, "gram string, level int, range long, top double, ids array<long>, impacts array<double>")
+    return rows.mapInArrow(made, "gram string, level int, range long, top double, ids array<smallint>, tfs array<int>, dls array<int>")
 
 
 def _grams(text: str) -> Counter[str]:
@@ -83,13 +87,14 @@ def _blocks(idx: np.ndarray, texts: list[str], mean_length: float, width: int) -
     ids = idx[chunk]
     part = ids // width
     order = np.lexsort((ids, part, level, gram))
+    lists = [(x[order], kind) for x, kind in ((ids - part * width, np.int16), (tf, np.int32), (dl[chunk], np.int32))]
     gram, level, part, ids, impact = (x[order] for x in (gram, level, part, ids, impact))
     new = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (level[1:] != level[:-1]) | (part[1:] != part[:-1])])
     offsets = pa.array(np.append(new, len(ids)), pa.int32())
     names = np.array([*codes], object)
     return pa.RecordBatch.from_arrays(
-        [pa.array(names[gram[new]], pa.string()), pa.array(level[new], pa.int32()), pa.array(part[new]), pa.array(np.maximum.reduceat(impact, new)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(impact))],
-        names=["gram", "level", "range", "top", "ids", "impacts"],
+        [pa.array(names[gram[new]], pa.string()), pa.array(level[new], pa.int32()), pa.array(part[new]), pa.array(np.maximum.reduceat(impact, new)), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(kind))) for x, kind in lists)],
+        names=["gram", "level", "range", "top", "ids", "tfs", "dls"],
     )
 
 
@@ -116,7 +121,7 @@ def idf() -> Column:
 
 
 def _weighed(counts: DataFrame, stats: DataFrame) -> DataFrame:
-    return counts.crossJoin(F.broadcast(stats)).select("gram", "df", idf().alias("idf"), "n", "levels")  # one row
+    return counts.crossJoin(F.broadcast(stats)).select("gram", "df", idf().alias("idf"), "n", "avgdl", "levels")  # one row
 
 
 def bucket(gram: Column) -> Column:
@@ -158,8 +163,8 @@ def save(chunks: DataFrame, path: str, text: str = "search_text") -> None:
 
 
 STATS = "n long, avgdl double, mean_idf double"
-BLOCKS = "gram string, level int, range long, top double, ids array<long>, impacts array<double>, bucket int"
-GRAMS = "gram string, df long, idf double, n long, levels array<struct<level:int,top:double,chunks:long,blocks:long>>, bucket int"
+BLOCKS = "gram string, level int, range long, top double, ids array<smallint>, tfs array<int>, dls array<int>, bucket int"
+GRAMS = "gram string, df long, idf double, n long, avgdl double, levels array<struct<level:int,top:double,chunks:long,blocks:long>>, bucket int"
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -178,6 +183,7 @@ class Terms:
     weights: dict[str, float]
     levels: dict[str, list[tuple]]
     n: int  # chunks of the index; 0 where it knows no gram
+    mean: float  # their mean length
 
     def most(self) -> float:
         """The most that a chunk can reach."""
@@ -205,8 +211,8 @@ class Terms:
 def terms(found: dict[str, DataFrame], query: str) -> Terms:
     """One row for each gram of the query that the index holds."""
     times = query_grams(query)
-    rows = _of(found["grams"], [*times]).select("gram", "idf", "n", "levels").collect()
-    return Terms({r["gram"]: times[r["gram"]] * r["idf"] for r in rows}, {r["gram"]: [tuple(x) for x in r["levels"]] for r in rows}, rows[0]["n"] if rows else 0)
+    rows = _of(found["grams"], [*times]).select("gram", "idf", "n", "avgdl", "levels").collect()
+    return Terms({r["gram"]: times[r["gram"]] * r["idf"] for r in rows}, {r["gram"]: [tuple(x) for x in r["levels"]] for r in rows}, rows[0]["n"] if rows else 0, rows[0]["avgdl"] if rows else 1.0)
 
 
 def _of(table: DataFrame, grams: list[str]) -> DataFrame:
@@ -227,18 +233,23 @@ def _weight(of: dict[str, float]) -> Column:
     return F.element_at(F.map_from_arrays(F.array(*map(F.lit, of)), F.array(*(F.lit(float(x)) for x in of.values()))), F.col("gram"))
 
 
-def contributions(made: DataFrame, weights: dict[str, float]) -> DataFrame:
+def impact(tf: Column, dl: Column, mean: Column | float) -> Column:
+    """A posting's contribution at weight 1."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
+
+def contributions(made: DataFrame, asked: Terms) -> DataFrame:
     """(idx, gram, part): what each posting of these blocks adds; ``part`` has the gram's weight."""
-    if not weights:
+    if not asked.weights:
         return made.select(F.lit(0).cast("long").alias("idx"), "gram", F.lit(0.0).alias("part")).limit(0)
-    rows = made.select("gram", _weight(weights).alias("weight"), F.explode(F.arrays_zip("ids", "impacts")).alias("p"))
-    return rows.select(F.col("p.ids").alias("idx"), "gram", (F.col("weight") * F.col("p.impacts")).alias("part"))
+    rows = made.select("gram", "range", _weight(asked.weights).alias("weight"), F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+    return rows.select((F.col("range") * RANGE + F.col("p.ids")).alias("idx"), "gram", (F.col("weight") * impact(F.col("p.tfs"), F.col("p.dls"), asked.mean)).alias("part"))
 
 
 def bm25(found: dict[str, DataFrame], query: str) -> DataFrame:
     """(idx, bm25) of the chunks that share a gram with the query; all others score 0."""
     asked = terms(found, query)
-    return contributions(_of(found["blocks"], [*asked.weights]), asked.weights).groupBy("idx").agg(F.sum("part").alias("bm25"))
+    return contributions(_of(found["blocks"], [*asked.weights]), asked).groupBy("idx").agg(F.sum("part").alias("bm25"))
 
 
 def bm25_top(found: dict[str, DataFrame], query: str, k: int, asked: Terms | None = None) -> DataFrame:
@@ -253,10 +264,10 @@ def bm25_top(found: dict[str, DataFrame], query: str, k: int, asked: Terms | Non
     cut = asked.upto(FIRST * asked.most())
     for again in (False, True):
         if not asked.weights or min(asked.weights.values()) < 0 or asked.share(cut) == 1:
-            return contributions(mine, asked.weights).groupBy("idx").agg(F.sum("part").alias("bm25"))
+            return contributions(mine, asked).groupBy("idx").agg(F.sum("part").alias("bm25"))
         rest = asked.unread(cut)
         first, later = mine.where(F.col("level") < _weight(cut)), mine.where(F.col("level") >= _weight(cut))
-        parts = contributions(first, asked.weights).groupBy("idx").agg(F.sum("part").alias("part"), F.sum(_weight(rest)).alias("met"))
+        parts = contributions(first, asked).groupBy("idx").agg(F.sum("part").alias("part"), F.sum(_weight(rest)).alias("met"))
         best = parts.select("part").orderBy(F.desc("part")).limit(k).collect()  # k rows
         least = best[-1]["part"] if len(best) == k else 0.0
         if again or sum(rest.values()) < least - SLACK:
@@ -265,7 +276,7 @@ def bm25_top(found: dict[str, DataFrame], query: str, k: int, asked: Terms | Non
     bound = F.col("part") + sum(rest.values()) - F.col("met")
     open_chunks = parts.where(bound >= least - SLACK)
     ranges = open_chunks.select(F.expr(f"idx div {RANGE}").alias("range")).distinct()
-    more = contributions(later.join(ranges, "range", "left_semi"), asked.weights).join(open_chunks.select("idx"), "idx", "left_semi")
+    more = contributions(later.join(ranges, "range", "left_semi"), asked).join(open_chunks.select("idx"), "idx", "left_semi")
     both = open_chunks.select("idx", "part").unionByName(more.select("idx", "part"))
     return both.groupBy("idx").agg(F.sum("part").alias("bm25"))
 
@@ -294,7 +305,7 @@ class _Lot:
                 self.multiply()
             self.grams[gram] = len(self.grams)
             self.rows += [(self.queries.setdefault(x["query_id"], len(self.queries)), self.grams[gram], x["weight"]) for x in ask.as_py()]
-        self.matrix[self.grams[gram], ids - self.base] = impacts
+        self.matrix[self.grams[gram], ids] = impacts
 
     def multiply(self) -> None:
         if len(self.queries) > len(self.scores):
@@ -330,24 +341,25 @@ def bm25_many(found: dict[str, DataFrame], queries: DataFrame, k: int, places: i
     asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.explode(char_ngrams(F.col("text"))).alias("gram")).groupBy("query_id", "gram").agg(F.count("*").alias("times"))
     ask = F.struct("query_id", (F.col("times") * F.col("idf")).alias("weight"))
     weighed = asked.join(found["grams"], "gram").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(lots)).alias("lot"), "gram").agg(F.collect_list(ask).alias("ask"))
-    met = found["blocks"].select("gram", "range", "ids", "impacts").join(weighed, "gram")
-    placed = met.select("lot", "range", "gram", "ids", "impacts", "ask").repartition("lot", "range").sortWithinPartitions("lot", "range", "gram")
+    met = found["blocks"].select("gram", "range", "ids", "tfs", "dls").join(weighed, "gram")
+    placed = met.select("lot", "range", "gram", "ids", "tfs", "dls", "ask").repartition("lot", "range").sortWithinPartitions("lot", "range", "gram")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, lot = None, None
         for batch in batches:
-            flat = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in (3, 4)]
-            grams, ask = batch.column(2).to_pylist(), batch.column(5)
+            flat = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in (3, 4, 5)]
+            grams, ask = batch.column(2).to_pylist(), batch.column(6)
             for i, now in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if now != key:
                     if lot:
                         yield lot.best(k, places)
                     key, lot = now, _Lot(now[1] * RANGE, RANGE, GRAMS_AT_ONCE)
-                ids, impacts = (values[offsets[i] : offsets[i + 1]] for offsets, values in flat)
-                lot.add(grams[i], ids, impacts, ask[i])
+                ids, tf, dl = (values[offsets[i] : offsets[i + 1]] for offsets, values in flat)
+                lot.add(grams[i], ids, tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean)), ask[i])
         if lot:
             yield lot.best(k, places)
 
+    mean = found["stats"].first()["avgdl"] or 1.0
     some = placed.mapInArrow(best, "query_id long, idx long, bm25 double")
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "idx")
     return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "idx", "bm25")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,6 +34,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return at
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``df``, written to the shared folder and read back: what is made twice or must not change is made once. It goes with the application."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def list_files(spark: SparkSession, path: str, suffix: str = "pdf") -> DataFrame:
     """Files below ``path`` (or the file itself) by suffix in any case; a missing path gives no rows."""
     glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)

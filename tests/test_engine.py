@@ -357,7 +357,7 @@ def test_search_scores_few_rows(spark, monkeypatch):
         for query, n, alpha in (("the nation and the thing", 10, 0.15), ("zzz", 5, 0.5)):
             near = search.knn(vectors, [1.0, 3.0], 60)
             parts = sparse._of(e.sparse["blocks"], [*sparse.terms(e.sparse, query).weights])
-            bm25 = sparse.contributions(parts, sparse.terms(e.sparse, query).weights)
+            bm25 = sparse.contributions(parts, sparse.terms(e.sparse, query))
             for rows_of, everywhere in ((table, True), (table.where("case_id = 'decision_103'"), False)):
                 want = search.ranked(search.fused(rows_of, near, sparse.bm25(e.sparse, query), query, alpha), n).orderBy("rank").collect()
                 got = e._best(rows_of, everywhere, near, bm25, query, alpha, n)
