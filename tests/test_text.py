@@ -97,3 +97,32 @@ def test_paragraph_chunks(spark):
     assert chunked(10, 1) == [("१२", "१२  एक। दुई।"), ("१२", "दुई। तीन।"), ("3", "3 चार।")]
     assert chunked(10, 100) == [("१२", "१२  एक। दुई।"), ("१२", "१२  एक। दुई। तीन।"), ("3", "3 चार।")]
     assert one(spark, T.paragraph_chunks(F.lit("no number"))) == [] and one(spark, T.paragraph_chunks(F.lit("aaa। bbb। ccc।"), 4, 0))[0]["chunk"] == "aaa।"
+
+
+def test_settled_characters_are_settled():
+    """No character that stays in the JVM changes, joins the one before it, or moves among its neighbours."""
+    import re
+    import unicodedata
+
+    inside = re.compile("[" + re.sub(r"\\x\{?([0-9A-F]{2,4})\}?", lambda m: f"\\u{int(m[1], 16):04x}", T.SETTLED) + "]")
+    second = {int(d[1], 16) for d in (unicodedata.decomposition(chr(i)).split() for i in range(0x110000)) if len(d) == 2 and d[0][0] != "<"}
+    settled = [i for i in range(0x10000) if not 0xD800 <= i < 0xE000 and inside.fullmatch(chr(i))]
+    assert len(settled) > 900 and not {*settled} & second
+    assert all(unicodedata.is_normalized("NFC", chr(i)) for i in settled)
+    assert {i for i in settled if unicodedata.combining(chr(i))} == {0x94D}
+
+
+def test_normal_form_and_sentences_against_python(spark):
+    import random
+    import re
+    import unicodedata
+
+    rng = random.Random(4)
+    pieces = ["a", "é", "e\u0301", "न\u093c", "\u0958", "क्", "\u094d\u093c", "।", "!", " ", "\u00a0", "\n", "\u2003", "\u1e0a\u0323", "", "x\u0300", "\u0951\u094d"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(400)] + [" " * 20_000 + "a" + "\u00a0" * 20_000 + "b\n"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    blank = "[" + T.BLANKS + "]"
+    for r in df.select("k", T.nfc(F.col("t")).alias("n"), T.sentences(F.col("t")).alias("s")).collect():
+        t = texts[r["k"]]
+        assert r["n"] == unicodedata.normalize("NFC", t)
+        assert r["s"] == [x for x in (p.strip(T.BLANKS) for p in re.split(rf"(?<=[।!?]){blank}+|\n+", t)) if x]
