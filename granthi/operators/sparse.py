@@ -21,7 +21,7 @@ from ..functions.text import char_ngrams, squeezed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Levels of contributions, the greatest first; chunks of one range of idx; characters that a task turns into blocks at once.
-LEVELS, RANGE, LOT = 16, 4096, 4_000_000
+LEVELS, RANGE, LOT = 4, 4096, 4_000_000
 #: Partitions of the saved blocks by their grams' hashes: a query reads those of its grams alone.
 BUCKETS = 32
 #: A top-k first reads levels until what is unread adds at most this share of what a chunk can reach.
