@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.text import char_ngrams, squeezed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Levels of contributions, the greatest first; chunks of one range of idx; characters that a task turns into blocks at once.
-LEVELS, RANGE, LOT = 4, 4096, 4_000_000
+#: Levels of contributions, the greatest first; chunks of one range of idx (32,767 at most); ranges whose postings meet in one task.
+LEVELS, RANGE, GROUP = 4, 4096, 128
+#: Characters that a task turns into postings at once.
+LOT = 4_000_000
 #: Partitions of the saved blocks by their grams' hashes: a query reads those of its grams alone.
 BUCKETS = 32
 #: A top-k first reads levels until what is unread adds at most this share of what a chunk can reach.
@@ -46,12 +48,14 @@ def lengths(chunks: DataFrame, text: str = "search_text") -> DataFrame:
     return chunks.select("idx", F.when(n <= 3, F.least(n, F.lit(1))).otherwise(n - 2).cast("long").alias("dl"))
 
 
-def blocks(chunks: DataFrame, mean_length: float, text: str = "search_text") -> DataFrame:
-    """(gram, level, range, top, ids, tfs, dls): a gram's chunks of one level and range, as a task met them.
+def lots(chunks: DataFrame, text: str = "search_text") -> DataFrame:
+    """(bucket, range, grams, counts, steps, tfs, docs, lens): the postings of a task's lot of texts by bucket of grams and range of chunks.
 
-    ``ids`` count from the range's beginning, ``tfs`` and ``dls`` are what contributions are made of: small numbers, which take a third
-    of the room that chunk numbers and contributions would. ``top``: the greatest contribution at weight 1.
+    One row holds some thousand grams: ``counts`` are their postings, whose chunks and frequencies follow in ``steps`` (each chunk
+    number less the one before, from the range's beginning) and ``tfs``; ``lens`` are the lengths of the chunks ``docs``. So a
+    posting takes a few bytes on its way, and a gram of one chunk no row of its own.
     """
+    width = RANGE
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,40 +65,115 @@ def blocks(chunks: DataFrame, mean_length: float, text: str = "search_text") ->
                 size += len(t)
                 if size >= LOT or k == len(texts) - 1:
                     if size:
-                        yield _blocks(batch.column(0).slice(start, k + 1 - start).to_numpy(), texts[start : k + 1], mean_length, RANGE)
+                        yield _lot_rows(batch.column(0).slice(start, k + 1 - start).to_numpy(), texts[start : k + 1], width)
                     start, size = k + 1, 0
 
     rows = chunks.select(F.col("idx").cast("long").alias("idx"), squeezed(F.col(text)).alias("text"))
-    return rows.mapInArrow(made, "gram string, level int, range long, top double, ids array<smallint>, tfs array<int>, dls array<int>")
+    return rows.mapInArrow(made, "bucket int, range long, grams array<string>, counts array<int>, steps array<smallint>, tfs array<int>, docs array<smallint>, lens array<int>")
+
+
+def blocks(chunks: DataFrame, mean_length: float, text: str = "search_text") -> DataFrame:
+    """(bucket, gram, level, range, top, ids, tfs, dls): a gram's chunks of one level and range, whichever tasks met them.
+
+    ``ids`` count from the range's beginning, ``tfs`` and ``dls`` are what contributions are made of: small numbers, which take a third
+    of the room that chunk numbers and contributions would. ``top``: the greatest contribution at weight 1.
+    The lots meet by bucket and GROUP ranges, so what a task gets does not grow with the number of chunks.
+    """
+    width = RANGE
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for i, now in enumerate(keys):
+                if now != key:
+                    if held:
+                        yield _blocks(*key, held, mean_length, width)
+                    key, held = now, []
+                held.append([c[i].values for c in batch.columns[2:]])
+        if held:
+            yield _blocks(*key, held, mean_length, width)
+
+    group = F.floor(F.col("range") / GROUP)
+    met = lots(chunks, text).repartition("bucket", group).sortWithinPartitions("bucket", "range")
+    return met.mapInArrow(merged, BLOCKS)
 
 
 def _grams(text: str) -> Counter[str]:
     return Counter([text[i : i + 3] for i in range(max(len(text) - 2, 1))] if text else [])
 
 
-def _blocks(idx: np.ndarray, texts: list[str], mean_length: float, width: int) -> pa.RecordBatch:
+#: What a text of one or two characters is filled up with; no text holds it.
+FILL = "\ud800"
+
+
+def _lot_rows(idx: np.ndarray, texts: list[str], width: int) -> pa.RecordBatch:
+    order = np.argsort(idx, kind="stable")
+    order = order[[bool(texts[k]) for k in order]]  # texts without characters have no grams
+    idx, texts = idx[order], [texts[k] for k in order]
+    dl = np.array([max(len(t) - 2, 1) for t in texts], np.int32)
+    padded = [t if len(t) > 2 else t + FILL * (3 - len(t)) for t in texts]
+    chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in padded])
+    whole = doc[:-2] == doc[2:]  # three characters of one text
+    codes, gram = np.unique(((chars[:-2] << 42) | (chars[1:-1] << 21) | chars[2:])[whole], return_inverse=True)
+    names = np.stack([codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    names = np.array([names[k : k + 3].rstrip(FILL) for k in range(0, len(names), 3)], object)
+    # by bucket, range, gram and chunk
+    buckets = np.array([_bucket(g) for g in names], np.int64)
+    by_bucket = np.argsort(buckets, kind="stable")
+    place = np.empty_like(by_bucket)
+    place[by_bucket] = np.arange(len(by_bucket))
+    names, buckets = names[by_bucket], buckets[by_bucket]
+    pair, tf = np.unique(place[gram] * len(texts) + doc[:-2][whole], return_counts=True)
+    gram, chunk = np.divmod(pair, len(texts))
+    parts, part_of = np.unique(idx // width, return_inverse=True)
+    row = buckets[gram] * len(parts) + part_of[chunk]
+    order = np.argsort(row, kind="stable")
+    row, gram, chunk, tf = row[order], gram[order], chunk[order], tf[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    runs = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])])
+    ids = idx[chunk] - parts[part_of[chunk]] * width
+    steps = np.diff(ids, prepend=0)
+    steps[first] = ids[first]
+    at, of = np.append(first, len(row)), np.append(np.searchsorted(runs, first), len(runs))
+    bucket, part = np.divmod(row[first], len(parts))
+    edges = np.searchsorted(part_of, np.arange(len(parts) + 1))  # texts are in order of idx
+    docs = np.concatenate([np.arange(edges[p], edges[p + 1]) for p in part])
+    of_docs = np.append(0, np.cumsum(edges[part + 1] - edges[part]))
+    lists = lambda offsets, values, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket, pa.int32()), pa.array(parts[part]), lists(of, names[gram[runs]], pa.string()), lists(of, np.diff(np.append(runs, len(row))), pa.int32()),
+            lists(at, steps, pa.int16()), lists(at, tf, pa.int32()), lists(of_docs, idx[docs] - parts[part_of[docs]] * width, pa.int16()), lists(of_docs, dl[docs], pa.int32()),
+        ],
+        names=["bucket", "range", "grams", "counts", "steps", "tfs", "docs", "lens"],
+    )
+
+
+def _blocks(bucket: int, part: int, rows: list[list[pa.Array]], mean_length: float, width: int) -> pa.RecordBatch:
+    """The blocks of one bucket and range from its rows of all lots."""
     codes: dict[str, int] = {}
-    gram, chunk, tf = [], [], []
-    for k, text in enumerate(texts):
-        found = _grams(text)
-        gram += [codes.setdefault(g, len(codes)) for g in found]
-        chunk += [k] * len(found)
-        tf += found.values()
-    gram, chunk, tf = np.array(gram, np.int64), np.array(chunk, np.int64), np.array(tf, np.float64)
-    dl = np.array([max(len(t) - 2, min(len(t), 1)) for t in texts], np.float64)
-    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[chunk] / mean_length))
+    columns = []
+    for names, *numbers in rows:
+        counts, steps, tf, docs, lens = (x.to_numpy() for x in numbers)
+        length = np.zeros(width, np.int32)
+        length[docs] = lens
+        ids = np.cumsum(steps, dtype=np.int64)
+        columns.append((np.repeat([codes.setdefault(g, len(codes)) for g in names.to_pylist()], counts), ids, tf, length[ids]))
+    gram, ids, tf, dl = (np.concatenate(c) for c in zip(*columns, strict=True))
+    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean_length))
     level = LEVELS - 1 - np.minimum((impact / (K1 + 1) * LEVELS).astype(np.int64), LEVELS - 1)
-    ids = idx[chunk]
-    part = ids // width
-    order = np.lexsort((ids, part, level, gram))
-    lists = [(x[order], kind) for x, kind in ((ids - part * width, np.int16), (tf, np.int32), (dl[chunk], np.int32))]
-    gram, level, part, ids, impact = (x[order] for x in (gram, level, part, ids, impact))
-    new = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (level[1:] != level[:-1]) | (part[1:] != part[:-1])])
+    block = gram * LEVELS + level
+    order = np.argsort(block * width + ids)
+    block, ids, tf, dl, impact = (x[order] for x in (block, ids, tf, dl, impact))
+    new = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    gram, level = np.divmod(block[new], LEVELS)
     offsets = pa.array(np.append(new, len(ids)), pa.int32())
-    names = np.array([*codes], object)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((ids, pa.int16()), (tf, pa.int32()), (dl, pa.int32()))]
     return pa.RecordBatch.from_arrays(
-        [pa.array(names[gram[new]], pa.string()), pa.array(level[new], pa.int32()), pa.array(part[new]), pa.array(np.maximum.reduceat(impact, new)), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(kind))) for x, kind in lists)],
-        names=["gram", "level", "range", "top", "ids", "tfs", "dls"],
+        [pa.array(np.array([*codes], object)[gram], pa.string()), pa.array(level, pa.int32()), pa.array(np.full(len(new), part)), pa.array(np.maximum.reduceat(impact, new)), *lists, pa.array(np.full(len(new), bucket), pa.int32())],
+        names=["gram", "level", "range", "top", "ids", "tfs", "dls", "bucket"],
     )
 
 
@@ -132,7 +211,7 @@ def index(chunks: DataFrame, text: str = "search_text") -> dict[str, DataFrame]:
     """The index's tables, not saved: blocks, grams (with idf and levels) and stats."""
     size = lengths(chunks, text)
     mean = size.agg(F.avg("dl")).first()[0] or 1.0
-    made = blocks(chunks, mean, text).withColumn("bucket", bucket(F.col("gram")))
+    made = blocks(chunks, mean, text)
     counts = gram_levels(made)
     stats = corpus_stats(size, counts)
     return {"blocks": made, "grams": _weighed(counts, stats), "stats": stats}
@@ -141,25 +220,21 @@ def index(chunks: DataFrame, text: str = "search_text") -> dict[str, DataFrame]:
 def save(chunks: DataFrame, path: str, text: str = "search_text") -> None:
     """The index as tables below ``path``: blocks by bucket, sorted by gram, level and range, and grams and statistics made from them.
 
-    The sort deals blocks out by ranges of all these columns, so a common gram fills many tasks and files. Blocks are written as
-    they are made first: a sort reads its input twice, and making them is the dear part.
+    The postings are shuffled once, as ``lots``; a task merges what it gets into blocks, range by range, and sorts these. A common
+    gram's blocks are dealt out by groups of ranges, so it fills many tasks and files.
     """
     spark = chunks.sparkSession
     size = lengths(chunks, text)
     mean = size.agg(F.avg("dl")).first()[0] or 1.0
-    made = f"{path}/made"
-    blocks(chunks, mean, text).withColumn("bucket", bucket(F.col("gram"))).write.mode("overwrite").option("compression", "zstd").parquet(made)
-    order = ("bucket", "gram", "level", "range")
-    raw = spark.read.schema(BLOCKS).parquet(made)
-    raw.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks")
-    gram_levels(raw).write.mode("overwrite").parquet(f"{path}/counts")
+    made = blocks(chunks, mean, text).sortWithinPartitions("bucket", "gram", "level", "range")
+    made.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks")
+    gram_levels(spark.read.schema(BLOCKS).parquet(f"{path}/blocks")).write.mode("overwrite").parquet(f"{path}/counts")
     counts = spark.read.schema("gram string, df long, levels array<struct<level:int,top:double,chunks:long,blocks:long>>").parquet(f"{path}/counts")
     corpus_stats(size, counts).write.mode("overwrite").parquet(f"{path}/stats")
     weighed = _weighed(counts, spark.read.schema(STATS).parquet(f"{path}/stats")).withColumn("bucket", bucket(F.col("gram")))
     weighed.repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
-    for name in ("made", "counts"):
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/counts")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 STATS = "n long, avgdl double, mean_idf double"
