@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Levels of contributions, the greatest first; chunks of one range of idx (32,767 at most); ranges whose postings meet in one task.
 LEVELS, RANGE, GROUP = 4, 4096, 128
 #: Characters that a task turns into postings at once.
-LOT = 4_000_000
+LOT = 1_000_000
 #: Partitions of the saved blocks by their grams' hashes: a query reads those of its grams alone.
 BUCKETS = 32
 #: A top-k first reads levels until what is unread adds at most this share of what a chunk can reach.
@@ -60,12 +61,12 @@ def lots(chunks: DataFrame, text: str = "search_text") -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = size = 0
-            texts = batch.column(1).to_pylist()
-            for k, t in enumerate(texts):
-                size += len(t)
-                if size >= LOT or k == len(texts) - 1:
+            for k, n in enumerate(pc.utf8_length(batch.column(1)).to_pylist()):
+                size += n
+                if size >= LOT or k == batch.num_rows - 1:
                     if size:
-                        yield _lot_rows(batch.column(0).slice(start, k + 1 - start).to_numpy(), texts[start : k + 1], width)
+                        lot = batch.slice(start, k + 1 - start)
+                        yield _lot_rows(lot.column(0).to_numpy(), lot.column(1).to_pylist(), width)
                     start, size = k + 1, 0
 
     rows = chunks.select(F.col("idx").cast("long").alias("idx"), squeezed(F.col(text)).alias("text"))

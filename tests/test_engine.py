@@ -398,3 +398,27 @@ def test_model_is_told_case_and_summary(spark):
     assert "हालको मुद्दा: decision_9876\n\n**परिचय:** क\n\n**पक्षकार:** क\n\n**न्यायाधीश:** \n\n**मुख्य तथ्य:** क\n\n**अन्तिम आदेश:** क\n\n" in text
     assert answers.answer("निर्णय नं. 9876", hits, cases, written.limit(0), model=model) == "ok"
     assert told[1][2] == 500 and f"हालको मुद्दा: {K.UNKNOWN}" in told[1][0]
+
+
+def test_lots_merge_into_blocks(spark, monkeypatch):
+    """Each gram, level and range is one block, whichever lots its chunks were in; texts of one or two characters are grams of their own."""
+    for name, value in (("RANGE", 16), ("GROUP", 2), ("LOT", 300)):
+        monkeypatch.setattr(sparse, name, value)
+    rows = [*texts_of_words(150, 4), (150, "ab"), (151, "a"), (152, ""), (153, " "), (154, "a\0b\0"), (155, "कागज र 𝒳𝒳𝒳"), (156, None), (157, "the" * 2000)]
+    want, length = {}, {i: max(len(s) - 2, min(len(s), 1)) for i, s in ((i, "".join((t or "").split())) for i, t in rows)}
+    for i, t in rows:
+        for g, n in sparse.query_grams(t or "").items():
+            want[g, i] = n
+    mean = sum(length.values()) / len(length)
+    df = spark.createDataFrame(rows, "idx long, search_text string").repartition(5)
+    got, seen = {}, []
+    for r in sparse.blocks(df, mean).collect():
+        seen.append((r["gram"], r["level"], r["range"]))
+        assert r["bucket"] == sparse._bucket(r["gram"]) and r["ids"] == sorted(r["ids"])
+        parts = [tf * (sparse.K1 + 1) / (tf + sparse.K1 * (1 - sparse.B + sparse.B * dl / mean)) for tf, dl in zip(r["tfs"], r["dls"], strict=True)]
+        assert abs(r["top"] - max(parts)) < 1e-12
+        for k, tf, dl in zip(r["ids"], r["tfs"], r["dls"], strict=True):
+            got[r["gram"], r["range"] * 16 + k] = tf
+            assert dl == length[r["range"] * 16 + k]
+    assert got == want and len(seen) == len(set(seen))
+    assert sparse.blocks(df.limit(0), 1.0).count() == 0
