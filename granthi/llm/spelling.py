@@ -156,7 +156,7 @@ def near_words(words: DataFrame) -> DataFrame:
     ask, answer = (words.select("word", "n").mapInArrow(keyed(x), "key long, word string, n long") for x in (True, False))
     a, b = (x.select("key", F.col("word").alias(k), F.col("n").alias(f"{k}_n")) for x, k in ((ask, "a"), (answer, "b")))
     once = (F.char_length("a") < F.char_length("b")) | (F.col("a") < F.col("b"))
-    pairs = a.join(b, "key").where(once & (F.levenshtein("a", "b", 1) == 1))
+    pairs = a.join(b.hint("merge"), "key").where(once & (F.levenshtein("a", "b", 1) == 1))
     sides = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))))
     return pairs.select(sides.alias("x")).select("x.*").repartition("word").distinct()  # a word has a bounded number of near words
 
@@ -167,11 +167,11 @@ def variants(docs: DataFrame, ratio: int = RATIO) -> DataFrame:
     ``form``: of the word's near words the one of largest n (ties: the smallest in code-point order) if that is ``ratio`` times
     the word's n or more, else null; ``root``: where following forms ends, the word itself without a form. A
     form's n is at least ``ratio`` times as large, so a chain has at most 19 steps. An empty table, and texts without words, give no
-    rows.
+    rows. Tables of words meet by sorting and are never broadcast: a broadcast goes through the driver.
     """
     words = materialize(word_counts(docs), "words")
     near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    known = words.join(near, "word", "left")
+    known = words.join(near.hint("merge"), "word", "left")
     form_n = -F.col("best.less")
     has = F.coalesce(form_n >= ratio * F.col("n"), F.lit(False))
     made = materialize(
@@ -181,7 +181,7 @@ def variants(docs: DataFrame, ratio: int = RATIO) -> DataFrame:
     steps = made.where("form is not null").select(F.col("word").alias("at"), F.col("form").alias("next"))
     ends, walking = [], made.where("form is not null").select("word", F.col("form").alias("at"))
     while True:
-        step = materialize(walking.join(steps, "at", "left"), "roots")
+        step = materialize(walking.join(steps.hint("merge"), "at", "left"), "roots")
         ends.append(step.where("next is null").select("word", F.col("at").alias("root")))
         walking = step.where("next is not null").select("word", F.col("next").alias("at"))
         if walking.isEmpty():
@@ -189,7 +189,7 @@ def variants(docs: DataFrame, ratio: int = RATIO) -> DataFrame:
     roots = ends[0]
     for more in ends[1:]:
         roots = roots.unionByName(more)
-    out = made.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    out = made.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
     release(words)
     return out
 

@@ -84,3 +84,19 @@ def test_partial_counts(spark, monkeypatch):
     with pytest.raises(ValueError, match="too few bigrams"):
         spelling.word_counts(df, least_length=3)
     assert spelling.word_counts(df.where(F.col("text") == "")).isEmpty()
+
+
+def test_words_are_not_broadcast(spark, monkeypatch):
+    """Every table that is joined is one of words: none goes through the driver, however small Spark takes it to be."""
+    plans = []
+    keep = spelling.materialize
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, tag)
+
+    monkeypatch.setattr(spelling, "materialize", seen)
+    out = spelling.variants(spark.createDataFrame(rows()[:50], "doc_id long, text string"))
+    out.collect()
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
