@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,14 +34,32 @@ BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c
 SETTLED = r"\x00-\x{2FF}\x{900}-\x{93B}\x{93D}-\x{950}\x{955}-\x{957}\x{960}-\x{97F}\x{2002}-\x{206F}"
 
 
+#: The settled characters that have no order of their own: all but the virama.
+STARTERS = SETTLED.replace(r"\x{93D}-\x{950}", r"\x{93D}-\x{94C}\x{94E}-\x{950}")
+#: What normal form C can change: a run of characters that are not settled, with the viramas in and around it, and the
+#: character before them, which it may join. At either end of it a text can be cut and normalised part by part. Each character
+#: is looked at once, a Latin one by the first test.
+UNSETTLED = rf"[^\x{{94D}}]\x{{94D}}*+(?![\x00-\x{{2FF}}])[^{SETTLED}][^{STARTERS}]*+"
+#: Parts that are strings of Python at one time.
+AT_ONCE = 1000
+
+
 def _nfc(s: pa.Array) -> pa.Array:
-    return pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())
+    flat = s.flatten()  # of lists without null ones, in order
+    made = pa.concat_arrays([pa.array([unicodedata.normalize("NFC", x) for x in flat.slice(k, AT_ONCE).to_pylist()], pa.string()) for k in range(0, len(flat) or 1, AT_ONCE)])
+    offsets = pc.subtract(s.offsets, s.offsets[0])
+    return pa.ListArray.from_arrays(offsets, made)
 
 
 def nfc(c: Column) -> Column:
-    """Unicode normal form C. Spark has no built-in function for it: texts that hold more than ``SETTLED`` characters leave the
-    JVM, in Arrow batches, and there the quick check of ``unicodedata``, by its own two-level table, comes before any work."""
-    return F.coalesce(F.arrow_udf(_nfc, "string")(F.when(c.rlike(f"[^{SETTLED}]"), c)), c)
+    """Unicode normal form C. Spark has no built-in function for it: the parts of a text that hold more than ``SETTLED`` characters leave
+    the JVM, in Arrow batches, and come back into their places; what is between them, mostly the whole text, stays."""
+    led = F.concat(F.lit("\n"), c)  # a part has a character before it
+    unsettled = c.rlike(f"[^{SETTLED}]")
+    none = F.expr("cast(array() as array<string>)")
+    made = F.arrow_udf(_nfc, "array<string>")(F.when(unsettled, F.regexp_extract_all(led, F.lit(UNSETTLED), F.lit(0))).otherwise(none))
+    joined = F.array_join(F.zip_with(F.split(led, UNSETTLED), made, lambda between, part: F.concat(between, F.coalesce(part, F.lit("")))), "")
+    return F.when(unsettled, F.substr(joined, F.lit(2))).otherwise(c)
 
 
 def strip(c: Column) -> Column:

@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from granthi.functions import query as Q
@@ -126,3 +128,27 @@ def test_normal_form_and_sentences_against_python(spark):
         t = texts[r["k"]]
         assert r["n"] == unicodedata.normalize("NFC", t)
         assert r["s"] == [x for x in (p.strip(T.BLANKS) for p in re.split(rf"(?<=[।!?]){blank}+|\n+", t)) if x]
+
+
+def test_unsettled_parts_alone_leave_the_jvm(spark, monkeypatch):
+    """Normal form C is made of the few characters that it can change, not of the texts around them, and whatever stands beside them."""
+    import random
+    import unicodedata
+
+    rng = random.Random(6)
+    pieces = ["a", "q" * 50, "\u094d", "\u093c", "\u0929", "\u0301", "\u0323", "\u0958", "\u1100", "\u1161", "\u11a8", "\uac00", "\U00011099\U000110ba", "\U0001d15e", "\x00", "\n", "\u2003", "क"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.choice([1, 2, 3, 6, 30]))) for _ in range(3000)] + ["x" * 100_000 + "e\u0301" + "\u094d" * 100_000, "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(2)
+    for r in df.select("k", T.nfc(F.col("t")).alias("n")).collect():
+        t = texts[r["k"]]
+        assert r["n"] == (t if t is None else unicodedata.normalize("NFC", t))
+
+    def short(s: pa.Array) -> pa.Array:
+        if (pc.max(pc.utf8_length(s.flatten())).as_py() or 0) > 10:
+            raise ValueError("more than the unsettled part")
+        return nfc(s)
+
+    nfc = T._nfc
+    monkeypatch.setattr(T, "_nfc", short)
+    long = spark.createDataFrame([("q" * 1000 + "e\u0301" + "q" * 1000,)], "t string")
+    assert long.select(T.nfc(F.col("t")).alias("n")).first()["n"] == "q" * 1000 + "\u00e9" + "q" * 1000
