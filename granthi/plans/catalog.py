@@ -115,11 +115,12 @@ CLEAN_HEAD, CLEAN_TAIL = "\u00a0 \t काश \u0928\u093c\u0958 e\u0301\n\n\n\n
 
 
 def clean_text(s, d):
-    return docs(s, d).select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+    return docs(s, d).select("doc_id", T.clean_text(F.concat(F.lit(CLEAN_HEAD), "text", F.lit(CLEAN_TAIL))).alias("cleaned"))
 
 
 def clean_marks(s, d):
-    return docs(s, d).select("doc_id", T.clean_text(F.concat(F.lit(CLEAN_HEAD), "text", F.lit(CLEAN_TAIL))).alias("cleaned"))
+    """As ``clean_text``, which has its marks too."""
+    return clean_text(s, d)
 
 
 def normalize_digits(s, d):
@@ -706,7 +707,7 @@ SQL = {
     "knn_queries": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT q.vec_id AS query_id, e.vec_id AS idx, round(1 - list_cosine_similarity(e.v, q.v), 9) AS distance FROM e, e q WHERE q.vec_id % 100 = 0)
       SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, idx) AS INT) AS rank, idx, round(distance, 6) AS distance FROM d QUALIFY rank <= 10""",
     "ocr_fixes": f"SELECT doc_id, {sql_fixes("'काश SEAT ' || text")} AS fixed FROM documents",
-    "clean_text": f"SELECT doc_id, {sql_clean('text')} AS cleaned FROM documents",
+    "clean_text": f"SELECT doc_id, {sql_clean(f"{sql_text(CLEAN_HEAD)} || text || {sql_text(CLEAN_TAIL)}")} AS cleaned FROM documents",
     "clean_marks": f"SELECT doc_id, {sql_clean(f"{sql_text(CLEAN_HEAD)} || text || {sql_text(CLEAN_TAIL)}")} AS cleaned FROM documents",
     "normalize_digits": "SELECT doc_id, text AS normal FROM documents",
     "script_ratio": r"""WITH t AS (SELECT doc_id, translate(text, 'aeiou', 'कखगघङ') AS x FROM documents), l AS (SELECT *, regexp_replace(x, '[^\p{L}]', '', 'g') AS letters FROM t),

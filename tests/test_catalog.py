@@ -24,3 +24,10 @@ def test_questions_are_read_whole(spark, tmp_path):
     assert tuple(got("analyze_query")) == ("nkp_12_3", "ENTITY_CASE_ANALYSIS", True)
     assert tuple(got("factual_category")) == ("judges",)
     assert tuple(got("fallback_answer")) == ("न्यायाधीश: J68",)
+
+
+def test_clean_text_has_its_marks(spark, tmp_path):
+    """The query cleans each text between the fixed marks: decomposed letters, Unicode blanks and control characters."""
+    spark.createDataFrame([(1, "x\x01y\n\n\n\nz"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["cleaned"] for r in catalog.QUERIES["clean_text"](spark, str(tmp_path)).collect()}
+    assert got[1].endswith("\n\nx y\n\nz") and "\u0929\u0915\u093c \u00e9" in got[1] and got[2] == ""
