@@ -75,25 +75,26 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
 
 
-_BUILT: dict[tuple[str, str], tuple[str, list[float]]] = {}
+_BUILT: dict[tuple[str, str], str] = {}
 
 
-def built(spark: SparkSession, sf_dir: str) -> tuple[str, list[float]]:
-    """The path of the documents' saved index and the query's vector, made once for each application and folder of tables."""
+def built(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the documents' saved index, made once for each application and folder of tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
         sparse.save(chunk_view(spark, sf_dir), path, "content")
-        _BUILT[key] = path, list(vectors(spark, sf_dir).where(f"idx = {VECTOR_ID}").first()["embedding"])
+        _BUILT[key] = path
     return _BUILT[key]
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return built(spark, sf_dir)[1]
+    """The query's vector, from the embeddings alone: a search of vectors builds no index of texts."""
+    return list(vectors(spark, sf_dir).where(f"idx = {VECTOR_ID}").first()["embedding"])
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return sparse.load(spark, built(spark, sf_dir)[0])
+    return sparse.load(spark, built(spark, sf_dir))
 
 
 def bm25_of(spark: SparkSession, sf_dir: str, query: str = QUERY) -> DataFrame:

@@ -31,3 +31,14 @@ def test_clean_text_has_its_marks(spark, tmp_path):
     spark.createDataFrame([(1, "x\x01y\n\n\n\nz"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["cleaned"] for r in catalog.QUERIES["clean_text"](spark, str(tmp_path)).collect()}
     assert got[1].endswith("\n\nx y\n\nz") and "\u0929\u0915\u093c \u00e9" in got[1] and got[2] == ""
+
+
+def test_vector_search_builds_no_index(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, [1.0, k / 10]) for k in range(150)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def build(*_):
+        raise AssertionError("an index of texts")
+
+    monkeypatch.setattr(catalog.sparse, "save", build)
+    got = {r["idx"] for r in catalog.QUERIES["knn_cosine"](spark, str(tmp_path)).collect()}
+    assert len(got) == 100 and {6, 7, 8} <= got
