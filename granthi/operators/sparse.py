@@ -25,6 +25,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 LEVELS, RANGE, GROUP = 4, 4096, 128
 #: Characters that a task turns into postings at once.
 LOT = 1_000_000
+#: So many chunk numbers at most are sent to all tasks.
+FEW_IDS = 1_000_000
 #: Partitions of the saved blocks by their grams' hashes: a query reads those of its grams alone.
 BUCKETS = 32
 #: A top-k first reads levels until what is unread adds at most this share of what a chunk can reach.
@@ -34,8 +36,23 @@ SLACK = 1e-6
 
 
 def postings(chunks: DataFrame, text: str = "search_text") -> DataFrame:
-    """(idx, gram, tf)."""
-    return chunks.select("idx", F.explode(char_ngrams(F.col(text))).alias("gram")).groupBy("idx", "gram").agg(F.count("*").alias("tf"))
+    """(idx, gram, tf), counted where the texts are: only chunks that share their idx (or have none) are shuffled, as counts. One job finds these."""
+    kind = chunks.schema["idx"].dataType.simpleString()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _sliced(batches):
+            yield _posting_rows(lot.column(0), lot.column(1).to_pylist())
+
+    def counted(some: DataFrame) -> DataFrame:
+        return some.select("idx", squeezed(F.col(text)).alias("text")).mapInArrow(made, f"idx {kind}, gram string, tf long")
+
+    shared = chunks.groupBy("idx").agg(F.count("*").alias("chunks")).where("chunks > 1 or idx is null").select(F.col("idx").alias("shared"))
+    n = shared.count()
+    if not n:
+        return counted(chunks)
+    few, same = (F.broadcast(shared) if n <= FEW_IDS else shared), F.col("idx").eqNullSafe(F.col("shared"))
+    together = counted(chunks.join(few, same, "left_semi")).groupBy("idx", "gram").agg(F.sum("tf").alias("tf"))
+    return counted(chunks.join(few, same, "left_anti")).unionByName(together)
 
 
 def document_counts(chunks: DataFrame, text: str = "search_text") -> DataFrame:
@@ -59,15 +76,8 @@ def lots(chunks: DataFrame, text: str = "search_text") -> DataFrame:
     width = RANGE
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            start = size = 0
-            for k, n in enumerate(pc.utf8_length(batch.column(1)).to_pylist()):
-                size += n
-                if size >= LOT or k == batch.num_rows - 1:
-                    if size:
-                        lot = batch.slice(start, k + 1 - start)
-                        yield _lot_rows(lot.column(0).to_numpy(), lot.column(1).to_pylist(), width)
-                    start, size = k + 1, 0
+        for lot in _sliced(batches):
+            yield _lot_rows(lot.column(0).to_numpy(), lot.column(1).to_pylist(), width)
 
     rows = chunks.select(F.col("idx").cast("long").alias("idx"), squeezed(F.col(text)).alias("text"))
     return rows.mapInArrow(made, "bucket int, range long, grams array<string>, counts array<int>, steps array<smallint>, tfs array<int>, docs array<smallint>, lens array<int>")
@@ -100,6 +110,18 @@ def blocks(chunks: DataFrame, mean_length: float, text: str = "search_text") ->
     return met.mapInArrow(merged, BLOCKS)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (idx, text) in lots of about LOT characters; those without any are left out."""
+    for batch in batches:
+        start = size = 0
+        for k, n in enumerate(pc.utf8_length(batch.column(1)).to_pylist()):
+            size += n
+            if size >= LOT or k == batch.num_rows - 1:
+                if size:
+                    yield batch.slice(start, k + 1 - start)
+                start, size = k + 1, 0
+
+
 def _grams(text: str) -> Counter[str]:
     return Counter([text[i : i + 3] for i in range(max(len(text) - 2, 1))] if text else [])
 
@@ -108,11 +130,8 @@ def _grams(text: str) -> Counter[str]:
 FILL = "\ud800"
 
 
-def _lot_rows(idx: np.ndarray, texts: list[str], width: int) -> pa.RecordBatch:
-    order = np.argsort(idx, kind="stable")
-    order = order[[bool(texts[k]) for k in order]]  # texts without characters have no grams
-    idx, texts = idx[order], [texts[k] for k in order]
-    dl = np.array([max(len(t) - 2, 1) for t in texts], np.int32)
+def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct trigrams of texts, none empty, and for each place of a trigram its number among these and its text's."""
     padded = [t if len(t) > 2 else t + FILL * (3 - len(t)) for t in texts]
     chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in padded])
@@ -120,13 +139,30 @@ def _lot_rows(idx: np.ndarray, texts: list[str], width: int) -> pa.RecordBatch:
     codes, gram = np.unique(((chars[:-2] << 42) | (chars[1:-1] << 21) | chars[2:])[whole], return_inverse=True)
     names = np.stack([codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
     names = np.array([names[k : k + 3].rstrip(FILL) for k in range(0, len(names), 3)], object)
+    return names, gram, doc[:-2][whole]
+
+
+def _posting_rows(idx: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    held = [k for k, t in enumerate(texts) if t]
+    names, gram, doc = _trigrams([texts[k] for k in held])
+    pair, tf = np.unique(doc * len(names) + gram, return_counts=True)
+    doc, gram = np.divmod(pair, len(names))
+    return pa.RecordBatch.from_arrays([idx.take(pa.array(np.array(held)[doc])), pa.array(names, pa.string()).take(pa.array(gram)), pa.array(tf, pa.int64())], names=["idx", "gram", "tf"])
+
+
+def _lot_rows(idx: np.ndarray, texts: list[str], width: int) -> pa.RecordBatch:
+    order = np.argsort(idx, kind="stable")
+    order = order[[bool(texts[k]) for k in order]]  # texts without characters have no grams
+    idx, texts = idx[order], [texts[k] for k in order]
+    dl = np.array([max(len(t) - 2, 1) for t in texts], np.int32)
+    names, gram, doc = _trigrams(texts)
     # by bucket, range, gram and chunk
     buckets = np.array([_bucket(g) for g in names], np.int64)
     by_bucket = np.argsort(buckets, kind="stable")
     place = np.empty_like(by_bucket)
     place[by_bucket] = np.arange(len(by_bucket))
     names, buckets = names[by_bucket], buckets[by_bucket]
-    pair, tf = np.unique(place[gram] * len(texts) + doc[:-2][whole], return_counts=True)
+    pair, tf = np.unique(place[gram] * len(texts) + doc, return_counts=True)
     gram, chunk = np.divmod(pair, len(texts))
     parts, part_of = np.unique(idx // width, return_inverse=True)
     row = buckets[gram] * len(parts) + part_of[chunk]

@@ -422,3 +422,23 @@ def test_lots_merge_into_blocks(spark, monkeypatch):
             assert dl == length[r["range"] * 16 + k]
     assert got == want and len(seen) == len(set(seen))
     assert sparse.blocks(df.limit(0), 1.0).count() == 0
+
+
+def test_postings_are_counted_in_place(spark, monkeypatch):
+    """No posting of a chunk with an idx of its own is shuffled; chunks that share one, or have none, count together."""
+    monkeypatch.setattr(sparse, "LOT", 100)
+    own = [*texts_of_words(60, 5), (60, "ab"), (61, ""), (62, None), (63, "कागज र 𝒳𝒳𝒳"), (64, "a\0b\0"), (65, "the" * 500)]
+    for rows in (own, [*own, (3, "the the"), (3, "ab"), (None, "thethe"), (None, "The"), (60, None)]):
+        want = {}
+        for i, t in rows:
+            for g, n in sparse.query_grams(t or "").items():
+                want[i, g] = want.get((i, g), 0) + n
+        df = spark.createDataFrame(rows, "idx long, search_text string").repartition(3)
+        made = sparse.postings(df)
+        got = [tuple(r) for r in made.collect()]
+        assert len(got) == len(want) and {(i, g): n for i, g, n in got} == want
+        if rows is own:
+            assert "gram" not in "".join(x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+            assert "hashpartitioning(idx" not in made._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(sparse, "FEW_IDS", 0)
+    assert {(i, g): n for i, g, n in sparse.postings(df).collect()} == want
