@@ -19,7 +19,7 @@ from ..functions import query as Q
 from ..functions import text as T
 from ..functions.metadata import PATTERNS, case_metadata
 from ..operators import answers, chunks, search, sparse
-from ..sources.files import html_pages, scratch_dir, valid_pages
+from ..sources.files import html_pages, kept, scratch_dir, valid_pages
 from ..streaming.session import session_fold
 
 QUERY, TOP_K, ALPHA, VECTOR_ID, CASE = "the nation and the thing", 5, 0.15, 7, 103
@@ -241,7 +241,8 @@ def dominant_case(s, d):
 
 
 def dominant_topk(s, d):
-    rows = scored(s, d).withColumn("case_id", F.when(F.col("idx") % 3 > 0, "decision_100").otherwise(F.col("case_id")))
+    made = scored(s, d).withColumn("case_id", F.when(F.col("idx") % 3 > 0, "decision_100").otherwise(F.col("case_id"))).select("idx", "case_id", "score")
+    rows = kept(made, "scored")  # read twice: texts are scored once
     case = search.dominant_case(rows, TOP_K)
     return search.ranked(rows.join(F.broadcast(case), "case_id", "left_semi"), TOP_K).select("rank", "idx", F.round("score", 6).alias("score"))  # one row
 

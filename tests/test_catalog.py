@@ -42,3 +42,11 @@ def test_vector_search_builds_no_index(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog.sparse, "save", build)
     got = {r["idx"] for r in catalog.QUERIES["knn_cosine"](spark, str(tmp_path)).collect()}
     assert len(got) == 100 and {6, 7, 8} <= got
+
+
+def test_dominant_topk_scores_texts_once(spark, tmp_path):
+    """What it returns is made from saved scores: the texts are not read again."""
+    spark.createDataFrame([(k, f"the nation {k} and the thing", f"src{k % 4}") for k in range(40)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, [1.0, k / 10]) for k in range(40)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    made = catalog.QUERIES["dominant_topk"](spark, str(tmp_path))
+    assert "documents.parquet" not in made._jdf.queryExecution().toString() and made.count() == 5
