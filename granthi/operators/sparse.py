@@ -393,6 +393,8 @@ def bm25_top(found: dict[str, DataFrame], query: str, k: int, asked: Terms | Non
     return both.groupBy("idx").agg(F.sum("part").alias("bm25"))
 
 
+#: Pairs of a query and a gram that are sent to all tasks at most (16 bytes each).
+SENT = 1_000_000
 #: Queries that a task scores at once against a range of chunks, and grams that it multiplies at once.
 QUERIES, GRAMS_AT_ONCE = 256, 512
 
@@ -444,7 +446,8 @@ class _Lot:
 def bm25_many(found: dict[str, DataFrame], queries: DataFrame, k: int, places: int = 6) -> DataFrame:
     """(query_id, rank, idx, bm25): the ``k`` best chunks of each query of a table (query_id, text), scores rounded, ties by idx.
 
-    Queries and blocks meet on their grams, in lots of about QUERIES queries, so that a block travels once for each lot. A
+    Queries and blocks meet on their grams, in lots of about QUERIES queries, so that a block travels once for each lot; up to
+    SENT pairs of a query and a gram are broadcast, more of them travel with the blocks. A
     task adds up a lot's scores over one range of chunks at a time, as a matrix of QUERIES by RANGE numbers, and sends each
     query's ``k`` best on; these are merged by rank, again ``k`` at most from a task. Repeated query_ids are one query of all
     their texts' grams; a query that shares no gram with a chunk has no row; scores of 0 or less are left out.
@@ -453,8 +456,12 @@ def bm25_many(found: dict[str, DataFrame], queries: DataFrame, k: int, places: i
     asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.explode(char_ngrams(F.col("text"))).alias("gram")).groupBy("query_id", "gram").agg(F.count("*").alias("times"))
     ask = F.struct("query_id", (F.col("times") * F.col("idf")).alias("weight"))
     weighed = asked.join(found["grams"], "gram").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(lots)).alias("lot"), "gram").agg(F.collect_list(ask).alias("ask"))
-    met = found["blocks"].select("gram", "range", "ids", "tfs", "dls").join(weighed, "gram")
-    placed = met.select("lot", "range", "gram", "ids", "tfs", "dls", "ask").repartition("lot", "range").sortWithinPartitions("lot", "range", "gram")
+    made = found["blocks"].select("gram", "range", "ids", "tfs", "dls")
+    if asked.count() <= SENT:  # blocks travel once and alone; their queries are where they arrive
+        placed = made.join(F.broadcast(weighed.select("lot", "gram")), "gram").repartition("lot", "range").join(F.broadcast(weighed), ["lot", "gram"])
+    else:
+        placed = made.join(weighed, "gram").repartition("lot", "range")
+    placed = placed.select("lot", "range", "gram", "ids", "tfs", "dls", "ask").sortWithinPartitions("lot", "range", "gram")  # last: a join keeps no order
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, lot = None, None

@@ -442,3 +442,18 @@ def test_postings_are_counted_in_place(spark, monkeypatch):
             assert "hashpartitioning(idx" not in made._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(sparse, "FEW_IDS", 0)
     assert {(i, g): n for i, g, n in sparse.postings(df).collect()} == want
+
+
+def test_many_queries_travel_apart_from_blocks(spark, monkeypatch):
+    """Few queries are broadcast, and blocks are shuffled without them; with many the result is the same."""
+    df = spark.createDataFrame(texts_of_words(120, 7), "idx long, search_text string")
+    found = {k: v.cache() for k, v in sparse.index(df).items()}
+    queries = spark.createDataFrame([(k, t) for k, t in texts_of_words(12, 8)], "query_id long, text string")
+    monkeypatch.setattr(sparse, "QUERIES", 5)
+    few = sparse.bm25_many(found, queries, 4)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    placed = plan[plan.index("MapInArrow") :]
+    assert "RepartitionByExpression [lot" in placed and placed.index("Join") < placed.index("RepartitionByExpression [lot")
+    monkeypatch.setattr(sparse, "SENT", 0)
+    many = sparse.bm25_many(found, queries, 4)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 48
