@@ -214,6 +214,14 @@ class Engine:
         known = parts.groupBy("idx").agg(F.max("vector_score").alias("v"), F.greatest(F.sum("part"), F.lit(0.0)).alias("b"))
         if not everywhere:
             known = known.join(rows.select("idx"), "idx", "left_semi")
+        known = known.persist()  # 24 bytes a chunk, read up to three times: postings are added up once
+        try:
+            return self._best_of(known, rows, near, bm25, query, alpha, n)
+        finally:
+            known.unpersist()
+
+    def _best_of(self, known: DataFrame, rows: DataFrame, near: DataFrame, bm25: DataFrame, query: str, alpha: float, n: int) -> list[dict]:
+        """``_best`` from (idx, v, b) of the chunks that share a gram or are near."""
         order = (F.desc(F.col("v") > 0), F.desc("b"), "idx")  # 100 vectors at most, then the best by BM25
         first = [r.asDict() for r in known.orderBy(*order).limit(HEAD + 100).collect()]
         most = max((r["b"] for r in first), default=0.0) or 1.0

@@ -69,9 +69,10 @@ def lengths(chunks: DataFrame, text: str = "search_text") -> DataFrame:
 def lots(chunks: DataFrame, text: str = "search_text") -> DataFrame:
     """(bucket, range, grams, counts, steps, tfs, docs, lens): the postings of a task's lot of texts by bucket of grams and range of chunks.
 
-    One row holds some thousand grams: ``counts`` are their postings, whose chunks and frequencies follow in ``steps`` (each chunk
-    number less the one before, from the range's beginning) and ``tfs``; ``lens`` are the lengths of the chunks ``docs``. So a
-    posting takes a few bytes on its way, and a gram of one chunk no row of its own.
+    One row holds some thousand grams: ``counts`` are their postings, whose chunks and frequencies follow in ``steps`` (a chunk's
+    place among ``docs`` less that of the gram's chunk before) and ``tfs``; ``docs`` are the row's chunks, each less the one before,
+    from the range's beginning, ``lens`` their lengths. All are ``_packed``, so a posting takes a byte or two on its way and
+    while it is sorted, and a gram of one chunk no row of its own.
     """
     width = RANGE
 
@@ -80,7 +81,7 @@ def lots(chunks: DataFrame, text: str = "search_text") -> DataFrame:
             yield _lot_rows(lot.column(0).to_numpy(), lot.column(1).to_pylist(), width)
 
     rows = chunks.select(F.col("idx").cast("long").alias("idx"), squeezed(F.col(text)).alias("text"))
-    return rows.mapInArrow(made, "bucket int, range long, grams array<string>, counts array<int>, steps array<smallint>, tfs array<int>, docs array<smallint>, lens array<int>")
+    return rows.mapInArrow(made, "bucket int, range long, grams binary, counts binary, steps binary, tfs binary, docs binary, lens binary")
 
 
 def blocks(chunks: DataFrame, mean_length: float, text: str = "search_text") -> DataFrame:
@@ -88,7 +89,8 @@ def blocks(chunks: DataFrame, mean_length: float, text: str = "search_text") ->
 
     ``ids`` count from the range's beginning, ``tfs`` and ``dls`` are what contributions are made of: small numbers, which take a third
     of the room that chunk numbers and contributions would. ``top``: the greatest contribution at weight 1.
-    The lots meet by bucket and GROUP ranges, so what a task gets does not grow with the number of chunks.
+    The lots meet by bucket and GROUP ranges, so what a task gets does not grow with the number of chunks. They are sorted as they
+    come, packed; blocks, many times as large, leave by bucket and range, in each by gram and level, and are not sorted again.
     """
     width = RANGE
 
@@ -101,7 +103,7 @@ def blocks(chunks: DataFrame, mean_length: float, text: str = "search_text") ->
                     if held:
                         yield _blocks(*key, held, mean_length, width)
                     key, held = now, []
-                held.append([c[i].values for c in batch.columns[2:]])
+                held.append([c[i].as_py() for c in batch.columns[2:]])
         if held:
             yield _blocks(*key, held, mean_length, width)
 
@@ -131,20 +133,46 @@ FILL = "\ud800"
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct trigrams of texts, none empty, and for each place of a trigram its number among these and its text's."""
+    """The codes of the distinct trigrams of texts, none empty, in order, and for each place of a trigram its number among these and its text's."""
     padded = [t if len(t) > 2 else t + FILL * (3 - len(t)) for t in texts]
     chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in padded])
     whole = doc[:-2] == doc[2:]  # three characters of one text
     codes, gram = np.unique(((chars[:-2] << 42) | (chars[1:-1] << 21) | chars[2:])[whole], return_inverse=True)
-    names = np.stack([codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-    names = np.array([names[k : k + 3].rstrip(FILL) for k in range(0, len(names), 3)], object)
-    return names, gram, doc[:-2][whole]
+    return codes, gram, doc[:-2][whole]
+
+
+def _names(codes: np.ndarray) -> np.ndarray:
+    """The trigrams of these codes as text."""
+    chars = _points(codes).T.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    return np.array([chars[k : k + 3].rstrip(FILL) for k in range(0, len(chars), 3)], object)
+
+
+def _points(codes: np.ndarray) -> np.ndarray:
+    """Three rows: the first, second and third code points of these codes."""
+    return np.stack([codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF])
+
+
+#: For numbers on their way: the quickest level, which packs them as well as higher ones.
+ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 below 2^31, compressed behind their count: all lowest bytes, then all second ones, and so on, so that small ones take a byte at most."""
+    planes = np.ascontiguousarray(numbers, "<i4").view(np.uint8).reshape(-1, 4).T
+    return len(numbers).to_bytes(4, "little") + ZSTD.compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    n = int.from_bytes(held[:4], "little")
+    planes = np.frombuffer(ZSTD.decompress(held[4:], 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _posting_rows(idx: pa.Array, texts: list[str]) -> pa.RecordBatch:
     held = [k for k, t in enumerate(texts) if t]
-    names, gram, doc = _trigrams([texts[k] for k in held])
+    codes, gram, doc = _trigrams([texts[k] for k in held])
+    names = _names(codes)
     pair, tf = np.unique(doc * len(names) + gram, return_counts=True)
     doc, gram = np.divmod(pair, len(names))
     return pa.RecordBatch.from_arrays([idx.take(pa.array(np.array(held)[doc])), pa.array(names, pa.string()).take(pa.array(gram)), pa.array(tf, pa.int64())], names=["idx", "gram", "tf"])
@@ -155,13 +183,13 @@ def _lot_rows(idx: np.ndarray, texts: list[str], width: int) -> pa.RecordBatch:
     order = order[[bool(texts[k]) for k in order]]  # texts without characters have no grams
     idx, texts = idx[order], [texts[k] for k in order]
     dl = np.array([max(len(t) - 2, 1) for t in texts], np.int32)
-    names, gram, doc = _trigrams(texts)
+    codes, gram, doc = _trigrams(texts)
     # by bucket, range, gram and chunk
-    buckets = np.array([_bucket(g) for g in names], np.int64)
+    buckets = np.array([_bucket(g) for g in _names(codes)], np.int64)
     by_bucket = np.argsort(buckets, kind="stable")
     place = np.empty_like(by_bucket)
     place[by_bucket] = np.arange(len(by_bucket))
-    names, buckets = names[by_bucket], buckets[by_bucket]
+    codes, buckets = codes[by_bucket], buckets[by_bucket]
     pair, tf = np.unique(place[gram] * len(texts) + doc, return_counts=True)
     gram, chunk = np.divmod(pair, len(texts))
     parts, part_of = np.unique(idx // width, return_inverse=True)
@@ -170,35 +198,34 @@ def _lot_rows(idx: np.ndarray, texts: list[str], width: int) -> pa.RecordBatch:
     row, gram, chunk, tf = row[order], gram[order], chunk[order], tf[order]
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     runs = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])])
-    ids = idx[chunk] - parts[part_of[chunk]] * width
-    steps = np.diff(ids, prepend=0)
-    steps[first] = ids[first]
-    at, of = np.append(first, len(row)), np.append(np.searchsorted(runs, first), len(runs))
-    bucket, part = np.divmod(row[first], len(parts))
     edges = np.searchsorted(part_of, np.arange(len(parts) + 1))  # texts are in order of idx
-    docs = np.concatenate([np.arange(edges[p], edges[p + 1]) for p in part])
-    of_docs = np.append(0, np.cumsum(edges[part + 1] - edges[part]))
-    lists = lambda offsets, values, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(bucket, pa.int32()), pa.array(parts[part]), lists(of, names[gram[runs]], pa.string()), lists(of, np.diff(np.append(runs, len(row))), pa.int32()),
-            lists(at, steps, pa.int16()), lists(at, tf, pa.int32()), lists(of_docs, idx[docs] - parts[part_of[docs]] * width, pa.int16()), lists(of_docs, dl[docs], pa.int32()),
-        ],
-        names=["bucket", "range", "grams", "counts", "steps", "tfs", "docs", "lens"],
-    )
-
-
-def _blocks(bucket: int, part: int, rows: list[list[pa.Array]], mean_length: float, width: int) -> pa.RecordBatch:
-    """The blocks of one bucket and range from its rows of all lots."""
-    codes: dict[str, int] = {}
+    at = chunk - edges[part_of[chunk]]
+    steps = np.diff(at, prepend=0)
+    steps[runs] = at[runs]
+    counts = np.diff(np.append(runs, len(row)))
+    bucket, part = np.divmod(row[first], len(parts))
+    docs = [_packed(np.diff(idx[edges[p] : edges[p + 1]], prepend=parts[p] * width)) for p in range(len(parts))]
+    lens = [_packed(dl[edges[p] : edges[p + 1]]) for p in range(len(parts))]
+    cut = lambda values, ends: [_packed(values[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+    of = np.append(np.searchsorted(runs, first), len(runs))
+    grams = [_packed(_points(codes[gram[runs[i:j]]]).ravel()) for i, j in zip(of, of[1:], strict=False)]
+    ends = np.append(first, len(row))
+    columns = [grams, cut(counts, of), cut(steps, ends), cut(tf, ends), [docs[p] for p in part], [lens[p] for p in part]]
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(parts[part], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "range", "grams", "counts", "steps", "tfs", "docs", "lens"])
+
+
+def _blocks(bucket: int, part: int, rows: list[list[bytes]], mean_length: float, width: int) -> pa.RecordBatch:
+    """The blocks of one bucket and range from its rows of all lots, by gram and level."""
     columns = []
-    for names, *numbers in rows:
-        counts, steps, tf, docs, lens = (x.to_numpy() for x in numbers)
-        length = np.zeros(width, np.int32)
-        length[docs] = lens
-        ids = np.cumsum(steps, dtype=np.int64)
-        columns.append((np.repeat([codes.setdefault(g, len(codes)) for g in names.to_pylist()], counts), ids, tf, length[ids]))
+    for row in rows:
+        points, counts, steps, tf, docs, lens = map(_unpacked, row)
+        points = points.reshape(3, -1).astype(np.int64)
+        after = np.cumsum(steps, dtype=np.int64)
+        first = np.cumsum(counts) - counts
+        at = after - np.repeat(after[first] - steps[first], counts)
+        columns.append((np.repeat((points[0] << 42) | (points[1] << 21) | points[2], counts), np.cumsum(docs, dtype=np.int64)[at], tf, lens[at]))
     gram, ids, tf, dl = (np.concatenate(c) for c in zip(*columns, strict=True))
+    codes, gram = np.unique(gram, return_inverse=True)
     impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean_length))
     level = LEVELS - 1 - np.minimum((impact / (K1 + 1) * LEVELS).astype(np.int64), LEVELS - 1)
     block = gram * LEVELS + level
@@ -209,7 +236,7 @@ def _blocks(bucket: int, part: int, rows: list[list[pa.Array]], mean_length: flo
     offsets = pa.array(np.append(new, len(ids)), pa.int32())
     lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((ids, pa.int16()), (tf, pa.int32()), (dl, pa.int32()))]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.array([*codes], object)[gram], pa.string()), pa.array(level, pa.int32()), pa.array(np.full(len(new), part)), pa.array(np.maximum.reduceat(impact, new)), *lists, pa.array(np.full(len(new), bucket), pa.int32())],
+        [pa.array(_names(codes)[gram], pa.string()), pa.array(level, pa.int32()), pa.array(np.full(len(new), part)), pa.array(np.maximum.reduceat(impact, new)), *lists, pa.array(np.full(len(new), bucket), pa.int32())],
         names=["gram", "level", "range", "top", "ids", "tfs", "dls", "bucket"],
     )
 
@@ -223,7 +250,11 @@ def gram_levels(made: DataFrame) -> DataFrame:
 
 def corpus_stats(size: DataFrame, counts: DataFrame) -> DataFrame:
     """One row: chunks, mean length, and the mean idf over the vocabulary."""
-    n = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return _with_idf(size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), counts)
+
+
+def _with_idf(n: DataFrame, counts: DataFrame) -> DataFrame:
+    """``corpus_stats`` from its first two columns."""
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     # grams of one count share their idf: the mean is taken over the distinct counts, which are few
     by_count = counts.groupBy("df").agg(F.count("*").alias("grams"))
@@ -255,25 +286,31 @@ def index(chunks: DataFrame, text: str = "search_text") -> dict[str, DataFrame]:
 
 
 def save(chunks: DataFrame, path: str, text: str = "search_text") -> None:
-    """The index as tables below ``path``: blocks by bucket, sorted by gram, level and range, and grams and statistics made from them.
+    """The index as tables below ``path``: blocks by bucket, sorted by range, gram and level, and grams and statistics made from them.
 
-    The postings are shuffled once, as ``lots``; a task merges what it gets into blocks, range by range, and sorts these. A common
-    gram's blocks are dealt out by groups of ranges, so it fills many tasks and files.
+    The postings are shuffled once, as ``lots``; a task merges what it gets into blocks, range by range, and writes these as they
+    come. A common gram's blocks are dealt out by groups of ranges, so it fills many tasks and files.
     """
     spark = chunks.sparkSession
-    size = lengths(chunks, text)
-    mean = size.agg(F.avg("dl")).first()[0] or 1.0
-    made = blocks(chunks, mean, text).sortWithinPartitions("bucket", "gram", "level", "range")
-    made.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks")
+    size = lengths(chunks, text).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    made, before = blocks(chunks, size["avgdl"] or 1.0, text), spark.conf.get(WRITERS)
+    spark.conf.set(WRITERS, BUCKETS + 1)  # else Spark would sort all blocks by bucket, though they come so
+    try:
+        made.write.mode("overwrite").partitionBy("bucket").options(compression="zstd", **{"parquet.block.size": ROW_GROUP}).parquet(f"{path}/blocks")
+    finally:
+        spark.conf.set(WRITERS, before)
     gram_levels(spark.read.schema(BLOCKS).parquet(f"{path}/blocks")).write.mode("overwrite").parquet(f"{path}/counts")
     counts = spark.read.schema("gram string, df long, levels array<struct<level:int,top:double,chunks:long,blocks:long>>").parquet(f"{path}/counts")
-    corpus_stats(size, counts).write.mode("overwrite").parquet(f"{path}/stats")
+    n = spark.createDataFrame(pa.table({"n": pa.array([size["n"]], pa.int64()), "avgdl": pa.array([size["avgdl"]], pa.float64())}))  # one row: texts are not read again
+    _with_idf(n, counts).write.mode("overwrite").parquet(f"{path}/stats")
     weighed = _weighed(counts, spark.read.schema(STATS).parquet(f"{path}/stats")).withColumn("bucket", bucket(F.col("gram")))
     weighed.repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/counts")
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: The files that a task may have open, one for each bucket that it meets, and bytes of a row group, which bounds what each holds.
+WRITERS, ROW_GROUP = "spark.sql.maxConcurrentOutputFileWriters", 16 << 20
 STATS = "n long, avgdl double, mean_idf double"
 BLOCKS = "gram string, level int, range long, top double, ids array<smallint>, tfs array<int>, dls array<int>, bucket int"
 GRAMS = "gram string, df long, idf double, n long, avgdl double, levels array<struct<level:int,top:double,chunks:long,blocks:long>>, bucket int"

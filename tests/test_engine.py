@@ -457,3 +457,23 @@ def test_many_queries_travel_apart_from_blocks(spark, monkeypatch):
     monkeypatch.setattr(sparse, "SENT", 0)
     many = sparse.bm25_many(found, queries, 4)
     assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 48
+
+
+def test_blocks_are_not_sorted_again(spark, tmp_path):
+    """Packed postings travel and are sorted in a byte or two each; blocks are written as they are made, a file's rows by range and gram."""
+    words = random.Random(9)
+    rows = [(k, "".join(words.choice("etaoinshrdlu") for _ in range(400))) for k in range(300)]
+    df = spark.createDataFrame(rows, "idx long, search_text string").repartition(2)
+    n = sum(len(sparse.query_grams(t)) for _, t in rows)
+    size = lambda v: len(v) if isinstance(v, (bytes, bytearray)) else 4 * len(v) if isinstance(v, list) else 8
+    assert sum(size(v) for r in sparse.lots(df).collect() for v in r) < 3 * n
+    before = spark.conf.get(sparse.WRITERS)
+    sparse.save(df, f"file://{tmp_path}/ix")
+    assert spark.conf.get(sparse.WRITERS) == before
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    (written,) = [p for p in plans if f"{tmp_path}/ix/blocks" in p and "WriteFiles" in p and "MapInArrow" in p]
+    above = written[: written.index("MapInArrow")]
+    assert "Sort" not in above and "Exchange" not in above
+    found = sparse.load(spark, f"file://{tmp_path}/ix")
+    assert found["blocks"].select(F.sum(F.size("ids"))).first()[0] == n and found["stats"].first()["n"] == 300
