@@ -259,8 +259,10 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT, keep
                         part = raw[4 * start : 4 * (start + limit)]
                         n = len(part) // 4
                         out.append((at, doc_id, piece, start, n, int(seen[n]), zlib.crc32(part)))
-                        ids.append(part)
+                        if keep_ids:
+                            ids.append(part)
                         seen[n] += 1
+                pa.default_memory_pool().release_unused()  # else an idle worker keeps some 130 MB
             at += 1
             kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)]

@@ -480,8 +480,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR
     if not rows.where(~fits).isEmpty():
         large = materialize(entries.join(rows.where(~fits).select("row"), "row", "left_semi"), "large")
         links = links.unionByName(_reduced(large, made, num, den))
+    links = materialize(links, "products")  # else a task would keep a Python worker for its product and one more for contracting its links
     final = components(links)
-    release(made, entries, rows)
+    release(made, entries, rows, links)
     collect_garbage(docs.sparkSession)
 
     best = classes.join(final.select(F.col("child").alias("rep"), F.col("parent").alias("root")), "rep", "left")

@@ -3,11 +3,14 @@
 import base64
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -65,6 +68,26 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_holds_no_ids_that_nobody_wants(monkeypatch):
+    """Without ``keep_ids`` a batch costs its pieces' rows alone, and Arrow's free memory goes back after each lot of texts."""
+    monkeypatch.setattr(packing, "TaskContext", mock.Mock(get=lambda: mock.Mock(partitionId=lambda: 0)))
+    pool = mock.Mock()
+    monkeypatch.setattr(packing.pa, "default_memory_pool", lambda: pool)
+    texts = ["a b c d e f g h " * 20_000] * 100  # 160,000 tokens each, 64 MB of ids
+    frame = mock.MagicMock()
+    packing.pieces(frame)
+    rows = frame.select.return_value.mapInArrow.call_args[0][0]
+    tracemalloc.start()
+    try:
+        made = [*rows(iter([pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], names=["doc_id", "text"])]))]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made[0].num_rows == 100 * 40
+    assert most < 90_000_000
+    assert pool.release_unused.call_count == 10  # lots of 3 million characters
+
+
 def test_plan_is_close_to_the_bound():
     rng = np.random.default_rng(1)
     counts = Counter(int(x) for x in np.minimum(rng.lognormal(6, 1, 3000), 4096).astype(int) + 1 if x <= 4096)
@@ -166,6 +189,19 @@ def test_jaccard(spark, docs, monkeypatch, words, num, den, block):
     assert similarity.jaccard_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1500, 7])
+def test_jaccard_one_python_worker_a_task(spark, monkeypatch, block):
+    """Links reach components from tables: a product and the contraction in one task would hold two Python workers."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
+    plans = []
+    monkeypatch.setattr(similarity, "components", lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or components.components(links))
+    base = [f"w{k}" for k in range(150)]
+    rows = [(i, " ".join([*base[:i], f"n{i}", *base[i + 1 :]])) for i in range(40)]
+    got = similarity.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert plans and not [p for p in plans if "InArrow" in p]
+
+
 def test_jaccard_rows_that_share_an_id(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(None, text + " a"), (None, text + " b"), (7, text + " c"), (7, "one of its own kind and long enough"), (9, "one of its own kind and long enough"), (None, "alone in all the world"), (8, None)]
